@@ -134,7 +134,8 @@ def histogram(df: DataFrame, value: Column, bins: int = 50, keys: tuple[str, ...
     vals = df.select(*keys, value.alias("_v")).filter(F.col("_v").isNotNull())
     span = vals.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    bin_no = F.least(F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("lo"), width), F.lit(0.0))), F.lit(bins - 1))
+    place = F.coalesce(F.try_divide(F.col("_v") - F.col("lo"), width), F.lit(0.0))
+    bin_no = F.least(F.floor(F.round(place, 9)), F.lit(bins - 1))
     return (
         vals.join(span, keys)
         .groupBy(*keys, bin_no.cast("long").alias("bin"), "lo", "hi")

@@ -27,13 +27,16 @@ def event_index(
     hot_rows: int = 2_000_000,
     tiebreak: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Adds ``event_idx``: 0, 1, 2, ... per key in (time, sequence, tiebreak) order."""
+    """Adds ``event_idx``: 0, 1, 2, ... per key in (time, sequence, tiebreak) order.  Keys and time must not be NULL."""
     keys = list(keys)
     df = df.withColumn("_b1", F.floor(F.col(time_col) / F.lit(bucket_us)).cast("long"))
     bucket = ["_b1"]
     counts = df.groupBy(*keys, "_b1").agg(F.count("*").alias("_n"))
-    largest = counts.agg(F.max("_n")).first()[0] or 0
-    if largest > hot_rows:
+    missing = F.count_if(F.greatest(*[F.col(c).isNull() for c in (*keys, "_b1")]))
+    found = counts.agg(F.max("_n").alias("largest"), missing.alias("missing")).first()
+    if found["missing"]:
+        raise ValueError(f"event_index: {keys} and {time_col} must not be NULL")
+    if (found["largest"] or 0) > hot_rows:
         df = _split_hot(df, counts, keys, time_col, seq_col, hot_rows)
         bucket = ["_b1", "_b2", "_b3"]
         counts = df.groupBy(*keys, *bucket).agg(F.count("*").alias("_n"))

@@ -46,6 +46,11 @@ def book_rows(spark: SparkSession, sf_dir: str, defects: bool = False) -> DataFr
     return clean_indexed(events_book(spark, sf_dir, defects))
 
 
+def indexed_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage: cleaned, indexed snapshots."""
+    return stage(spark, sf_dir, "book", lambda: book_rows(spark, sf_dir))
+
+
 def labelled_features(
     indexed: DataFrame, horizon: int = HORIZON, fee_bps: float = 1.0, slippage_buffer: float = 0.5,
     chunk_rows: int = CHUNK_ROWS,
@@ -81,7 +86,7 @@ SCORED_COLUMNS = (
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage: labelled rows, every symbol."""
-    return stage(spark, sf_dir, "labelled", lambda: labelled_features(book_rows(spark, sf_dir)).select(*LABELLED_COLUMNS))
+    return stage(spark, sf_dir, "labelled", lambda: labelled_features(indexed_book(spark, sf_dir)).select(*LABELLED_COLUMNS))
 
 
 def regimed(spark: SparkSession, sf_dir: str) -> DataFrame:
