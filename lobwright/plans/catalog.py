@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from lobwright.plans import queries_features, queries_sources  # noqa: F401
+from lobwright.plans import queries_execution, queries_features, queries_results, queries_sources  # noqa: F401
 from lobwright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

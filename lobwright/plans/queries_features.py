@@ -300,8 +300,9 @@ def _(spark, sf):
 
 
 @query("l1b_labels_reset_windows", ID + "future_ret_h:r10 label:s",
-       "select * from l", extra={"l": O.labels("rowf").replace("as future_mid from", f"as future_mid, lead(event_us, 50) over ({O.W}) as later from")
-                                 + " and later // 864000000000 = event_us // 864000000000"})
+       "select * from l", extra={"l": O.labels("rowf")
+              .replace("as future_mid from", f"as future_mid, lead(event_us, 50) over ({O.W}) as later from")
+              .replace("future_mid is not null", "later // 864000000000 = event_us // 864000000000")})
 def _(spark, sf):
     return add_labels(_priced(spark, sf).drop("bids", "asks"), reset_every_us=10 * 86_400_000_000)
 

@@ -124,7 +124,7 @@ def _(spark, sf):
 
 
 _UNSORTED_SQL = """
-  select exchange, symbol, month, count(*) as n_rows, count(*) filter (where (o, r, s) < (po, pr, ps)) as n_unsorted
+  select exchange, symbol, month, count(*) as n_rows, count(*) filter (where po is not null and (o, r, s) < (po, pr, ps)) as n_unsorted
   from (select *, lag(o) over w as po, lag(r) over w as pr, lag(s) over w as ps
         from (select exchange, symbol, arrival, coalesce(strftime(event_time, '%Y-%m'), 'unknown') as month,
                      coalesce(epoch_us(try_cast(origin_time as timestamp)), -1) as o,
