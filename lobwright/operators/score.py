@@ -183,8 +183,8 @@ def train_boosted(df: DataFrame, features=MODEL_FEATURES, split: str = "train",
     models = []
     for c in LABELS:
         gbt = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=step,
-                            subsamplingRate=0.9, seed=seed, probabilityCol=f"_p_{c}", rawPredictionCol=f"_r_{c}",
-                            predictionCol=f"_q_{c}")
+                            subsamplingRate=0.9, seed=seed, predictionCol=f"_q_{c}")
+        gbt.setProbabilityCol(f"_p_{c}").setRawPredictionCol(f"_r_{c}")
         models.append(gbt.fit(ready.withColumn("_y", (F.col("label") == c).cast("double"))))
     return prep, models
 

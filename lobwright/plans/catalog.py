@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from lobwright.plans import queries_execution, queries_features, queries_results, queries_sources  # noqa: F401
+from lobwright.plans import (  # noqa: F401
+    queries_execution,
+    queries_features,
+    queries_models,
+    queries_results,
+    queries_sources,
+)
 from lobwright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

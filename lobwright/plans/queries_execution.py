@@ -398,7 +398,7 @@ _STRESS = {
         for i, a, lv, c in _CASES
     )
     + ") v(scenario, stress_axis, stress_level, fee_bps, latency, sm, dm)",
-    "stress_signals": """select s.exchange, s.symbol, s.policy, s.event_idx, s.action, c.* from easy_signals s, cases c""".replace(
+    "stress_signals": """select s.exchange, s.symbol, s.policy, s.event_idx, s.action, c.* from easy_signals s join cases c on true""".replace(
         "c.*", "c.scenario, c.stress_axis, c.stress_level, c.fee_bps, c.latency, c.sm, c.dm"
     ),
     **O.trips("x", "stress_signals", "test", "s.policy, s.scenario, s.stress_axis, s.stress_level, s.fee_bps"),
