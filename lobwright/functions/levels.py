@@ -1,9 +1,9 @@
 """Access to book levels, as SQL text.
 
-``bids`` and ``asks`` are ``array<struct<price,size>>``, best level first.  Levels are addressed one by one, so
-that over a wide source ``array(struct(bid_0_price, ...), ...)[3].size`` folds back to the plain column
-``bid_3_size`` and only the levels a query uses are read from parquet.  Formulas are SQL text because a plan of a few
-hundred expressions is then one call to the JVM per column rather than one per operator.
+A snapshot table holds its levels either wide (``bid_3_size``) or as ``bids``/``asks``, ``array<struct<price,size>>`` with
+the best level first.  Formulas over single levels take whichever form the table has: over a wide file only the level
+columns a formula names are read.  Operators that fold or compare whole sides need the arrays.  Formulas are SQL text
+because a plan of a few hundred expressions is then one call to the JVM per column rather than one per operator.
 """
 
 from __future__ import annotations
@@ -20,17 +20,25 @@ def add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr("*", *[f"{sql} as {name}" for name, sql in columns.items()])
 
 
-def px(side: str, level: int) -> str:
-    return f"{side}s[{level}].price"
+class Levels:
+    """Level access in the form ``columns`` hold."""
 
+    def __init__(self, columns):
+        self.wide = "bid_0_price" in columns
 
-def sz(side: str, level: int) -> str:
-    return f"{side}s[{level}].size"
+    def px(self, side: str, level: int) -> str:
+        return f"{side}_{level}_price" if self.wide else f"{side}s[{level}].price"
 
+    def sz(self, side: str, level: int) -> str:
+        return f"{side}_{level}_size" if self.wide else f"{side}s[{level}].size"
 
-def depth_sql(side: str, levels: int, first: int = 0) -> str:
-    """Sum of sizes from level ``first`` up to ``levels``; a missing size counts as nothing."""
-    return "(" + " + ".join(f"coalesce({sz(side, i)}, 0D)" for i in range(first, levels)) + ")"
+    def depth(self, side: str, levels: int) -> str:
+        """Sum of the first sizes; a missing size counts as nothing."""
+        return "(" + " + ".join(f"coalesce({self.sz(side, i)}, 0D)" for i in range(levels)) + ")"
+
+
+ARRAYS = Levels(("bids", "asks"))
+px, sz, depth_sql = ARRAYS.px, ARRAYS.sz, ARRAYS.depth
 
 
 def price(side: str, level: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lobwright.functions.levels import BOOK_LEVELS, any_level, price, px, sz
+from lobwright.functions.levels import BOOK_LEVELS, Levels, any_level, price
 from lobwright.functions.scalars import KEYS, event_time, micros
 from lobwright.operators.chunks import CHUNK_ROWS, chunk_window, drop_halo, with_halo
 from lobwright.sources.book import book_columns
@@ -32,8 +32,9 @@ def with_event_time(df: DataFrame) -> DataFrame:
     return df.withColumn("event_time", ts).withColumn("event_us", micros(F.col("event_time")))
 
 
-def usable_top(drop_crossed: bool = True) -> Column:
-    b, a, bs, az = px("bid", 0), px("ask", 0), sz("bid", 0), sz("ask", 0)
+def usable_top(columns, drop_crossed: bool = True) -> Column:
+    lv = Levels(columns)
+    b, a, bs, az = lv.px("bid", 0), lv.px("ask", 0), lv.sz("bid", 0), lv.sz("ask", 0)
     ok = f"{b} > 0 and {a} > 0 and {bs} > 0 and {az} > 0"
     return F.expr(f"{ok} and {b} <= {a}" if drop_crossed else ok)
 
@@ -42,7 +43,7 @@ def clean_book(df: DataFrame, drop_crossed: bool = True) -> DataFrame:
     """Rows with an event time and a usable best quote.  Locked books stay; a missing sequence becomes -1."""
     return (
         with_event_time(df)
-        .filter(F.col("event_time").isNotNull() & usable_top(drop_crossed))
+        .filter(F.col("event_time").isNotNull() & usable_top(df.columns, drop_crossed))
         .withColumn("sequence_number", F.coalesce(F.col("sequence_number").try_cast("long"), F.lit(-1).cast("long")))
     )
 

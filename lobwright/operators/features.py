@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lobwright.functions.levels import BOOK_LEVELS, SIDES, add, depth_sql, px, sz
+from lobwright.functions.levels import BOOK_LEVELS, SIDES, Levels, add, px, sz
 from lobwright.functions.scalars import KEYS
 from lobwright.operators.chunks import (
     CHUNK_ROWS,
@@ -40,7 +40,8 @@ CORE_COLUMNS = (
 
 def price_features(df: DataFrame, eps: float = EPS) -> DataFrame:
     """Mid, spread, relative spread, microprice and its deviation."""
-    b, a, bs, az = px("bid", 0), px("ask", 0), sz("bid", 0), sz("ask", 0)
+    lv = Levels(df.columns)
+    b, a, bs, az = lv.px("bid", 0), lv.px("ask", 0), lv.sz("bid", 0), lv.sz("ask", 0)
     d = add(df, {"mid_price": f"({b} + {a}) / 2D", "spread": f"{a} - {b}"})
     d = add(
         d,
@@ -54,7 +55,8 @@ def price_features(df: DataFrame, eps: float = EPS) -> DataFrame:
 
 def depth_features(df: DataFrame, depth_levels: tuple[int, ...] = DEPTH_LEVELS, eps: float = EPS) -> DataFrame:
     """Depth, imbalance, ratio and slope over the first K levels of each side."""
-    d = add(df, {f"{s}_depth_{k}": depth_sql(s, k) for k in depth_levels for s in SIDES})
+    lv = Levels(df.columns)
+    d = add(df, {f"{s}_depth_{k}": lv.depth(s, k) for k in depth_levels for s in SIDES})
     out: dict[str, str] = {}
     for k in depth_levels:
         b, a = f"bid_depth_{k}", f"ask_depth_{k}"
@@ -62,7 +64,7 @@ def depth_features(df: DataFrame, depth_levels: tuple[int, ...] = DEPTH_LEVELS,
         out[f"depth_imbalance_{k}"] = f"({b} - {a}) / ({b} + {a} + {eps}D)"
         out[f"depth_ratio_{k}"] = f"{b} / ({a} + {eps}D)"
         for s in SIDES:
-            out[f"book_slope_{s}_{k}"] = f"{s}_depth_{k} / (abs({px(s, 0)} - {px(s, k - 1)}) + {eps}D)"
+            out[f"book_slope_{s}_{k}"] = f"{s}_depth_{k} / (abs({lv.px(s, 0)} - {lv.px(s, k - 1)}) + {eps}D)"
     return add(d, out)
 
 

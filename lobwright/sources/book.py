@@ -30,22 +30,28 @@ def wide_schema(levels: int = BOOK_LEVELS, value_type: T.DataType | None = None)
     return T.StructType(fields + [T.StructField(c, value_type) for c in level_columns(levels)])
 
 
-def pack_levels(df: DataFrame, levels: int = BOOK_LEVELS) -> DataFrame:
-    """Wide level columns to ``bids``/``asks``.  Values that are not numbers, and NaN, become NULL."""
+def numeric_levels(df: DataFrame, levels: int = BOOK_LEVELS) -> DataFrame:
+    """Wide level columns as doubles.  Values that are not numbers, and NaN, become NULL."""
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    wide = set(level_columns(levels))
 
-    def number(name: str) -> str:
+    def cell(name: str) -> str:
+        if name not in wide:
+            return f"`{name}`"
         value = f"try_cast({name} as double)" if name in text else f"double({name})"
-        return f"nanvl({value}, null)"
+        return f"nanvl({value}, null) as {name}"
+
+    return df.selectExpr(*[cell(c) for c in df.columns])
 
+
+def pack_levels(df: DataFrame, levels: int = BOOK_LEVELS) -> DataFrame:
+    """Wide level columns to ``bids``/``asks``."""
     arrays = []
     for side in SIDES:
-        items = ", ".join(
-            f"struct({number(f'{side}_{i}_price')} as price, {number(f'{side}_{i}_size')} as size)" for i in range(levels)
-        )
+        items = ", ".join(f"struct({side}_{i}_price as price, {side}_{i}_size as size)" for i in range(levels))
         arrays.append(f"array({items}) as {side}s")
     wide = set(level_columns(levels))
-    return df.selectExpr(*[c for c in df.columns if c not in wide], *arrays)
+    return numeric_levels(df, levels).selectExpr(*[c for c in df.columns if c not in wide], *arrays)
 
 
 def unpack_levels(df: DataFrame, levels: int = BOOK_LEVELS) -> DataFrame:
