@@ -9,6 +9,7 @@ from lobwright.functions.levels import any_level, depth, price
 from lobwright.functions.scalars import KEYS, utc_day
 from lobwright.operators.chunks import CHUNK_ROWS, chunk_window, drop_halo, with_halo
 from lobwright.operators.quantiles import group_quantiles
+from lobwright.sources.stages import cut
 
 AUDITED_LEVELS = 10
 
@@ -54,7 +55,8 @@ def audit_rows(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 
 def audit_daily(df: DataFrame, chunk_rows: int = CHUNK_ROWS, group: tuple[str, ...] = (*KEYS, "trade_date")) -> DataFrame:
     """One row per symbol and UTC day.  Add a source-file column to ``group`` to audit file by file."""
-    rows = audit_rows(df, chunk_rows)
+    # Counts, distinct counts and quantiles all read these narrow rows, so they are written once.
+    rows = cut(audit_rows(df, chunk_rows), "audit_rows")
     group = list(group)
     names = list(_null_count_columns())
     # Duplicates: distinct values are counted in two steps, so a day's values never meet in one task's set.

@@ -10,6 +10,7 @@ from lobwright.functions.scalars import KEYS
 from lobwright.operators.chunks import (
     CHUNK_ROWS,
     ChunkSql,
+    add_rolling_median,
     add_rolling_z,
     chunk_window,
     drop_halo,
@@ -182,7 +183,7 @@ def return_features(
 
 
 def regime_features(df: DataFrame, win: ChunkSql, z_rows: int = Z_ROWS) -> DataFrame:
-    """Rolling z-scores and the scores the regime rules read."""
+    """Rolling z-scores and the scores the regime rules read, but for ``depth_drop``."""
     d = add_rolling_z(
         df,
         {
@@ -198,31 +199,45 @@ def regime_features(df: DataFrame, win: ChunkSql, z_rows: int = Z_ROWS) -> DataF
         max(20, z_rows // 5),
         EPS,
     )
-    # The warm-up uses the rows there are; a median over the whole table would look ahead.
-    d = add(d, {"_med": win.trailing("percentile(total_depth_10, 0.5D)", z_rows)})
     return add(
         d,
         {
             "spread_score": "spread_z_1m",
             "depth_score": "depth_z_1m",
             "imbalance_score": "abs(depth_imbalance_10)",
-            "depth_drop_top10": f"(total_depth_10 - _med) / (abs(_med) + {EPS}D)",
             "top_level_depletion_flag": "top_depth_share_bid < 0.05D",
             "spread_widening_flag": "spread_z_1m > 1D",
             "liquidity_drought_score": "spread_z_1m - depth_z_1m",
             "choppiness_score": "up_down_flip_rate_100",
             "latency_sensitivity_score": "abs(realized_vol_100) + abs(rel_spread)",
         },
-    ).drop("_med")
+    )
+
+
+def depth_drop(df: DataFrame, rows: int = Z_ROWS, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Depth against its trailing median.  The warm-up uses the rows there are; a median over the whole table would
+    look ahead.  The last step inside a chunk, see ``add_rolling_median``."""
+    d = add_rolling_median(df, "total_depth_10", rows, "_med", keys)
+    return add(d, {"depth_drop_top10": f"(total_depth_10 - _med) / (abs(_med) + {EPS}D)"}).drop("_med")
 
 
 def sequence_features(
-    df: DataFrame, chunk_rows: int = CHUNK_ROWS, keys: tuple[str, ...] = KEYS, regime: bool = True
+    df: DataFrame, chunk_rows: int = CHUNK_ROWS, keys: tuple[str, ...] = KEYS, columns: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """Order flow, returns and regime inputs in one chunked pass: a single exchange and a single sort."""
+    """Order flow, returns and regime inputs in one chunked pass: a single exchange and a single sort.
+
+    ``columns`` names what to keep; without ``depth_drop_top10`` among them everything stays in the JVM.
+    """
     win = ChunkSql(keys)
     out = return_features(order_flow(with_halo(df, back=LOOK_BACK, chunk_rows=chunk_rows), win), win)
-    return drop_halo(regime_features(out, win) if regime else out)
+    out = regime_features(out, win)
+    if columns is None:
+        return drop_halo(depth_drop(out, keys=keys))
+    wanted = [c for c in columns if c != "depth_drop_top10"]
+    if len(wanted) == len(columns):
+        return drop_halo(out).select(*columns)
+    hidden = [c for c in ("event_idx", "total_depth_10", *keys) if c not in wanted]
+    return drop_halo(depth_drop(out.select("_chunk", "_home", *wanted, *hidden), keys=keys)).select(*columns)
 
 
 def small_feature_set(df: DataFrame, chunk_rows: int = CHUNK_ROWS, keys: tuple[str, ...] = KEYS) -> DataFrame:

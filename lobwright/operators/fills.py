@@ -48,7 +48,7 @@ def sweep(
     target = f"(double({float(notional)!r}) / greatest(mid_price, {EPS}D))"
     moved = f"(mid_price + (l.price - mid_price) * {spread_multiplier})"
     shown = f"(l.size * {depth_multiplier})"
-    usable = f"coalesce(l.price > 0 and l.size > 0 and {moved} > 0 and {shown} > 0 and s.left > {DUST}D, false)"
+    usable = f"coalesce(s.left > {DUST}D and l.price > 0 and l.size > 0 and {moved} > 0 and {shown} > 0, false)"
     take = f"least(s.left, {shown})"
     start = f"named_struct('left', {target}, 'qty', 0D, 'value', 0D, 'best', double(null))"
     step = (

@@ -38,8 +38,9 @@ def group_quantiles(
     cols = {f"_v{i}": (expr, items) for i, (expr, items) in enumerate(columns.values())}
     slim = df.select(*keys, *[e.cast("double").alias(v) for v, (e, _) in cols.items()])
     if (largest if largest is not None else largest_group(df, keys)) <= exact_rows:
-        aggs = [F.percentile(v, F.lit(q)).alias(name) for v, (_, items) in cols.items() for name, q in items]
-        return slim.groupBy(*keys).agg(*aggs) if keys else slim.agg(*aggs)
+        aggs = [F.expr(f"percentile({v}, array({', '.join(f'{q}D' for _, q in items)})) as _p{v}") for v, (_, items) in cols.items()]
+        packed = slim.groupBy(*keys).agg(*aggs) if keys else slim.agg(*aggs)
+        return packed.selectExpr(*keys, *[f"_p{v}[{i}] as {n}" for v, (_, items) in cols.items() for i, (n, _) in enumerate(items)])
     return _bracketed(slim, keys, cols, accuracy)
 
 

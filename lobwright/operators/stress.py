@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lobwright.functions.scalars import KEYS
 from lobwright.operators.fills import Execution, charge, round_trips, summarize
 from lobwright.operators.thin import thin
+from lobwright.operators.tune import by_member
 
 # Axes and levels.
 STRESS_GRID = {
@@ -48,7 +49,7 @@ def stress_trades(
     """Trades of fixed signals under every scenario, in one job.
 
     Fees change neither fills nor the cooldown, so scenarios that differ only in fee share their fills: fifteen cells
-    need eight replays.  Only signal rows fan out.
+    need eight replays.  Only signal rows fan out; signals may carry ``members`` (policies sharing a row and side).
     """
     cells = scenarios(base, grid)
     plans: dict[tuple, list[tuple[str, float, float]]] = {}
@@ -65,10 +66,16 @@ def stress_trades(
             for i, (lat, sm, dm) in enumerate(plans)
         ]
     )
-    spread = signals.select(*keys, *by, "event_idx", "action", F.explode(fan).alias("_p")).select(
-        *keys, *by, "event_idx", "action", "_p.*"
+    shared = "members" in signals.columns
+    carry = ("members",) if shared else ()
+    inner = ("side",) if shared else by
+    sig = signals.withColumn("side", F.col("action")) if shared else signals
+    spread = sig.select(*keys, *inner, "event_idx", "action", *carry, F.explode(fan).alias("_p")).select(
+        *keys, *inner, "event_idx", "action", *carry, "_p.*"
     )
-    trips = round_trips(spread, book, base, by=(*by, "plan"), keys=keys)
+    trips = round_trips(spread, book, base, by=(*inner, "plan"), carry=carry, keys=keys)
+    if shared:
+        trips = by_member(trips.drop("side")).drop("theta")
     kept = thin(trips, [*keys, *by, "plan"], "signal_index", base.cooldown)
     cases = None
     for i, members in enumerate(plans.values()):

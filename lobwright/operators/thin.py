@@ -8,7 +8,7 @@ parallel.  No task sees more than one block of rows, or one group of summaries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lobwright.sources.stages import cut
@@ -17,38 +17,20 @@ BLOCK_ROWS = 2048
 GROUP_BLOCKS = 1024
 
 
-def _through(items: Column, state: Column, gap: int, idx: str) -> Column:
-    """First row still free after the block, given the first free row before it."""
-    return F.aggregate(items, state, lambda s, x: F.when(x[idx] >= s, x[idx] + F.lit(gap)).otherwise(s))
+def _compose(maps: str, first: str, blocked: str) -> str:
+    """State after a run of (at, map) summaries; a missing position accepts nothing and frees the row."""
+    return f"aggregate({maps}, named_struct('at', {first} - 1, 'r', {blocked}), (s, x) -> named_struct('at', x.at, 'r', {_NEXT})).r"
 
 
-def _compose(maps: Column, first: Column, blocked: Column, gap: int) -> Column:
-    """State after a run of (position, map) summaries; a missing position accepts nothing and frees the row."""
-    start = F.struct((first - 1).cast("long").alias("at"), blocked.cast("long").alias("r"))
-    return F.aggregate(
-        maps,
-        start,
-        lambda s, x: F.struct(x["at"].alias("at"), F.get(x["map"], _entry(s, x).cast("int")).alias("r")),
-    )
-
-
-def _entry(s: Column, x: Column) -> Column:
-    return F.when(x["at"] == s["at"] + 1, s["r"]).otherwise(F.lit(0).cast("long"))
+_ENTRY = "if(x.at = s.at + 1, s.r, 0L)"
+_NEXT = f"x.map[int({_ENTRY})]"
 
 
-def _entries(maps: Column, first: Column, blocked: Column) -> Column:
+def _entries(maps: str, first: str, blocked: str) -> str:
     """The entry state of every summary in the run."""
-    empty = F.expr("cast(array() as array<struct<at:bigint,r:bigint>>)")
-    start = F.struct((first - 1).cast("long").alias("at"), blocked.cast("long").alias("r"), empty.alias("out"))
-    return F.aggregate(
-        maps,
-        start,
-        lambda s, x: F.struct(
-            x["at"].alias("at"),
-            F.get(x["map"], _entry(s, x).cast("int")).alias("r"),
-            F.concat(s["out"], F.array(F.struct(x["at"].alias("at"), _entry(s, x).alias("r")))).alias("out"),
-        ),
-    )["out"]
+    start = f"named_struct('at', {first} - 1, 'r', {blocked}, 'out', cast(array() as array<struct<at:bigint,r:bigint>>))"
+    step = f"named_struct('at', x.at, 'r', {_NEXT}, 'out', concat(s.out, array(named_struct('at', x.at, 'r', {_ENTRY}))))"
+    return f"aggregate({maps}, {start}, (s, x) -> {step}).out"
 
 
 def thin(df: DataFrame, by: list[str], idx: str, gap: int, block_rows: int = BLOCK_ROWS, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
@@ -57,53 +39,25 @@ def thin(df: DataFrame, by: list[str], idx: str, gap: int, block_rows: int = BLO
         return df
     df = cut(df, "candidates")
     width = max(block_rows, gap)
-    payload = [c for c in df.columns if c not in by and c != idx]
-    states = F.sequence(F.lit(0).cast("long"), F.lit(gap - 1).cast("long"))
-    b = F.col("_b")
-    blocks = (
-        df.withColumn("_b", F.floor(F.col(idx) / F.lit(width)).cast("long"))
-        .groupBy(*by, "_b")
-        .agg(F.sort_array(F.collect_list(F.struct(idx, *payload))).alias("_items"))
-    )
-    end = (b + 1) * F.lit(width)
-    block_map = F.transform(
-        states, lambda r: F.greatest(_through(F.col("_items"), r + b * F.lit(width), gap, idx) - end, F.lit(0).cast("long"))
-    )
-    g = F.col("_g")
+    states = f"sequence(0L, {gap - 1}L)"
+    blocks = df.groupBy(*by, F.expr(f"{idx} div {width} as _b")).agg(F.expr(f"sort_array(collect_list({idx})) as _items"))
+    # The first free row after the block, for every number of rows blocked on entry.
+    through = f"aggregate(_items, r + _b * {width}, (s, x) -> if(x >= s, x + {gap}, s))"
     groups = (
-        blocks.select(*by, "_b", block_map.alias("_map"))
-        .withColumn("_g", F.floor(b / F.lit(group_blocks)).cast("long"))
-        .groupBy(*by, "_g")
-        .agg(F.sort_array(F.collect_list(F.struct(b.alias("at"), F.col("_map").alias("map")))).alias("_maps"))
-    )
-    first, last = g * F.lit(group_blocks), (g + 1) * F.lit(group_blocks) - 1
-    group_map = F.transform(
-        states,
-        lambda r: F.when(
-            F.element_at(F.col("_maps"), -1)["at"] == last, _compose(F.col("_maps"), first, r, gap)["r"]
-        ).otherwise(F.lit(0).cast("long")),
-    )
-    top = groups.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct(g.alias("at"), group_map.alias("map")))).alias("_top")
-    )
-    zero = F.lit(0).cast("long")
-    group_entry = top.select(*by, F.explode(_entries(F.col("_top"), zero, zero)).alias("_e")).select(
-        *by, F.col("_e.at").alias("_g"), F.col("_e.r").alias("_r")
-    )
-    block_entry = (
-        groups.join(group_entry, [*by, "_g"])
-        .select(*by, F.explode(_entries(F.col("_maps"), first, F.col("_r"))).alias("_e"))
-        .select(*by, F.col("_e.at").alias("_b"), F.col("_e.r").alias("_r"))
-    )
-    none = F.slice(F.col("_items"), 1, 0)
-    state0 = F.struct((F.col("_r") + b * F.lit(width)).cast("long").alias("free"), none.alias("out"))
-    kept = F.aggregate(
-        "_items",
-        state0,
-        lambda s, x: F.when(
-            x[idx] >= s["free"],
-            F.struct((x[idx] + F.lit(gap)).cast("long").alias("free"), F.concat(s["out"], F.array(x)).alias("out")),
-        ).otherwise(s),
-    )["out"]
-    out = blocks.join(block_entry, [*by, "_b"]).select(*by, F.explode(kept).alias("_x"))
-    return out.select(*by, F.col(f"_x.{idx}").alias(idx), *[F.col(f"_x.{c}").alias(c) for c in payload]).select(*df.columns)
+        blocks.selectExpr(*by, "_b", f"transform({states}, r -> greatest({through} - (_b + 1) * {width}, 0L)) as _map")
+        .groupBy(*by, F.expr(f"_b div {group_blocks} as _g"))
+        .agg(F.expr("sort_array(collect_list(named_struct('at', _b, 'map', _map))) as _maps"))
+    )
+    first, last = f"(_g * {group_blocks})", f"((_g + 1) * {group_blocks} - 1)"
+    group_map = f"transform({states}, r -> if(element_at(_maps, -1).at = {last}, {_compose('_maps', first, 'r')}, 0L))"
+    top = groups.groupBy(*by).agg(F.expr(f"sort_array(collect_list(named_struct('at', _g, 'map', {group_map}))) as _top"))
+    group_entry = top.selectExpr(*by, f"inline({_entries('_top', '0L', '0L')}) as (_g, _r)")
+    block_entry = groups.join(group_entry, [*by, "_g"]).selectExpr(
+        *by, f"inline({_entries('_maps', first, '_r')}) as (_b, _r)"
+    )
+    kept = (
+        f"aggregate(_items, cast(array() as array<bigint>), (out, x) -> "
+        f"if(x >= coalesce(try_element_at(out, -1) + {gap}, _r + _b * {width}), concat(out, array(x)), out))"
+    )
+    accepted = blocks.join(block_entry, [*by, "_b"]).selectExpr(*by, f"explode({kept}) as {idx}")
+    return df.join(accepted, [*by, idx], "left_semi")

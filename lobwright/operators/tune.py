@@ -65,10 +65,10 @@ def policy_action(policy: Column, theta: Column) -> Column:
 
 
 def grid_signals(df: DataFrame, grid: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """One row per (row, policy, side) that trades under some threshold, with the thresholds it trades under.
+    """One row per (row, side) that trades under some policy and threshold; ``members`` lists which.
 
-    The grid travels as one small array per (symbol, policy); thresholds that do nothing are removed in place, so
-    the row count never becomes rows x thresholds.
+    The grid travels as one small array per symbol; entries that do nothing are removed in place, so the row count
+    never becomes rows x thresholds, and a row is filled once per side however many policies and thresholds share it.
     """
     packed = grid.groupBy(*keys).agg(F.collect_list(F.struct("policy", "theta")).alias("_grid"))
     narrow = [
@@ -79,36 +79,31 @@ def grid_signals(df: DataFrame, grid: DataFrame, keys: tuple[str, ...] = KEYS) -
         "_grid",
         lambda g: F.struct(g["policy"].alias("policy"), g["theta"].alias("theta"), policy_action(g["policy"], g["theta"]).alias("action")),
     )
-    active = F.filter(acts, lambda a: a["action"] != 0)
-    kinds = F.array_distinct(F.transform("_active", lambda a: F.struct(a["policy"].alias("policy"), a["action"].alias("action"))))
     return (
         df.select(*narrow)
         .join(packed, list(keys))
-        .select(*keys, "event_idx", active.alias("_active"))
-        .filter(F.size("_active") > 0)
-        .withColumn("_kind", F.explode(kinds))
-        .select(
-            *keys,
-            "event_idx",
-            F.col("_kind.policy").alias("policy"),
-            F.col("_kind.action").alias("action"),
-            F.transform(
-                F.filter("_active", lambda a: (a["policy"] == F.col("_kind.policy")) & (a["action"] == F.col("_kind.action"))),
-                lambda a: a["theta"],
-            ).alias("thetas"),
+        .select(*keys, "event_idx", acts.alias("_acts"))
+        .selectExpr(*keys, "event_idx", "_acts", "explode(array(1Y, -1Y)) as action")
+        .selectExpr(
+            *keys, "event_idx", "action",
+            "transform(filter(_acts, a -> a.action = action), a -> struct(a.policy as policy, a.theta as theta)) as members",
         )
+        .filter("size(members) > 0")
     )
 
 
+def by_member(df: DataFrame) -> DataFrame:
+    """One row per member, with ``policy`` and ``theta`` columns."""
+    return df.selectExpr(*[c for c in df.columns if c != "members"], "inline(members)")
+
+
 def evaluate_grid(
     df: DataFrame, grid: DataFrame, cfg: Execution = Execution(), keys: tuple[str, ...] = KEYS
 ) -> DataFrame:
-    """Trade summary of every (symbol, policy, theta).  A row is filled once however many thresholds accept it."""
-    trips = round_trips(
-        grid_signals(df, grid, keys).withColumn("side", F.col("action")), df, cfg, by=("policy", "side"), carry=("thetas",), keys=keys
-    )
-    per_theta = trips.withColumn("theta", F.explode("thetas")).drop("thetas", "side")
-    trades = charge(cool_down(per_theta, cfg, ("policy", "theta"), keys), cfg.fee_bps)
+    """Trade summary of every (symbol, policy, theta)."""
+    signals = grid_signals(df, grid, keys).withColumn("side", F.col("action"))
+    trips = round_trips(signals, df, cfg, by=("side",), carry=("members",), keys=keys).drop("side")
+    trades = charge(cool_down(by_member(trips), cfg, ("policy", "theta"), keys), cfg.fee_bps)
     by = [*keys, "policy", "theta"]
     out = grid.join(summarize(trades, by), by, "left")
     zeros = ["n_trades", "n_trade_days"]
@@ -154,9 +149,9 @@ def winner_grid(selected: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 
 def winner_trades(df: DataFrame, winners: DataFrame, cfg: Execution = Execution(), keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Trades of the selected policies on another split."""
-    signals = grid_signals(df, winners, keys).drop("thetas")
-    trips = round_trips(signals, df, cfg, by=("policy",), keys=keys)
-    return charge(cool_down(trips, cfg, ("policy",), keys), cfg.fee_bps)
+    signals = grid_signals(df, winners, keys).withColumn("side", F.col("action"))
+    trips = round_trips(signals, df, cfg, by=("side",), carry=("members",), keys=keys).drop("side")
+    return charge(cool_down(by_member(trips).drop("theta"), cfg, ("policy",), keys), cfg.fee_bps)
 
 
 def systematic_sample(df: DataFrame, max_rows: int, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -11,6 +11,7 @@ from lobwright.operators.chunks import CHUNK_ROWS, ChunkSql, drop_halo, with_hal
 from lobwright.operators.clean import clean_book
 from lobwright.operators.features import (
     LOOK_BACK,
+    depth_drop,
     depth_features,
     distance_features,
     order_flow,
@@ -51,9 +52,19 @@ def indexed_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "book", lambda: book_rows(spark, sf_dir))
 
 
+# Stored per labelled row: the core columns, what the regime rules and models read, and the book.
+LABELLED_COLUMNS = (
+    "exchange", "symbol", "event_time", "event_us", "event_idx", "sequence_number", "mid_price", "spread", "rel_spread",
+    "microprice_deviation", "depth_imbalance_1", "depth_imbalance_5", "depth_imbalance_10", "total_depth_10", "ofi_1",
+    "ofi_5", "realized_vol_20", "realized_vol_100", "spread_z_1m", "depth_z_1m", "liquidity_drought_score",
+    "adverse_selection_score", "momentum_score", "choppiness_score", "latency_sensitivity_score", "depth_drop_top10",
+    "vol_score", "future_ret_h", "cost_threshold_t", "label_horizon_events", "label_fee_bps", "label", "bids", "asks",
+)
+
+
 def labelled_features(
     indexed: DataFrame, horizon: int = HORIZON, fee_bps: float = 1.0, slippage_buffer: float = 0.5,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS, columns: tuple[str, ...] = LABELLED_COLUMNS,
 ) -> DataFrame:
     """Features, regime inputs and labels in one chunked pass: one exchange, one sort."""
     d = distance_features(depth_features(price_features(indexed)))
@@ -61,18 +72,11 @@ def labelled_features(
     d = with_halo(d, back=LOOK_BACK, ahead=horizon, chunk_rows=chunk_rows)
     d = regime_features(return_features(order_flow(d, win), win), win)
     d = add(d, {"_future": win.lead("mid_price", horizon)})
-    d = drop_halo(d.filter("_future is not null"))
-    return label_columns(d, F.col("_future"), horizon, fee_bps, slippage_buffer, 1e-9).drop("_future")
+    d = label_columns(d, F.col("_future"), horizon, fee_bps, slippage_buffer, 1e-9)
+    d = d.select("_chunk", "_home", "_future", *[c for c in columns if c != "depth_drop_top10"])
+    return drop_halo(depth_drop(d).filter("_future is not null")).select(*columns)
 
 
-# Stored per labelled row: the core columns, what the regime rules and models read, and the book.
-LABELLED_COLUMNS = (
-    "exchange", "symbol", "event_time", "event_us", "event_idx", "sequence_number", "mid_price", "spread", "rel_spread",
-    "microprice_deviation", "depth_imbalance_1", "depth_imbalance_5", "depth_imbalance_10", "total_depth_10", "ofi_1",
-    "ofi_5", "realized_vol_20", "realized_vol_100", "spread_z_1m", "depth_z_1m", "liquidity_drought_score",
-    "adverse_selection_score", "momentum_score", "choppiness_score", "latency_sensitivity_score", "depth_drop_top10",
-    "vol_score", "future_ret_h", "cost_threshold_t", "label_horizon_events", "label_fee_bps", "label", "bids", "asks",
-)
 SCORED_COLUMNS = (
     "exchange", "symbol", "event_time", "event_us", "event_idx", "sequence_number", "split", "regime", "label", "pred_label",
     "prob_down", "prob_flat", "prob_up", "mid_price", "spread", "rel_spread", "microprice_deviation",
@@ -86,12 +90,17 @@ SCORED_COLUMNS = (
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage: labelled rows, every symbol."""
-    return stage(spark, sf_dir, "labelled", lambda: labelled_features(indexed_book(spark, sf_dir)).select(*LABELLED_COLUMNS))
+    return stage(spark, sf_dir, "labelled", lambda: labelled_features(indexed_book(spark, sf_dir)))
 
 
 def regimed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled(spark, sf_dir)
-    return apply_regimes(rows, fit_thresholds(rows))
+    """Stage: labelled rows with their regimes."""
+
+    def build():
+        rows = labelled(spark, sf_dir)
+        return apply_regimes(rows, fit_thresholds(rows))
+
+    return stage(spark, sf_dir, "regimed", build)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,29 +235,38 @@ _EASY = {
 }
 
 
-def easy_signals(spark, sf) -> DataFrame:
-    """Signals of all three policies on the test split at low thresholds, so that there are many."""
-    test = split_rows(spark, sf, "test")
-    grid = test.groupBy("exchange", "symbol").agg(F.lit(1).alias("one")).selectExpr(
+def easy_grid(test) -> DataFrame:
+    """Low thresholds for all three policies, so that there are many signals."""
+    return test.groupBy("exchange", "symbol").agg(F.lit(1).alias("one")).selectExpr(
         "exchange", "symbol",
-        "inline(array(struct('naive_threshold' as policy, 0.5D as theta), struct('cost_aware_threshold' as policy, 0D as theta), struct('risk_gate' as policy, 0D as theta)))",
+        "inline(array(struct('naive_threshold' as policy, 0.5D as theta), struct('cost_aware_threshold' as policy, 0D as theta), "
+        "struct('risk_gate' as policy, 0D as theta)))",
     )
-    return T.grid_signals(test, grid).drop("thetas")
+
+
+def easy_signals(spark, sf) -> DataFrame:
+    test = split_rows(spark, sf, "test")
+    return T.grid_signals(test, easy_grid(test))
+
+
+def easy_replay(spark, sf) -> DataFrame:
+    test = split_rows(spark, sf, "test")
+    return T.winner_trades(test, easy_grid(test), EXECUTION)
 
 
 def easy_trades(spark, sf) -> DataFrame:
-    return stage(spark, sf, "easy_trades", lambda: B.replay(
-        easy_signals(spark, sf), split_rows(spark, sf, "test"), EXECUTION, by=("policy",)))
+    return stage(spark, sf, "easy_trades", lambda: easy_replay(spark, sf))
 
 
 @query("b2_round_trips", _TRIP, "select * from z_trips", extra=_EASY)
 def _(spark, sf):
-    return B.round_trips(easy_signals(spark, sf), split_rows(spark, sf, "test"), EXECUTION, by=("policy",))
+    signals = T.by_member(easy_signals(spark, sf))
+    return B.round_trips(signals, split_rows(spark, sf, "test"), EXECUTION, by=("policy",))
 
 
 @query("b3_cooldown", _TRIP + " total_cost:r6 net_pnl:r6", "select * from easy_trades", extra=_EASY)
 def _(spark, sf):
-    return B.replay(easy_signals(spark, sf), split_rows(spark, sf, "test"), EXECUTION, by=("policy",))
+    return easy_replay(spark, sf)
 
 
 _SMALL_TRADES = {
@@ -337,7 +346,7 @@ def _(spark, sf):
     """Each threshold with the number of validation rows that trade under it."""
     valid = split_rows(spark, sf, "valid")
     grid = T.naive_grid(valid)
-    acting = T.grid_signals(valid, grid.withColumn("policy", F.lit("naive_threshold"))).withColumn("theta", F.explode("thetas"))
+    acting = T.by_member(T.grid_signals(valid, grid.withColumn("policy", F.lit("naive_threshold"))))
     n = acting.groupBy("symbol", "theta").agg(F.count("*").alias("n"))
     return grid.join(n, ["symbol", "theta"], "left").selectExpr("symbol", "theta", "coalesce(n, 0L) as n_signals")
 

@@ -216,8 +216,9 @@ def _(spark, sf):
     return _returns(spark, sf)
 
 
-def _sequence(spark, sf):
-    return sequence_features(distance_features(depth_features(_priced(spark, sf))))
+def _sequence(spark, sf, names: str):
+    columns = tuple(c.split(":")[0] for c in (ID + names).split())
+    return sequence_features(distance_features(depth_features(_priced(spark, sf))), columns=columns)
 
 
 _Z = "vol_score:r5 spread_z_1m:r5 depth_z_1m:r5 ofi_proxy_score:r5 momentum_score:r5 adverse_selection_score:r5"
@@ -225,15 +226,18 @@ _Z = "vol_score:r5 spread_z_1m:r5 depth_z_1m:r5 ofi_proxy_score:r5 momentum_scor
 
 @query("f7_rolling_z", ID + _Z, "select * from inputs")
 def _(spark, sf):
-    return _sequence(spark, sf)
+    return _sequence(spark, sf, _Z)
 
 
-@query("f8_regime_inputs",
-       ID + "imbalance_score:r8 depth_drop_top10:r7 top_level_depletion_flag:b spread_widening_flag:b "
-       "liquidity_drought_score:r5 choppiness_score:r7 latency_sensitivity_score:r10",
-       "select * from inputs")
+_INPUTS = (
+    "imbalance_score:r8 depth_drop_top10:r7 top_level_depletion_flag:b spread_widening_flag:b liquidity_drought_score:r5 "
+    "choppiness_score:r7 latency_sensitivity_score:r10"
+)
+
+
+@query("f8_regime_inputs", ID + _INPUTS, "select * from inputs")
 def _(spark, sf):
-    return _sequence(spark, sf)
+    return _sequence(spark, sf, _INPUTS)
 
 
 _WIN_SQL = f"""

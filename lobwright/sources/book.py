@@ -77,7 +77,12 @@ def events_book(spark: SparkSession, sf_dir: str, defects: bool = False, levels:
 
     ``defects=True`` adds the faults the cleaning and audit operators look for, at fixed event-id residues.
     """
-    ev = read_events(spark, sf_dir).selectExpr(
+    ev = read_events(spark, sf_dir)
+    cores = spark.sparkContext.defaultParallelism
+    if len(ev.inputFiles()) < cores:
+        # Fewer files than cores: spread the narrow rows before each becomes forty levels wide.
+        ev = ev.repartition(cores, "event_id")
+    ev = ev.selectExpr(
         "*", "1000D + value / 100D as _mid", "0.05D + (event_id % 7) * 0.01D as _half",
         "date_format(cast(ts as timestamp), 'yyyy-MM-dd HH:mm:ss.SSSSSS') as _text",
     )

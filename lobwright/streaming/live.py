@@ -29,8 +29,16 @@ from lobwright.sources.stages import cut
 TAIL_COLUMNS = (*KEYS, "event_us", "sequence_number", "event_idx", "bids", "asks")
 
 
-def live_features(rows: DataFrame) -> DataFrame:
-    return sequence_features(distance_features(depth_features(price_features(rows))))
+LIVE_COLUMNS = (
+    *KEYS, "event_us", "event_idx", "sequence_number", "mid_price", "spread", "rel_spread", "microprice_deviation",
+    "depth_imbalance_1", "depth_imbalance_5", "depth_imbalance_10", "total_depth_10", "ofi_1", "ofi_5", "realized_vol_20",
+    "realized_vol_100", "return_autocorr_100", "spread_z_1m", "depth_z_1m", "liquidity_drought_score",
+    "adverse_selection_score", "momentum_score", "choppiness_score", "latency_sensitivity_score", "depth_drop_top10", "vol_score",
+)
+
+
+def live_features(rows: DataFrame, columns: tuple[str, ...] = LIVE_COLUMNS) -> DataFrame:
+    return sequence_features(distance_features(depth_features(price_features(rows))), columns=columns)
 
 
 class LiveBook:

@@ -42,7 +42,8 @@ def test_sequence_windows_are_chunked(spark, sf):
     from lobwright.operators.features import depth_features, distance_features, price_features, sequence_features
     from lobwright.plans.chain import indexed_book
 
-    df = sequence_features(distance_features(depth_features(price_features(indexed_book(spark, sf)))))
+    columns = ("symbol", "event_idx", "vol_score", "ofi_10", "return_autocorr_500", "depth_drop_top10")
+    df = sequence_features(distance_features(depth_features(price_features(indexed_book(spark, sf)))), columns=columns)
     plan = df._jdf.queryExecution().executedPlan().toString()
     specs = [line for line in plan.splitlines() if "windowspecdefinition" in line]
     assert specs and all("_chunk" in line for line in specs)

@@ -70,7 +70,7 @@ def test_chunks_equal_one_piece(spark):
              "depth_drop_top10", "spread_widening_flag"]
 
     def run(c):
-        return sequence_features(rows, chunk_rows=c).select("symbol", "event_idx", *names).orderBy("symbol", "event_idx").toPandas()
+        return sequence_features(rows, chunk_rows=c, columns=("symbol", "event_idx", *names)).orderBy("symbol", "event_idx").toPandas()
 
     one, cut = run(10**9), run(600)
     assert len(one) == len(cut) == 10_000
