@@ -9,7 +9,7 @@ from lobwright.functions.levels import any_level, depth, price
 from lobwright.functions.scalars import KEYS, utc_day
 from lobwright.operators.chunks import CHUNK_ROWS, chunk_window, drop_halo, with_halo
 from lobwright.operators.quantiles import group_quantiles
-from lobwright.sources.stages import cut
+from lobwright.sources.stages import cut, per_key
 
 AUDITED_LEVELS = 10
 
@@ -134,7 +134,7 @@ def histogram(df: DataFrame, value: Column, bins: int = 50, keys: tuple[str, ...
     """Equal-width bins between the group's minimum and maximum, over all rows."""
     keys = list(keys)
     vals = df.select(*keys, value.alias("_v")).filter(F.col("_v").isNotNull())
-    span = vals.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    span = per_key(vals.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     place = F.coalesce(F.try_divide(F.col("_v") - F.col("lo"), width), F.lit(0.0))
     bin_no = F.least(F.floor(F.round(place, 9)), F.lit(bins - 1))

@@ -17,6 +17,7 @@ from lobwright.operators.chunks import (
     sample_std,
     with_halo,
 )
+from lobwright.sources.stages import per_key
 
 EPS = 1e-9
 DEPTH_LEVELS = (1, 3, 5, 10, 20)
@@ -284,5 +285,5 @@ def level_windows(
 
 def with_group_position(df: DataFrame, group: tuple[str, ...] = (*KEYS, "split", "date")) -> DataFrame:
     """``pos``: the row's offset inside its group, for groups that are contiguous runs of ``event_idx``."""
-    starts = df.groupBy(*group).agg(F.min("event_idx").alias("_first"))
+    starts = per_key(df.groupBy(*group).agg(F.min("event_idx").alias("_first")))
     return df.join(starts, list(group)).withColumn("pos", F.col("event_idx") - F.col("_first")).drop("_first")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lobwright.functions.levels import px, sz
 from lobwright.functions.scalars import KEYS, utc_day
 from lobwright.operators.thin import thin
+from lobwright.sources.stages import cut, per_key
 
 EPS = 1e-9
 DUST = 1e-12
@@ -99,7 +100,8 @@ def round_trips(
         setting("spread_multiplier").alias("_sm"), setting("depth_multiplier").alias("_dm"), leg.alias("_l"),
     ).select(*keys, *by, "signal_index", "action", *carry, "_sm", "_dm", "_l.leg", F.col("_l.at").alias("event_idx"), "_l._side")
     rows = book.select(*keys, "event_idx", "event_us", "regime", "mid_price", "bids", "asks")
-    last = book.groupBy(*keys).agg(F.max("event_idx").alias("_last"))
+    legs = cut(legs, "legs")  # its real size decides whether the book has to be shuffled
+    last = per_key(book.groupBy(*keys).agg(F.max("event_idx").alias("_last")))
     fits = F.col("event_idx") <= F.col("_last") if cfg.last_row else F.col("event_idx") < F.col("_last")
     fill = sweep("_side", cfg.notional, "_sm", "_dm", cfg.partial_fill)
     filled = (

@@ -56,9 +56,9 @@ def event_index(
 
 
 def _split_hot(df, counts, keys, time_col, seq_col, hot_rows):
-    # At most total / hot_rows buckets can be hot, so these tables stay small.
+    # At most total / hot_rows buckets can be hot: 50,000 small rows at 10^11 rows, a bound that holds for any skew.
     hot = counts.filter(F.col("_n") > hot_rows).select(*keys, "_b1", F.lit(True).alias("_hot"))
-    df = df.join(hot, [*keys, "_b1"], "left")
+    df = df.join(F.broadcast(hot), [*keys, "_b1"], "left")
     df = df.withColumn("_b2", F.when(F.col("_hot"), F.col(time_col)).otherwise(F.lit(-1)).cast("long"))
     burst = (
         df.filter("_hot")
@@ -67,7 +67,7 @@ def _split_hot(df, counts, keys, time_col, seq_col, hot_rows):
         .filter(F.col("_m") > hot_rows)
         .select(*keys, "_b1", "_b2", F.lit(True).alias("_burst"))
     )
-    df = df.join(burst, [*keys, "_b1", "_b2"], "left")
+    df = df.join(F.broadcast(burst), [*keys, "_b1", "_b2"], "left")
     block = F.floor(F.col(seq_col) / F.lit(hot_rows)).cast("long")
     return df.withColumn("_b3", F.when(F.col("_burst"), block).otherwise(F.lit(-1))).drop("_hot", "_burst")
 

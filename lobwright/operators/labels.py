@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lobwright.functions.scalars import KEYS
 from lobwright.operators.chunks import CHUNK_ROWS, chunk_window, drop_halo, with_halo
+from lobwright.sources.stages import per_key
 
 # Label order used by every matrix and probability vector.
 LABELS = ("DOWN", "FLAT", "UP")
@@ -55,7 +56,7 @@ def add_labels(
 
 def class_return_means(df: DataFrame, split: str = "train", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Mean future return per class on one split, a column per class; an absent class counts as 0."""
-    return (
+    return per_key(
         df.filter(F.col("split") == split)
         .groupBy(*keys)
         .agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lobwright.functions.scalars import KEYS, utc_day, utc_month, zero_if_null
 from lobwright.operators.chunks import CHUNK_ROWS, chunk_window, drop_halo, with_halo
 from lobwright.operators.quantiles import EXACT_ROWS, group_quantiles
+from lobwright.sources.stages import per_key
 
 # Quantile settings, regime order and threshold quantiles.
 SETTINGS = {
@@ -91,7 +92,7 @@ def taxonomy_scores(df: DataFrame) -> DataFrame:
 
 
 def sequence_length(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n_events"))
+    return per_key(df.groupBy(*keys).agg(F.count("*").alias("n_events")))
 
 
 def train_prefix(df: DataFrame, fraction: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -116,7 +117,7 @@ def fit_thresholds(
         prefix + name: (F.col(score), q[level] if isinstance(level, str) else level)
         for name, (score, level) in THRESHOLDS.items()
     }
-    return group_quantiles(train, list(keys), wanted, exact_rows)
+    return per_key(group_quantiles(train, list(keys), wanted, exact_rows))
 
 
 def _test(score: str, how: str, threshold: str, prefix: str) -> Column:
@@ -195,7 +196,7 @@ def sensitivity(df: DataFrame, train_fraction: float = 0.6, keys: tuple[str, ...
 def seven_regimes(df: DataFrame, train_split: str = "train", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The seven-regime variant: later rules override earlier ones, thresholds from the train split."""
     train = df.filter(F.col("split") == train_split)
-    q = group_quantiles(
+    q = per_key(group_quantiles(
         train,
         list(keys),
         {
@@ -206,7 +207,7 @@ def seven_regimes(df: DataFrame, train_split: str = "train", keys: tuple[str, ..
             "_vol_lo": (F.col("realized_vol_20"), 0.40),
             "_mom_hi": (F.abs(F.col("momentum_score")), 0.80),
         },
-    )
+    ))
     d = df.join(q, list(keys))
 
     def at(score: Column, how: str, cut: str) -> Column:

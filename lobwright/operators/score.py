@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lobwright.functions.scalars import KEYS
 from lobwright.operators.labels import LABELS
+from lobwright.sources.stages import per_key
 
 # The features the forecasting models read.
 MODEL_FEATURES = (
@@ -33,7 +34,7 @@ def fit_standardizer(df: DataFrame, columns, split: str = "train", keys: tuple[s
     for c in columns:
         sd = F.stddev_samp(c)
         aggs += [F.avg(c).alias(f"{c}__mean"), F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(sd).alias(f"{c}__std")]
-    return df.filter(F.col("split") == split).groupBy(*keys).agg(*aggs)
+    return per_key(df.filter(F.col("split") == split).groupBy(*keys).agg(*aggs))
 
 
 def apply_standardizer(df: DataFrame, stats: DataFrame, columns, keys: tuple[str, ...] = KEYS) -> DataFrame:

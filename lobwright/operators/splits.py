@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lobwright.functions.scalars import KEYS
 from lobwright.operators.regimes import sequence_length
+from lobwright.sources.stages import per_key
 
 # Split order.
 SPLITS = ("train", "valid", "test")
@@ -93,7 +94,7 @@ def walk_forward(df: DataFrame, folds: int, train_us: int, test_us: int, purge_u
 
     A row's folds follow from its offset to the symbol's first event, so each row is expanded only into them.
     """
-    start = df.groupBy(*KEYS).agg(F.min("event_us").alias("_t0"))
+    start = per_key(df.groupBy(*KEYS).agg(F.min("event_us").alias("_t0")))
     off = F.col("event_us") - F.col("_t0")
     fold = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
     rel = F.col("_off") - F.col("fold") * F.lit(test_us)

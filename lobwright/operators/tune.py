@@ -9,6 +9,7 @@ from lobwright.functions.scalars import KEYS, hash_unit
 from lobwright.operators import decide
 from lobwright.operators.fills import Execution, charge, cool_down, round_trips, summarize
 from lobwright.operators.quantiles import group_quantiles, largest_group
+from lobwright.sources.stages import per_key
 
 # Grids.
 NAIVE_GRID = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
@@ -70,7 +71,7 @@ def grid_signals(df: DataFrame, grid: DataFrame, keys: tuple[str, ...] = KEYS) -
     The grid travels as one small array per symbol; entries that do nothing are removed in place, so the row count
     never becomes rows x thresholds, and a row is filled once per side however many policies and thresholds share it.
     """
-    packed = grid.groupBy(*keys).agg(F.collect_list(F.struct("policy", "theta")).alias("_grid"))
+    packed = per_key(grid.groupBy(*keys).agg(F.collect_list(F.struct("policy", "theta")).alias("_grid")))
     narrow = [
         *keys, "event_idx", "prob_up", "prob_down", "estimated_edge", "rel_spread", "label_fee_bps", "estimated_cost",
         "latency_risk", "liquidity_risk", "adverse_risk", "regime_risk",
@@ -156,7 +157,7 @@ def winner_trades(df: DataFrame, winners: DataFrame, cfg: Execution = Execution(
 
 def systematic_sample(df: DataFrame, max_rows: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Every k-th row of a split, k = ceil(n / max_rows); the split is a contiguous run of ``event_idx``."""
-    span = df.groupBy(*keys).agg(F.min("event_idx").alias("_first"), F.count("*").alias("_n"))
+    span = per_key(df.groupBy(*keys).agg(F.min("event_idx").alias("_first"), F.count("*").alias("_n")))
     step = F.greatest(F.ceil(F.col("_n") / F.lit(max_rows)), F.lit(1))
     return df.join(span, list(keys)).filter((F.col("event_idx") - F.col("_first")) % step == 0).drop("_first", "_n")
 

@@ -44,6 +44,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def per_key(df: DataFrame) -> DataFrame:
+    """A table of one row per symbol or the like, written once so that its true size is known before it is joined.
+
+    An aggregate's size is only guessed at planning time, and a join with it would shuffle the big side first.  Over
+    the written table Spark compares the real size with ``autoBroadcastJoinThreshold``: below it the table is
+    broadcast, above it the join is a shuffle join.
+    """
+    return cut(df, "per_key")
+
+
 def stage(spark: SparkSession, scope: str, name: str, build) -> DataFrame:
     """Reads stage ``name`` of input ``scope``, writing it first if this session has not."""
     key = (spark.sparkContext.applicationId, scope, name)
