@@ -199,7 +199,8 @@ def _(spark, sf):
 
 
 @query("k5b_transfer_drift", "train_symbol:s test_symbol:s feature:s mean_ratio:r6 median_ratio:r6",
-       """select a.symbol as train_symbol, b.symbol as test_symbol, a.feature, b.mean / a.mean as mean_ratio, b.median / a.median as median_ratio
+       """select a.symbol as train_symbol, b.symbol as test_symbol, a.feature, case when abs(a.mean) >= 1e-12 then b.mean / a.mean end as mean_ratio,
+                 case when abs(a.median) >= 1e-12 then b.median / a.median end as median_ratio
           from (select * from drift where split = 'train') a join (select * from drift where split = 'test') b
             on a.feature = b.feature and a.symbol <> b.symbol where a.feature <> 'vol_score'""", extra=_DRIFT)
 def _(spark, sf):
