@@ -402,7 +402,7 @@ def _(spark, sf):
 
 
 @query("j9_overfitting_readiness", "status:s n_candidate_groups:i n_threshold_candidates:i",
-       """select 'INFEASIBLE_FROM_CURRENT_SAVED_ARTIFACTS' as status, count(*) as n_candidate_groups, sum(n) as n_threshold_candidates
+       """select 'INFEASIBLE_FROM_CURRENT_SAVED_ARTIFACTS' as status, count(*) as n_candidate_groups, coalesce(sum(n), 0) as n_threshold_candidates
           from (select symbol, policy, count(*) as n from tuned group by 1, 2)""")
 def _(spark, sf):
     counts = J.candidate_counts(tuned(spark, sf).withColumn("split", F.lit("valid")), ["symbol", "policy"])

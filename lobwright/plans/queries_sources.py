@@ -263,7 +263,7 @@ def _(spark, sf):
 
 
 _AUDIT_COLS = (
-    "exchange:s symbol:s trade_date:s n_rows:i first_us:i last_us:i duration_seconds:r6 mean_snapshot_interval_ms:r4 "
+    "exchange:s symbol:s trade_date:s n_rows:i first_us:i last_us:i duration_seconds:r6 mean_snapshot_interval_ms:r6 "
     "p50_snapshot_interval_ms:r6 p95_snapshot_interval_ms:r6 p99_snapshot_interval_ms:r6 n_duplicate_timestamps:i "
     "n_duplicate_sequence_numbers:i n_non_monotonic_sequence:i n_missing_values_by_column:s n_crossed_book_rows:i "
     "n_zero_or_negative_price_rows:i n_zero_or_negative_size_rows:i spread_mean:r6 spread_p50:r6 spread_p95:r6 "

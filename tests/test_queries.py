@@ -13,24 +13,32 @@ from check_queries import TABLES, canon  # noqa: E402
 import __spark_entry__ as entry  # noqa: E402
 
 SLOW = ("x1", "x2", "x3", "x4", "m3", "m4", "m4b", "m6", "r10")
+# The smallest tables leave no validation rows after the purge; what needs trades runs one size up.
+LARGER = ("b", "t", "g", "h", "j", "f13", "k7", "k8", "e8")
+LARGER_SF = "/root/testdata/sf0.01"
 NAMES = [n for n in entry.queries() if n.split("_")[0] not in SLOW]
 
 
 @pytest.fixture(scope="module")
 def duck(sf):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    return con
+    def connect(folder):
+        con = duckdb.connect()
+        for t in TABLES:
+            con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+        return con
+
+    return {folder: connect(folder) for folder in {sf, LARGER_SF}}
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, sf, duck, name):
-    df = entry.queries()[name](spark, sf)
-    rel = duck.execute(entry.oracle_sql()[name])
+    folder = LARGER_SF if name.startswith(LARGER) else sf
+    df = entry.queries()[name](spark, folder)
+    rel = duck[folder].execute(entry.oracle_sql()[name])
     names = [d[0] for d in rel.description]
     assert sorted(names) == sorted(df.columns)
-    assert canon([tuple(r) for r in df.collect()], df.columns) == canon(rel.fetchall(), names)
+    got = canon([tuple(r) for r in df.collect()], df.columns)
+    assert got and got == canon(rel.fetchall(), names)
 
 
 def test_entry_returns_rows(spark):
