@@ -22,6 +22,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_root:
         _local_root.append(tempfile.mkdtemp(prefix="spark-lobwright-"))
     return _local_root[0]
@@ -32,14 +34,15 @@ def forget_stages() -> None:
     _written.clear()
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder in the checkpoint folder that nothing else uses."""
     folder = f"{next(_counter):05d}-{os.urandom(4).hex()}-{name}"
     return os.path.join(checkpoint_root(spark), "lobwright", spark.sparkContext.applicationId, folder)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """The same rows, read back from a written table: what lies above it runs once, however often it is used."""
-    path = _new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -59,7 +62,7 @@ def stage(spark: SparkSession, scope: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, scope, name)
     if key not in _written:
         df = build()
-        path = _new_path(spark, name)
+        path = new_path(spark, name)
         df.write.parquet(path)
         _written[key] = (path, df.schema)
     path, schema = _written[key]
