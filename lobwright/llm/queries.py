@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lobwright.llm.common import table
+from lobwright.llm.packing import pack_documents
 from lobwright.llm.sharding import shard_documents
+from lobwright.llm.token_store import token_digest, write_tokens
 from lobwright.llm.url_rules import judge_urls
+from lobwright.sources.stages import new_path
 
 #: The filter list of op9 as (host, path, verdict).
 URL_RULES = [
@@ -20,6 +24,16 @@ URL_RULES = [
 ]
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_digest(spark, path)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -30,6 +44,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
+    "op6_packing": op6_packing,
     "op9_url_rules": op9_url_rules,
     "op10_sharding": op10_sharding,
 }
