@@ -37,7 +37,7 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, name: str = "bounded") ->
 
 def words(text: Column) -> Column:
     """Runs of characters other than ASCII white space; null or blank text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
 def lower_ascii(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lobwright.llm.common import table
 from lobwright.llm.packing import pack_documents
+from lobwright.llm.quality_rules import quality_table
 from lobwright.llm.sharding import shard_documents
 from lobwright.llm.token_store import token_digest, write_tokens
 from lobwright.llm.url_rules import judge_urls
@@ -34,6 +35,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_table(table(spark, sf_dir, "documents"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -46,6 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op6_packing": op6_packing,
+    "op7_quality_rules": op7_quality_rules,
     "op9_url_rules": op9_url_rules,
     "op10_sharding": op10_sharding,
 }
@@ -61,4 +67,23 @@ best as (select k, max(h || p) as rule, max_by(h || p, length(h || p)) as longes
 select page_id, host, path, longest as rule, coalesce(v, 'allow') as verdict from k left join best using (k)
 """.format(rules=", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES))
 
-ORACLES: dict[str, str] = {"op9_url_rules": _OP9}
+#: Op7's twin: windows as text, counted by a window function.
+_OP7 = """
+with t as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+w as (select *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from t),
+g as (select k, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) as gram from (select k, w, unnest(range(1, len(w) - 1)) as i from w)),
+r as (select k, i from (select k, i, count(*) over (partition by k, gram) as n from g) where n > 1),
+c as (select k, count(distinct i + d) as n_repeat_words from r, (values (0), (1), (2)) as o(d) group by k),
+m as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+        (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(lines) as n_lines,
+        coalesce(n_repeat_words, 0)::bigint as n_repeat_words from w left join c using (k)),
+f as (select *, (case when n_words < 50 then 1 else 0 end + case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end
+        + case when 10 * n_symbols > n_words then 4 else 0 end + case when 2 * n_dup_lines > n_lines then 8 else 0 end
+        + case when word_chars < 2 * n_words or word_chars > 20 * n_words then 16 else 0 end)::int as failed_rules from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 as base_failed,
+  failed_rules = 0 as kept, failed_rules from f
+"""
+
+ORACLES: dict[str, str] = {"op7_quality_rules": _OP7, "op9_url_rules": _OP9}
