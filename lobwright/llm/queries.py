@@ -11,6 +11,7 @@ from lobwright.llm.common import table
 from lobwright.llm.packing import pack_documents
 from lobwright.llm.quality_rules import quality_table
 from lobwright.llm.sharding import shard_documents
+from lobwright.llm.simhash import simhash_groups
 from lobwright.llm.token_store import token_digest, write_tokens
 from lobwright.llm.url_rules import judge_urls
 from lobwright.sources.stages import new_path
@@ -31,6 +32,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, path)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -50,6 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op3_simhash": op3_simhash,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_url_rules": op9_url_rules,
