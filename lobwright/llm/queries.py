@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lobwright.llm.common import table
+from lobwright.llm.html_density import extract_main_text
 from lobwright.llm.packing import pack_documents
 from lobwright.llm.quality_rules import quality_table
 from lobwright.llm.sharding import shard_documents
@@ -36,6 +37,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -56,6 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_simhash": op3_simhash,
+    "op4_html_density": op4_html_density,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_url_rules": op9_url_rules,
