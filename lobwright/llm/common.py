@@ -43,3 +43,14 @@ def words(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def token_hashes(text: Column) -> Column:
+    """64-bit hashes of the text's runs of letters and digits, lower-cased: punctuation, case and line breaks don't count."""
+    found = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    return F.transform(found, lambda w: F.xxhash64(w))
+
+
+def row_key() -> Column:
+    """A key of a document by id and text.  Rows that share it are equal, or are told apart by the check that follows."""
+    return F.xxhash64("doc_id", "text")

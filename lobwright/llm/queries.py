@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lobwright.llm.common import table
+from lobwright.llm.decontaminate import contaminated_pairs
 from lobwright.llm.html_density import extract_main_text
+from lobwright.llm.license_scan import TEMPLATES, scan_licenses
 from lobwright.llm.packing import pack_documents
 from lobwright.llm.quality_rules import quality_table
 from lobwright.llm.sharding import shard_documents
@@ -33,6 +35,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, path)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), spark.createDataFrame(list(TEMPLATES.items()), "template string, text string"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -49,6 +55,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -60,10 +70,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_license_scan": op2_license_scan,
     "op3_simhash": op3_simhash,
     "op4_html_density": op4_html_density,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontaminate": op8_decontaminate,
     "op9_url_rules": op9_url_rules,
     "op10_sharding": op10_sharding,
 }
