@@ -12,6 +12,7 @@ from lobwright.llm.decontaminate import contaminated_pairs
 from lobwright.llm.html_density import extract_main_text
 from lobwright.llm.license_scan import TEMPLATES, scan_licenses
 from lobwright.llm.packing import pack_documents
+from lobwright.llm.pii import find_personal_data
 from lobwright.llm.quality_rules import quality_table
 from lobwright.llm.sharding import shard_documents
 from lobwright.llm.simhash import simhash_groups
@@ -47,6 +48,10 @@ def op4_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_simhash": op3_simhash,
     "op4_html_density": op4_html_density,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontaminate": op8_decontaminate,
