@@ -13,9 +13,12 @@ from lobwright.sources.stages import cut, per_key
 
 AUDITED_LEVELS = 10
 
+#: Fixed value: the day of rows that have no time.
+NO_DAY = "NaT"
+
 
 def _null_count_columns() -> dict[str, str]:
-    plain = {c: c for c in ("origin_time", "received_time", "sequence_number")}
+    plain = {c: c for c in ("origin_time", "received_time", "event_time", "sequence_number")}
     levels = {}
     for side in ("bid", "ask"):
         for field in ("price", "size"):
@@ -25,9 +28,12 @@ def _null_count_columns() -> dict[str, str]:
 
 
 def audit_rows(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Per-row audit inputs.  ``event_idx`` must follow (event time, sequence); gaps do not cross a day."""
+    """Per-row audit inputs.  ``event_idx`` must follow (event time, sequence); gaps do not cross a day.
+
+    Rows without a time belong to the day ``NO_DAY``.
+    """
     w = chunk_window()
-    day = utc_day(F.col("event_us"))
+    day = F.coalesce(utc_day(F.col("event_us")), F.lit(NO_DAY))
     flags = df.withColumns(
         {
             "trade_date": day,

@@ -1,11 +1,13 @@
 """Dense event index per symbol, without sorting a whole symbol in one task.
 
-Rows are counted per (symbol, time bucket); a running sum over those counts gives each bucket its first index;
-inside a bucket ``row_number`` finishes the job.  The wide rows are shuffled once, on (symbol, bucket).  Buckets are a
-pure function of the row, so a lost executor recomputes the same index.
-
-A bucket with more than ``hot_rows`` rows is split by exact microsecond, and a microsecond with more than
-``hot_rows`` rows by blocks of sequence numbers, so that one burst cannot fill a task.
+Rows are range-partitioned and sorted on the full order (key, time, sequence, position, content) and written with their
+place in the partition.  A partition holds a contiguous run of each of its symbols, so the index is the number of the
+symbol's rows in earlier partitions plus the place in the run: one small row per (partition, symbol) carries all that has to
+be summed up.  The range partitioner balances on the whole order, so neither a long symbol nor a burst in one
+microsecond, with equal or missing sequence numbers, fills a task; no row is dropped and no size switches the plan.
+
+The order is total up to equal rows, and the sorted rows are stored, so another layout, a retry or a lost executor gives
+the same index.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lobwright.functions.scalars import KEYS
+from lobwright.sources.stages import cut, per_key
 
-HOUR_US = 3_600_000_000
+#: Columns that say where a row stood in its source, in the order in which they break ties.
+POSITION = ("source_file", "row_index", "arrival")
 
 
 def event_index(
@@ -23,53 +27,33 @@ def event_index(
     keys: tuple[str, ...] = KEYS,
     time_col: str = "event_us",
     seq_col: str = "sequence_number",
-    bucket_us: int = HOUR_US,
-    hot_rows: int = 2_000_000,
-    tiebreak: tuple[str, ...] = (),
+    tiebreak: tuple[str, ...] | None = None,
+    missing_time: bool = False,
 ) -> DataFrame:
-    """Adds ``event_idx``: 0, 1, 2, ... per key in (time, sequence, tiebreak) order.  Keys and time must not be NULL."""
+    """Adds ``event_idx``: 0, 1, 2, ... per key in (time, sequence, tiebreak, content) order.
+
+    ``tiebreak`` defaults to those of ``POSITION`` that the table has.  Missing sequences come first within their time.
+    Keys must not be NULL; nor must times, unless ``missing_time`` lets rows without one come first in their key.
+    """
     keys = list(keys)
-    df = df.withColumn("_b1", F.floor(F.col(time_col) / F.lit(bucket_us)).cast("long"))
-    bucket = ["_b1"]
-    counts = df.groupBy(*keys, "_b1").agg(F.count("*").alias("_n"))
-    missing = F.count_if(F.greatest(*[F.col(c).isNull() for c in (*keys, "_b1")]))
-    found = counts.agg(F.max("_n").alias("largest"), missing.alias("missing")).first()
-    if found["missing"]:
+    ties = [c for c in POSITION if c in df.columns] if tiebreak is None else list(tiebreak)
+    order = [*keys, time_col, seq_col, *[c for c in ties if c not in (time_col, seq_col)], "_content"]
+    placed = df.withColumn("_content", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = cut(placed.drop("_content").withColumn("_at", F.monotonically_increasing_id()), "indexed")
+    part = F.shiftrightunsigned("_at", 33)
+    runs = per_key(stored.groupBy(*keys, part.alias("_part")).agg(
+        F.count("*").alias("_n"), F.min("_at").alias("_first"), F.count_if(F.col(time_col).isNull()).alias("_untimed")))
+    bad = F.greatest(*[F.col(c).isNull() for c in keys], F.lit(False) if missing_time else F.col("_untimed") > 0)
+    if runs.filter(bad).limit(1).count():
         raise ValueError(f"event_index: {keys} and {time_col} must not be NULL")
-    if (found["largest"] or 0) > hot_rows:
-        df = _split_hot(df, counts, keys, time_col, seq_col, hot_rows)
-        bucket = ["_b1", "_b2", "_b3"]
-        counts = df.groupBy(*keys, *bucket).agg(F.count("*").alias("_n"))
-    running = Window.partitionBy(*keys).orderBy(*bucket)
-    offsets = counts.select(
-        *keys,
-        *bucket,
-        (F.sum("_n").over(running.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start"),
-    )
-    inside = Window.partitionBy(*keys, *bucket).orderBy(time_col, seq_col, *tiebreak)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_key(runs.select(*keys, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
     return (
-        df.withColumn("_rn", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, *bucket])
-        .withColumn("event_idx", (F.col("_start") + F.col("_rn")).cast("long"))
-        .drop("_rn", "_start", *bucket)
-    )
-
-
-def _split_hot(df, counts, keys, time_col, seq_col, hot_rows):
-    # At most total / hot_rows buckets can be hot: 50,000 small rows at 10^11 rows, a bound that holds for any skew.
-    hot = counts.filter(F.col("_n") > hot_rows).select(*keys, "_b1", F.lit(True).alias("_hot"))
-    df = df.join(F.broadcast(hot), [*keys, "_b1"], "left")
-    df = df.withColumn("_b2", F.when(F.col("_hot"), F.col(time_col)).otherwise(F.lit(-1)).cast("long"))
-    burst = (
-        df.filter("_hot")
-        .groupBy(*keys, "_b1", "_b2")
-        .agg(F.count("*").alias("_m"))
-        .filter(F.col("_m") > hot_rows)
-        .select(*keys, "_b1", "_b2", F.lit(True).alias("_burst"))
+        stored.withColumn("_part", part)
+        .join(starts, [*keys, "_part"])
+        .withColumn("event_idx", (F.col("_start") + F.col("_at") - F.col("_first")).cast("long"))
+        .drop("_part", "_at", "_first", "_start")
     )
-    df = df.join(F.broadcast(burst), [*keys, "_b1", "_b2"], "left")
-    block = F.floor(F.col(seq_col) / F.lit(hot_rows)).cast("long")
-    return df.withColumn("_b3", F.when(F.col("_burst"), block).otherwise(F.lit(-1))).drop("_hot", "_burst")
 
 
 def event_stride(df: DataFrame, stride: int) -> DataFrame:

@@ -56,7 +56,7 @@ def clean(source: str, drop_crossed: bool = True) -> str:
     crossed = "and bids[1].price <= asks[1].price" if drop_crossed else ""
     return f"""
       select * exclude (sequence_number, ord), coalesce(sequence_number, -1) as sequence_number,
-             row_number() over (partition by exchange, symbol order by event_us, coalesce(sequence_number, -1)) - 1 as event_idx
+             row_number() over (partition by exchange, symbol order by event_us, coalesce(sequence_number, -1), arrival) - 1 as event_idx
       from (select *, 0 as ord from {source}) where event_us is not null and bids[1].price > 0 and asks[1].price > 0
         and bids[1].size > 0 and asks[1].size > 0 {crossed}"""
 

@@ -138,7 +138,7 @@ def _arrivals(spark, sf):
     """Rows with their dense position in the (symbol, month) file."""
     rows = typed(events_book(spark, sf, defects=True).drop("bids", "asks"))
     return event_index(rows.withColumn("file_order", F.col("arrival")), ("exchange", "symbol", "month"),
-                       time_col="file_order", seq_col="file_order", bucket_us=100_000).withColumn("arrival", F.col("event_idx"))
+                       time_col="file_order", seq_col="file_order").withColumn("arrival", F.col("event_idx"))
 
 
 @query("s10_conversion_order", "exchange:s symbol:s month:s n_rows:i n_unsorted:i", _UNSORTED_SQL)
@@ -272,11 +272,11 @@ _AUDIT_COLS = (
 _AUDIT_BLOCKS = {
     "aud_rows": """
       select *, lag(event_us) over w as before_us, lag(sequence_number) over w as before_seq
-      from (select *, strftime(event_time, '%Y-%m-%d') as trade_date, asks[1].price - bids[1].price as spread,
+      from (select *, coalesce(strftime(event_time, '%Y-%m-%d'), 'NaT') as trade_date, asks[1].price - bids[1].price as spread,
                    coalesce(list_sum(list_transform(bids[1:10], lambda l: l.size)), 0)
                      + coalesce(list_sum(list_transform(asks[1:10], lambda l: coalesce(l.size, 0))), 0) as depth
-            from bad_t where event_us is not null)
-      window w as (partition by exchange, symbol, trade_date order by event_us, sequence_number nulls first)""",
+            from bad_t)
+      window w as (partition by exchange, symbol, trade_date order by event_us nulls first, sequence_number nulls first, arrival)""",
     "aud": """
       select exchange, symbol, trade_date, count(*) as n_rows, min(event_us) as first_us, max(event_us) as last_us,
              (max(event_us) - min(event_us)) / 1e6 as duration_seconds,
@@ -284,11 +284,13 @@ _AUDIT_BLOCKS = {
              coalesce(quantile_cont((event_us - before_us) / 1e3, 0.5), 0) as p50_snapshot_interval_ms,
              coalesce(quantile_cont((event_us - before_us) / 1e3, 0.95), 0) as p95_snapshot_interval_ms,
              coalesce(quantile_cont((event_us - before_us) / 1e3, 0.99), 0) as p99_snapshot_interval_ms,
-             count(*) - count(distinct event_us) as n_duplicate_timestamps,
+             count(*) - count(distinct coalesce(event_us, -1)) as n_duplicate_timestamps,
              count(*) - count(distinct coalesce(sequence_number, -999)) as n_duplicate_sequence_numbers,
              count(*) filter (where sequence_number < before_seq) as n_non_monotonic_sequence,
              '{' || concat_ws(',', case when count(*) filter (where asks[4].size is null) > 0 then '"ask_3_size":' ||
                      (count(*) filter (where asks[4].size is null))::varchar end,
+                   case when count(*) filter (where event_us is null) > 0 then '"event_time":' ||
+                     (count(*) filter (where event_us is null))::varchar end,
                    case when count(*) filter (where sequence_number is null) > 0 then '"sequence_number":' ||
                      (count(*) filter (where sequence_number is null))::varchar end) || '}' as n_missing_values_by_column,
              count(*) filter (where bids[1].price > asks[1].price) as n_crossed_book_rows,
@@ -304,9 +306,8 @@ _AUDIT_BLOCKS = {
 
 
 def _audit(spark, sf):
-    """Audited rows are ordered by (event time, sequence); rows without any time belong to no day."""
-    rows = with_event_time(events_book(spark, sf, defects=True)).filter("event_us is not null")
-    return audit_daily(event_index(rows))
+    """Audited rows are ordered by (event time, sequence); rows without any time are a group of their own."""
+    return audit_daily(event_index(with_event_time(events_book(spark, sf, defects=True)), missing_time=True))
 
 
 @query("c4_daily_audit", _AUDIT_COLS, "select * from aud", extra=_AUDIT_BLOCKS)
@@ -348,7 +349,7 @@ def _(spark, sf):
                 from (select *, lag(event_us) over (partition by symbol order by arrival) as before from bad_t) group by 1)""")
 def _(spark, sf):
     rows = with_event_time(events_book(spark, sf, defects=True)).withColumn("file_order", F.col("arrival"))
-    return strict_checks(event_index(rows, time_col="file_order", seq_col="file_order", bucket_us=100_000))
+    return strict_checks(event_index(rows, time_col="file_order", seq_col="file_order"))
 
 
 @query("c7_spread_histogram", "symbol:s bin:i n:i",
@@ -377,6 +378,16 @@ def _(spark, sf):
     return book_rows(spark, sf)
 
 
+@query("i1b_index_with_ties", "symbol:s arrival:i event_idx:i",
+       """select symbol, arrival, row_number() over (partition by exchange, symbol
+                   order by second_us nulls first, sequence_number nulls first, arrival) - 1 as event_idx
+          from (select *, (event_us // 60000000) * 60000000 as second_us from bad_t)""")
+def _(spark, sf):
+    """Every row of the faulty book, times cut to minutes: ties in time, missing sequences and rows without a time."""
+    rows = with_event_time(events_book(spark, sf, defects=True)).withColumn("minute_us", F.expr("event_us div 60000000 * 60000000"))
+    return event_index(rows.drop("bids", "asks"), time_col="minute_us", missing_time=True)
+
+
 @query("f11_event_stride", "symbol:s arrival:i event_idx:i", "select symbol, arrival, event_idx from book where event_idx % 7 = 0")
 def _(spark, sf):
     return event_stride(indexed_book(spark, sf), 7)

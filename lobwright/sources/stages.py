@@ -7,15 +7,18 @@ temporary folder is used.
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import os
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[tuple[str, str, str], tuple] = {}
 _counter = itertools.count()
 _local_root: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -37,7 +40,22 @@ def forget_stages() -> None:
 def new_path(spark: SparkSession, name: str) -> str:
     """A folder in the checkpoint folder that nothing else uses."""
     folder = f"{next(_counter):05d}-{os.urandom(4).hex()}-{name}"
-    return os.path.join(checkpoint_root(spark), "lobwright", spark.sparkContext.applicationId, folder)
+    path = os.path.join(checkpoint_root(spark), "lobwright", spark.sparkContext.applicationId, folder)
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that ``cut`` and ``per_key`` write inside the block are deleted at its end, when their readers are done."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

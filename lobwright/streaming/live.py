@@ -24,7 +24,7 @@ from lobwright.operators.features import (
     sequence_features,
 )
 from lobwright.operators.index import event_index
-from lobwright.sources.stages import cut
+from lobwright.sources.stages import cut, per_key, scratch
 
 TAIL_COLUMNS = (*KEYS, "event_us", "sequence_number", "event_idx", "bids", "asks")
 
@@ -46,7 +46,8 @@ class LiveBook:
 
     ``transform`` maps indexed snapshots (tail and new rows) to output rows with keys and ``event_idx``.  ``delay`` is the
     number of rows a result waits for: 0 emits each row at once, h emits a row when its h-th successor has arrived.
-    Rows at or before the last accepted time of their symbol cannot be placed any more and go to the late table.
+    Rows at or before the last accepted (time, sequence) of their symbol cannot be placed any more and go to the late
+    table; a higher sequence at the same time is placed.  A batch's working folders are removed when its output is written.
     """
 
     def __init__(self, root: str, transform: Callable[[DataFrame], DataFrame] = live_features, delay: int = 0,
@@ -60,16 +61,21 @@ class LiveBook:
         return spark.read.parquet(self._path("tail", batch_id - 1)) if batch_id > 0 else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            self._run(batch, batch_id)
+
+    def _run(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = clean_book(batch).select(*[c for c in TAIL_COLUMNS if c != "event_idx"])
         tail = self._tail(spark, batch_id)
         if tail is None:
-            rows = event_index(cut(new, "live_new")).withColumn("_seen", F.lit(-1).cast("long"))
+            rows = event_index(new).withColumn("_seen", F.lit(-1).cast("long"))
         else:
-            last = tail.groupBy(*KEYS).agg(F.max("event_us").alias("_us"), F.max("event_idx").alias("_seen"))
+            place = F.struct("event_us", "sequence_number")
+            last = per_key(tail.groupBy(*KEYS).agg(F.max(place).alias("_last"), F.max("event_idx").alias("_seen")))
             placed = new.join(last, list(KEYS), "left").na.fill(-1, ["_seen"])
-            late = F.coalesce(F.col("event_us") <= F.col("_us"), F.lit(False))
-            placed = cut(placed.withColumn("_late", late).drop("_us"), "live_new")
+            late = F.coalesce(place <= F.col("_last"), F.lit(False))
+            placed = cut(placed.withColumn("_late", late).drop("_last"), "live_new")
             placed.filter("_late").drop("_late", "_seen").write.mode("overwrite").parquet(self._path("late", batch_id))
             fresh = event_index(placed.filter("not _late").drop("_late"))
             shifted = fresh.withColumn("event_idx", F.col("event_idx") + F.col("_seen") + 1)
@@ -77,7 +83,7 @@ class LiveBook:
         # Written once, read by the tail and by the transform.
         rows = cut(rows.select(*TAIL_COLUMNS, "_seen"), "live_rows")
         self._write_tail(rows, batch_id)
-        seen = rows.groupBy(*KEYS).agg(F.max("_seen").alias("_seen"))
+        seen = per_key(rows.groupBy(*KEYS).agg(F.max("_seen").alias("_seen")))
         out = self.transform(rows.select(*TAIL_COLUMNS)).join(seen, list(KEYS))
         # With a delay, rows up to _seen - delay were emitted before.
         out = out.filter(F.col("event_idx") > F.col("_seen") - self.delay).drop("_seen")
@@ -85,7 +91,7 @@ class LiveBook:
 
     def _write_tail(self, rows: DataFrame, batch_id: int) -> None:
         keep = self.look_back + self.delay
-        top = rows.groupBy(*KEYS).agg(F.max("event_idx").alias("_top"))
+        top = per_key(rows.groupBy(*KEYS).agg(F.max("event_idx").alias("_top")))
         tail = rows.join(top, list(KEYS)).filter(F.col("event_idx") > F.col("_top") - keep)
         tail.select(*TAIL_COLUMNS).write.mode("overwrite").parquet(self._path("tail", batch_id))
 

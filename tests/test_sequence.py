@@ -89,13 +89,33 @@ def test_event_index_in_buckets_and_bursts(spark):
     want = df.withColumn(
         "want", F.row_number().over(Window.partitionBy("symbol").orderBy("event_us", "sequence_number")) - 1
     )
-    for hot in (10**9, 50):
-        got = event_index(want, bucket_us=1_000_000, hot_rows=hot)
+    for layout in (1, 7):
+        got = event_index(want.repartition(layout))
         assert got.count() == 4000 and got.filter("event_idx <> want").count() == 0
     with pytest.raises(ValueError):
         event_index(df.withColumn("symbol", F.lit(None).cast("string")))
 
 
+def test_event_index_keeps_every_row_of_a_burst(spark):
+    """One microsecond with equal, missing and repeated sequences: no row is lost, and no layout changes an index."""
+    rows = [("X", "S", 7_000_000, None if i % 10 == 0 else 3, i % 50, float(i)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "exchange string, symbol string, event_us long, sequence_number long, arrival long, value double")
+    found = []
+    for layout in (1, 6):
+        out = event_index(df.repartition(layout, "value")).select("event_idx", "value").collect()
+        assert sorted(r["event_idx"] for r in out) == list(range(5000))
+        found.append(sorted((r["event_idx"], r["value"]) for r in out))
+    assert found[0] == found[1]
+
+
+def test_missing_times_come_first_if_allowed(spark):
+    df = spark.createDataFrame([("X", "S", 5, 1), ("X", "S", None, 2), ("X", "S", None, 1)], "exchange string, symbol string, event_us long, sequence_number long")
+    with pytest.raises(ValueError):
+        event_index(df)
+    got = sorted((r["event_idx"], r["event_us"], r["sequence_number"]) for r in event_index(df, missing_time=True).collect())
+    assert got == [(0, None, 1), (1, None, 2), (2, 5, 1)]
+
+
 def test_labels_goldens(spark):
     def label(mid1, rel=0.001, fee=1.0, buffer=0.5):
         df = mids(spark, [100.0, mid1]).withColumn("rel_spread", F.lit(rel))

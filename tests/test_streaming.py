@@ -28,3 +28,23 @@ def _reindexed(spark, sf):
     from lobwright.operators.index import event_index
 
     return event_index(book_rows(spark, sf).filter("arrival <> 3").drop("event_idx"))
+
+
+def test_equal_times_are_placed_by_sequence_and_nothing_is_left_behind(spark, sf, tmp_path):
+    import os
+
+    from lobwright.sources.stages import checkpoint_root
+
+    rows = book_rows(spark, sf).filter("symbol = 'click'").drop("event_idx").orderBy("event_us").limit(40).cache()
+    last = rows.agg(F.max(F.struct("event_us", "sequence_number")).alias("m")).first()["m"]
+    same = rows.filter(F.col("event_us") == last["event_us"]).limit(1)
+    higher = same.withColumn("sequence_number", F.lit(last["sequence_number"] + 1))
+    live = LiveBook(str(tmp_path / "out"))
+    base = os.path.join(checkpoint_root(spark).removeprefix("file:").replace("///", "/"), "lobwright", spark.sparkContext.applicationId)
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    raw = [c for c in rows.columns if c not in ("event_time", "event_us")]
+    live(rows.select(raw), 0)
+    live(higher.select(raw).unionByName(same.select(raw)), 1)
+    assert live.results(spark).count() == 41 and live.results(spark, "late").count() == 1
+    assert (set(os.listdir(base)) if os.path.isdir(base) else set()) <= before
+    rows.unpersist()
