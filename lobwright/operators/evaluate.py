@@ -119,23 +119,28 @@ def drift_frame(df: DataFrame) -> DataFrame:
 
 
 def distribution_stats(df: DataFrame, by: list[str], features=DRIFT_FEATURES) -> DataFrame:
-    """Mean, population deviation and quantiles per group and feature, long form; infinite values are dropped."""
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), no_nan(F.col(f).cast("double")).alias("v")) for f in features])
-    longer = df.select(*by, F.explode(cells).alias("_e")).select(*by, "_e.*").filter(F.col("v").isNotNull())
-    key = [*by, "feature"]
-    moments = longer.groupBy(*key).agg(
-        F.count("*").alias("n_rows"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")
-    )
-    v = F.col("v")
-    q = group_quantiles(longer, key, {"p05": (v, 0.05), "p25": (v, 0.25), "median": (v, 0.5), "p75": (v, 0.75), "p95": (v, 0.95)})
-    return moments.join(q, key)
-
-
-def pair_ratios(stats: DataFrame, base: str, other: str) -> DataFrame:
-    """other / base for mean and median per (split, feature)."""
-    a = stats.filter(F.col("symbol") == base).select("split", "feature", F.col("mean").alias("bm"), F.col("median").alias("bd"))
-    b = stats.filter(F.col("symbol") == other).select("split", "feature", F.col("mean").alias("om"), F.col("median").alias("od"))
-    return a.join(b, ["split", "feature"]).select(
+    """Mean, population deviation and quantiles per group and feature, long form; infinite values are dropped.
+
+    Features stay side by side until they are one row per group; only then are they turned into rows.
+    """
+    wide = df.select(*by, *[no_nan(F.col(f).cast("double")).alias(f) for f in features])
+    levels = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    moments = wide.groupBy(*by).agg(*[
+        m for f in features for m in (F.count(f).alias(f"n_{f}"), F.avg(f).alias(f"mean_{f}"), F.stddev_pop(f).alias(f"std_{f}"))])
+    q = group_quantiles(wide, by, {f"{n}_{f}": (F.col(f), at) for f in features for n, at in levels.items()})
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n_{f}").alias("n_rows"), *[
+        F.col(f"{n}_{f}").alias(n) for n in ("mean", "std", *levels)]) for f in features])
+    return moments.join(q, by).select(*by, F.explode(each).alias("_e")).select(*by, "_e.*").filter("n_rows > 0")
+
+
+def pair_ratios(stats: DataFrame, pairs: DataFrame) -> DataFrame:
+    """other / base for mean and median per ordered pair of symbols (train_symbol, test_symbol), split and feature."""
+    side = lambda name, p: stats.select(
+        F.col("symbol").alias(name), "split", "feature", F.col("mean").alias(f"{p}m"), F.col("median").alias(f"{p}d"))
+    named = pairs.select(F.col("train_symbol").alias("base_symbol"), F.col("test_symbol").alias("other_symbol"))
+    return named.join(side("base_symbol", "b"), "base_symbol").join(side("other_symbol", "o"), ["other_symbol", "split", "feature"]).select(
+        "base_symbol",
+        "other_symbol",
         "split",
         "feature",
         safe_ratio(F.col("om"), F.col("bm")).alias("mean_ratio"),

@@ -39,10 +39,12 @@ def add_labels(
 ) -> DataFrame:
     """UP / DOWN when the return over ``horizon`` rows beats spread, fee and slippage buffer; the last rows drop out.
 
+    Without a horizon the return is that of the row itself, and rows without one drop out.
+
     ``reset_every_us`` restarts the sequence at every such interval, as a job run window by window would.
     """
     if horizon <= 0:
-        return label_columns(df, F.col("mid_price"), 0, fee_bps, slippage_buffer, eps)
+        return label_columns(df, F.col("mid_price"), 0, fee_bps, slippage_buffer, eps).filter(F.col("future_ret_h").isNotNull())
     w = chunk_window(keys)
     out = with_halo(df, ahead=horizon, chunk_rows=chunk_rows)
     out = out.withColumn("_future", F.lead("mid_price", horizon).over(w))

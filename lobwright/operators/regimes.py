@@ -111,10 +111,18 @@ def fit_thresholds(
     prefix: str = "",
 ) -> DataFrame:
     """One row of cut points per symbol, fitted on its train prefix only."""
-    q = quantiles or SETTINGS["baseline"]
+    return fit_settings(df, {prefix: quantiles or SETTINGS["baseline"]}, train_fraction, keys, exact_rows)
+
+
+def fit_settings(
+    df: DataFrame, settings: dict[str, dict[str, float]], train_fraction: float = 0.6, keys: tuple[str, ...] = KEYS,
+    exact_rows: int = EXACT_ROWS,
+) -> DataFrame:
+    """One row per symbol with the cut points of every setting, each under its prefix: one pass over the train prefix."""
     train = train_prefix(taxonomy_scores(df), train_fraction, keys)
     wanted = {
         prefix + name: (F.col(score), q[level] if isinstance(level, str) else level)
+        for prefix, q in settings.items()
         for name, (score, level) in THRESHOLDS.items()
     }
     return per_key(group_quantiles(train, list(keys), wanted, exact_rows))
@@ -149,11 +157,9 @@ def apply_regimes(df: DataFrame, thresholds: DataFrame, keys: tuple[str, ...] =
 
 
 def sensitivity(df: DataFrame, train_fraction: float = 0.6, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Regime shares under three quantile settings and agreement with the first, over all rows, in one scan."""
-    tables = [fit_thresholds(df, train_fraction, q, keys, prefix=f"{s}__") for s, q in SETTINGS.items()]
-    joined = taxonomy_scores(df)
-    for t in tables:
-        joined = joined.join(t, list(keys))
+    """Regime shares under three quantile settings and agreement with the first, over all rows: one fit and one scan."""
+    cuts = fit_settings(df, {f"{s}__": q for s, q in SETTINGS.items()}, train_fraction, keys)
+    joined = taxonomy_scores(df).join(cuts, list(keys))
     labelled = joined.select("symbol", *[rule_cascade(f"{s}__").alias(s) for s in SETTINGS])
     combos = labelled.groupBy("symbol", *SETTINGS).agg(F.count("*").alias("n"))
     stacked = combos.select(

@@ -92,11 +92,14 @@ def split_audit(df: DataFrame, purge: int = 0) -> DataFrame:
 def walk_forward(df: DataFrame, folds: int, train_us: int, test_us: int, purge_us: int = 0) -> DataFrame:
     """Fold number and role by event time: ``folds`` windows, each shifted by ``test_us``.
 
-    A row's folds follow from its offset to the symbol's first event, so each row is expanded only into them.
+    The first and the last fold of a row follow from its offset to the symbol's first event by division, so each row is
+    expanded into the folds that hold it and no others.
     """
     start = per_key(df.groupBy(*KEYS).agg(F.min("event_us").alias("_t0")))
     off = F.col("event_us") - F.col("_t0")
-    fold = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
+    first = F.greatest(F.lit(0), F.expr(f"cast(ceil((_off - {train_us + test_us} + 1) / {test_us}) as int)"))
+    last = F.least(F.lit(folds - 1), F.expr(f"cast(_off div {test_us} as int)"))
+    fold = F.explode(F.when(first <= last, F.sequence(first, last)))
     rel = F.col("_off") - F.col("fold") * F.lit(test_us)
     role = F.when((rel >= 0) & (rel < train_us - purge_us), "train").when(
         (rel >= train_us) & (rel < train_us + test_us), "test"

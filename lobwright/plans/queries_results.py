@@ -188,23 +188,22 @@ def _(spark, sf):
     return drift(spark, sf)
 
 
-@query("k5_pair_ratios", "split:s feature:s mean_ratio:r6 median_ratio:r6",
-       """select split, feature, case when abs(a.mean) >= 1e-12 then b.mean / a.mean end as mean_ratio,
+@query("k5_pair_ratios", "base_symbol:s other_symbol:s split:s feature:s mean_ratio:r6 median_ratio:r6",
+       """select a.symbol as base_symbol, b.symbol as other_symbol, a.split, a.feature,
+                 case when abs(a.mean) >= 1e-12 then b.mean / a.mean end as mean_ratio,
                  case when abs(a.median) >= 1e-12 then b.median / a.median end as median_ratio
-          from (select * from drift where symbol = 'click') a join (select * from drift where symbol = 'view') b using (split, feature)
-          where feature <> 'vol_score'""", extra=_DRIFT)
+          from drift a join drift b on a.split = b.split and a.feature = b.feature and a.symbol <> b.symbol""", extra=_DRIFT)
 def _(spark, sf):
-    """Without the z-score, whose mean is near 0, so that its ratio is rounding noise in any engine."""
-    return K.pair_ratios(drift(spark, sf), "click", "view").filter("feature <> 'vol_score'")
+    return K.pair_ratios(drift(spark, sf), asset_pairs(scored(spark, sf)))
 
 
 @query("k5b_transfer_drift", "train_symbol:s test_symbol:s feature:s mean_ratio:r6 median_ratio:r6",
        """select a.symbol as train_symbol, b.symbol as test_symbol, a.feature, case when abs(a.mean) >= 1e-12 then b.mean / a.mean end as mean_ratio,
                  case when abs(a.median) >= 1e-12 then b.median / a.median end as median_ratio
           from (select * from drift where split = 'train') a join (select * from drift where split = 'test') b
-            on a.feature = b.feature and a.symbol <> b.symbol where a.feature <> 'vol_score'""", extra=_DRIFT)
+            on a.feature = b.feature and a.symbol <> b.symbol""", extra=_DRIFT)
 def _(spark, sf):
-    return K.transfer_drift(drift(spark, sf), asset_pairs(scored(spark, sf))).filter("feature <> 'vol_score'")
+    return K.transfer_drift(drift(spark, sf), asset_pairs(scored(spark, sf)))
 
 
 @query("k6_label_balance", "scope:s symbol:s split:s label:s n_rows:i share:r8",

@@ -13,7 +13,7 @@ from lobwright.plans.chain import book_rows, indexed_book
 from lobwright.plans.registry import query
 from lobwright.sources.book import events_book, events_wide, pack_levels, read_events
 from lobwright.sources.catalogue import day_windows, filter_catalogue, overlapping, parse_names
-from lobwright.sources.scan import first_rows, in_range, read_filtered, rename
+from lobwright.sources.scan import first_rows, in_range, read_filtered, read_many, rename
 from lobwright.sources.sink import compare_tables, conversion_summary, typed, unsorted_rows
 from lobwright.sources.stages import cut
 
@@ -64,9 +64,9 @@ def _(spark, sf):
 @query("s5_multi_file_read", "symbol:s n_rows:i size_sum:r4",
        "select symbol, count(*) as n_rows, sum(asks[1].size) as size_sum from raw group by symbol")
 def _(spark, sf):
-    wide = events_wide(spark, sf, levels=3)
+    wide = events_wide(spark, sf)
     path = cut(wide, "parts").inputFiles()[0].rsplit("/", 1)[0]
-    back = pack_levels(spark.read.schema(wide.schema).parquet(path + "/*.parquet"), 3)
+    back = pack_levels(read_many(spark, path + "/*.parquet", wide.schema))
     return back.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.expr("sum(asks[0].size) as size_sum"))
 
 
@@ -153,7 +153,7 @@ _CSV_SQL = """
 
 @query("s11_written_copy_check", "exchange:s symbol:s month:s n_source:i n_written:i status:s", _CSV_SQL)
 def _(spark, sf):
-    rows = typed(events_wide(spark, sf, levels=3))
+    rows = typed(events_wide(spark, sf))
     return compare_tables(rows, cut(rows, "copy"), ["exchange", "symbol", "month"])
 
 
@@ -161,7 +161,7 @@ def _(spark, sf):
        f"""select count(*) as n_converted, 0 as n_failed, 0 as n_skipped, sum(n_source) as n_rows, 'PASS' as decision
            from ({_CSV_SQL})""")
 def _(spark, sf):
-    rows = typed(events_wide(spark, sf, levels=3))
+    rows = typed(events_wide(spark, sf))
     return conversion_summary(compare_tables(rows, cut(rows, "copy"), ["exchange", "symbol", "month"]))
 
 

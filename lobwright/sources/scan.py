@@ -1,4 +1,4 @@
-"""Snapshot scans: projection, time range and typed filters, all pushed into the file source."""
+"""Snapshot scans: projection, time range and typed filters; what is stored in its own type is filtered by the file source."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lobwright.sources.book import prepare, wide_schema
 from lobwright.sources.catalogue import file_catalogue, filter_catalogue, overlapping
@@ -35,12 +36,26 @@ def read_many(spark: SparkSession, pattern: str, schema=None) -> DataFrame:
 
 
 def in_range(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
-    """Rows whose event time (origin, else received) lies in [start, end]; the fallback comes before the filter."""
+    """Rows whose event time (origin, else received) lies in [start, end]; the fallback comes before the filter.
+
+    Where both times are stored as timestamps the predicate names the columns themselves, so that it reaches the file
+    source's statistics; times stored as text are parsed first.
+    """
+    low, high = (None if x is None else F.lit(x).cast("timestamp") for x in (start, end))
+    if all(isinstance(df.schema[c].dataType, T.TimestampType) for c in ("origin_time", "received_time")):
+        def inside(c: Column) -> Column:
+            parts = [c >= low] * (low is not None) + [c <= high] * (high is not None)
+            return reduce(lambda a, b: a & b, parts)
+
+        if start is None and end is None:
+            return df
+        origin, received = F.col("origin_time"), F.col("received_time")
+        return df.filter(inside(origin) | (origin.isNull() & inside(received)))
     ts = F.coalesce(F.col("origin_time").try_cast("timestamp"), F.col("received_time").try_cast("timestamp"))
     if start is not None:
-        df = df.filter(ts >= F.lit(start).cast("timestamp"))
+        df = df.filter(ts >= low)
     if end is not None:
-        df = df.filter(ts <= F.lit(end).cast("timestamp"))
+        df = df.filter(ts <= high)
     return df
 
 

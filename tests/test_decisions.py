@@ -177,3 +177,26 @@ def test_walk_forward_roles(spark):
     df = book(spark, 30)
     out = S.walk_forward(df, 2, 10_000_000, 5_000_000).groupBy("fold", "split").count().collect()
     assert {(r.fold, r.split): r["count"] for r in out} == {(0, "train"): 10, (0, "test"): 5, (1, "train"): 10, (1, "test"): 5}
+
+
+def test_folds_of_a_row_are_not_listed_first(spark):
+    from lobwright.operators.splits import walk_forward
+
+    df = spark.createDataFrame([("X", "S", t) for t in range(0, 400, 3)], "exchange string, symbol string, event_us long")
+    got = sorted((r["event_us"], r["fold"], r["split"]) for r in walk_forward(df, 6, 40, 15, purge_us=5).collect())
+    want = []
+    for t in range(0, 400, 3):
+        for fold in range(6):
+            rel = t - fold * 15
+            if 0 <= rel < 35:
+                want.append((t, fold, "train"))
+            elif 40 <= rel < 55:
+                want.append((t, fold, "test"))
+    assert got == sorted(want)
+
+
+def test_labels_without_a_horizon_drop_rows_without_a_price(spark):
+    from lobwright.operators.labels import add_labels
+
+    df = spark.createDataFrame([("X", "S", 0, 1.0, 0.1), ("X", "S", 1, None, 0.1)], "exchange string, symbol string, event_idx long, mid_price double, rel_spread double")
+    assert [r["event_idx"] for r in add_labels(df, horizon=0).collect()] == [0]

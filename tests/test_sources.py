@@ -164,3 +164,19 @@ def test_stage_folder_follows_the_session(spark):
 
     assert checkpoint_root(Configured) == "/shared/checkpoints"
     assert os.path.isabs(checkpoint_root(spark))
+
+
+def test_time_range_reaches_the_file_source(spark, sf, tmp_path):
+    from lobwright.sources.book import events_wide
+    from lobwright.sources.scan import in_range
+    from lobwright.sources.sink import typed
+
+    rows = typed(events_wide(spark, sf))
+    if rows.schema["origin_time"].dataType.simpleString() != "timestamp":
+        rows = rows.withColumns({c: F.col(c).try_cast("timestamp") for c in ("origin_time", "received_time")})
+    rows.write.parquet(str(tmp_path / "month"))
+    got = in_range(spark.read.parquet(str(tmp_path / "month")), "2024-01-05", "2024-01-20 12:00:00")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(And(GreaterThanOrEqual(origin_time" in plan
+    ts = F.coalesce("origin_time", "received_time")
+    assert got.count() == rows.filter((ts >= "2024-01-05") & (ts <= "2024-01-20 12:00:00")).count() > 0
