@@ -22,11 +22,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _NEIGHBOURS = re.compile(r"\s\s|\A\s|\s\Z")
 
 #: Marks after a word; the pre-tokenizers cut before them.
-_MARKS = re.compile(r"[.,!?:;#*$%&]+\Z")
+_MARKS = ".,!?:;#*$%&"
 
 #: Pieces that a worker remembers before it forgets them all.
 CACHE_PIECES = 600_000
 
+#: Words that go to the library as one text.
+RUN = 64
+
 
 class Encoder:
     """Encodes texts as bytes: little-endian unsigned 32-bit ids."""
@@ -34,43 +37,69 @@ class Encoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their names in a text are ordinary text
-        self.drops_space = self.library.encode("a  b", add_special_tokens=False).ids == self.library.encode("a b", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        ids = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        self.drops_space = ids("a  b") == ids("a b")
+        # Each word of letters has one token that starts with the space before it, or one that ends a word.
+        tokens = self.library.get_vocab()
+        self.edge = np.zeros(max(tokens.values()) + 1, dtype=bool)
+        self.edge[[i for t, i in tokens.items() if (t.endswith("</w>") if self.drops_space else t.startswith("\u0120"))]] = True
+        self.inner: dict[str, bytes] = {}  # pieces after a space; those that begin with a line feed stand for themselves
+        self.opening: dict[str, bytes] = {}  # pieces with nothing before them
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with the space before it."""
+        out: list[bytes] = []
+        runs = [words[i : i + RUN] for i in range(0, len(words), RUN)]
+        for run, e in zip(runs, self.library.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, dtype="<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(run):
+                out += self._whole([" " + w for w in run])
+                continue
+            cuts = [0, *(edges + 1).tolist()] if self.drops_space else [*edges.tolist(), len(ids)]
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces and remembers their ids; a word with marks at its end is put together from the two."""
-        parts = {p: (p[: -len(m[0])], m[0]) for p in pieces if (m := _MARKS.search(p)) and p[: -len(m[0])].lstrip(" ").isalpha()}
-        new = [*dict.fromkeys(p for x in pieces for p in parts.get(x, (x,)) if p not in self.known)]
-        runs = [new[i : i + 256] for i in range(0, len(new), 256)]
-        for run, e in zip(runs, self.library.encode_batch(runs, is_pretokenized=True, add_special_tokens=False) if runs else [], strict=True):
-            ids = np.asarray(e.ids, dtype="<u4")
-            ends = np.searchsorted(np.asarray(e.word_ids), np.arange(1, len(run) + 1)).tolist()
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(run, ends, strict=True):
-                self.known[piece] = raw[4 * start : 4 * end]
-                start = end
-        self.known.update((p, self.known[a] + self.known[b]) for p, (a, b) in parts.items())
+        """Remembers the ids of pieces; a word with marks at its end is put together from the two."""
+        words, marked, others = [], [], []
+        for p in pieces:
+            base = p.rstrip(_MARKS)
+            if not (base.isalpha() and (base.isascii() or base.lower().isalpha())):  # some letters are more when lower-cased
+                others.append(p)
+            elif len(base) == len(p):
+                words.append(p)
+            else:
+                marked.append((p, base))
+        words = list({*words, *(b for _, b in marked if b not in self.inner)})
+        self.inner.update(zip(words, self._words(words), strict=True))
+        self.inner.update(zip(others, self._whole([p if p[:1] == "\n" or not p else " " + p for p in others]), strict=True))
+        for p, base in marked:
+            self.inner[p] = self.inner[base] + self._open(p[len(base) :])
+
+    def _open(self, piece: str) -> bytes:
+        if piece not in self.opening:
+            self.opening[piece] = self._whole([piece])[0]
+        return self.opening[piece]
 
     def _pieces(self, text: str) -> list[str] | None:
         if self.drops_space:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if _NEIGHBOURS.search(text):
-            return None
-        # A piece keeps the space or line feed before it, except the first.
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[p if p[:1] == "\n" else " " + p for p in rest]]
+        return None if _NEIGHBOURS.search(text) else text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(t) for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        if new := set().union(*[p for p in cut if p is not None]).difference(self.known):
+        if len(self.inner) + len(self.opening) > CACHE_PIECES:
+            self.inner.clear()
+            self.opening.clear()
+        if new := set().union(*[p[1:] for p in cut if p is not None]).difference(self.inner):
             self._learn(list(new))
-        get = self.known.__getitem__
-        return [self._whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+        get = self.inner.__getitem__
+        return [self._whole([t])[0] if p is None else self._open(p[0]) + b"".join(map(get, p[1:])) for t, p in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=4)
