@@ -362,6 +362,15 @@ def _(spark, sf):
     return tuned(spark, sf)
 
 
+@query("t3b_low_bar_tuning", "symbol:s policy:s theta:r11 n_trades:i gross_pnl:r5 net_pnl:r5 n_trade_days:i eligible:b selected:b",
+       """select *, row_number() over (partition by exchange, symbol, policy order by eligible desc, round(net_pnl, 9) desc, theta) = 1 as selected
+          from (select *, n_trades >= 20 and n_trade_days >= 2 as eligible from tried)""")
+def _(spark, sf):
+    """The same trials under a bar low enough that thresholds on both sides of it meet."""
+    tried = tuned(spark, sf).drop("eligible", "selected")
+    return T.select_threshold(tried, split_rows(spark, sf, "valid"), min_trades=20, min_days=2)
+
+
 @query("t4_tuning_record",
        "symbol:s policy:s theta:r11 lambda_latency:r2 lambda_liquidity:r2 lambda_adverse:r2 lambda_regime:r2 validation_objective:s",
        """select symbol, policy, theta, 0.25 as lambda_latency, 0.25 as lambda_liquidity, 0.25 as lambda_adverse, 0.15 as lambda_regime,

@@ -13,12 +13,13 @@ from lobwright.operators.cluster import alignment, residual_clusters
 from lobwright.operators.fills import Execution
 from lobwright.operators.labels import class_return_means, label_columns
 from lobwright.operators.regimes import apply_regimes, fit_thresholds
+from lobwright.operators.splits import asset_pairs
 from lobwright.operators.tune import evaluate_grid, policy_grid, select_threshold, winner_grid, winner_trades
 from lobwright.plans import oracle as O
-from lobwright.plans.chain import labelled, regimed, scored
+from lobwright.plans.chain import labelled, regimed, scored, tuned
 from lobwright.plans.registry import query
 from lobwright.sources.book import events_book
-from lobwright.sources.stages import checkpoint_root, cut, stage
+from lobwright.sources.stages import checkpoint_root, cut, per_key, stage
 from lobwright.streaming.live import LatestUpdate, LiveBook, live_features, minute_audit, run_available
 
 _QUALITY = "model:s split:s n_rows:i accuracy:r6 macro_f1:r6 weighted_f1:r6 balanced_accuracy:r6 mcc:r6"
@@ -48,6 +49,50 @@ def _(spark, sf):
     return _quality(M.score_boosted(rows, M.train_boosted(rows, rounds=5, depth=3)), "boosted")
 
 
+_PAIR = "a.symbol || '>' || b.symbol as symbol"
+_ASSETS = "(select distinct symbol from scored)"
+_TRANSFER = {
+    "moved": f"select b.* exclude (symbol), {_PAIR} from scored b join {_ASSETS} a on a.symbol <> b.symbol where b.split = 'test'",
+    "moved_means": f"select a.* exclude (symbol), {_PAIR} from means a join {_ASSETS} b on a.symbol <> b.symbol",
+    "moved_winners": f"select a.* exclude (symbol), {_PAIR} from winners a join {_ASSETS} b on a.symbol <> b.symbol",
+    "moved_test": O.DECIDED.replace("from scored s join means", "from moved s join moved_means"),
+    "moved_signals": "select *, 1 as latency, 1e0 as sm, 1e0 as dm from (" + O.grid_signals("moved_test", "moved_winners") + ")",
+    **O.trips("mv", "moved_signals", "moved_test", "s.policy"),
+    "moved_thin": O.thinned("mv_trips", "exchange, symbol, policy", 3),
+    "moved_trades": O.charged("moved_thin"),
+}
+
+
+@query("m6b_transfer_all_pairs", "train_symbol:s test_symbol:s policy:s theta:r11 n_trades:i gross_pnl:r5 net_pnl:r5",
+       """select split_part(w.symbol, '>', 1) as train_symbol, split_part(w.symbol, '>', 2) as test_symbol, w.policy, w.theta,
+                 coalesce(n_trades, 0) as n_trades, coalesce(gross_pnl, 0e0) as gross_pnl, coalesce(net_pnl, 0e0) as net_pnl
+          from moved_winners w left join (select symbol, policy, count(*) as n_trades, sum(gross_pnl) as gross_pnl, sum(net_pnl) as net_pnl
+                                          from moved_trades group by 1, 2) using (symbol, policy)""", extra=_TRANSFER)
+def _(spark, sf):
+    """Every direction at once: class means and thresholds of the source on the target's test rows.
+
+    A direction is a key of its own, so the target's rows are repeated once per source; their number grows with that of
+    symbols, never with that of rows.
+    """
+    from lobwright.operators.fills import summarize
+
+    rows = scored(spark, sf)
+    pairs = per_key(asset_pairs(rows))
+
+    def moved(df, side):
+        named = pairs.select(F.col(side).alias("symbol"), F.concat("train_symbol", F.lit(">"), "test_symbol").alias("_pair"))
+        return df.join(named, "symbol").drop("symbol").withColumnRenamed("_pair", "symbol")
+
+    winners = per_key(moved(winner_grid(tuned(spark, sf)), "train_symbol"))
+    means = per_key(moved(class_return_means(rows), "train_symbol"))
+    target = moved(rows.filter("split = 'test'"), "test_symbol")
+    test = cut(D.gate_diagnostics(D.with_expected_edge(target, means)), "moved_test")
+    trades = summarize(winner_trades(test, winners, Execution()), ["symbol", "policy"])
+    return winners.select("symbol", "policy", "theta").join(trades, ["symbol", "policy"], "left").na.fill(0, ["n_trades"]).na.fill(
+        0.0, ["gross_pnl", "net_pnl"]).withColumns({"train_symbol": F.split_part("symbol", F.lit(">"), F.lit(1)),
+                                                    "test_symbol": F.split_part("symbol", F.lit(">"), F.lit(2))})
+
+
 @query("m6_transfer", "train_symbol:s test_symbol:s policy:s theta:r9 n_trades:i net_pnl:r5 accuracy:r6")
 def _(spark, sf):
     """Model, class means and thresholds from the source; the target is met on its test rows only."""
