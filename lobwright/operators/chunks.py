@@ -1,11 +1,12 @@
-"""Windows over long sequences: chunk + halo, and rolling statistics from prefix sums.
+"""Windows over long sequences: chunk + halo.
 
 ``partitionBy(symbol)`` would put a symbol's whole history into one task.  Instead each symbol is cut into chunks of
 ``chunk_rows`` consecutive events; a row is also sent to the neighbouring chunks that look back at it (``back`` rows)
 or ahead at it (``ahead`` rows).  Windows run inside (symbol, chunk), and the borrowed rows are dropped afterwards.
 Parallelism is rows / chunk_rows and the overhead (back + ahead) / chunk_rows, whatever the skew between symbols.
 
-Rolling sums are differences of running sums inside the chunk, so a 500-row window costs as much as a 20-row one.
+Rolling statistics are native frames over the rows of each window, with no sums carried along: the work per row grows with
+the window, but nothing cancels, and the result does not depend on where a chunk begins.
 """
 
 from __future__ import annotations
@@ -50,43 +51,24 @@ class ChunkSql:
     def trailing(self, agg: str, n: int) -> str:
         return f"{agg} over ({self.w} rows between {n - 1} preceding and current row)"
 
-    def running(self, agg: str) -> str:
-        return f"{agg} over ({self.w} rows between unbounded preceding and current row)"
-
-    def before(self, running: str, n: int) -> str:
-        """Running sum ``running`` as it stood ``n`` rows ago; nothing before the first row."""
-        return f"coalesce({self.lag(running, n)}, 0D)"
-
 
 def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter("_chunk = _home").drop("_chunk", "_home", "_pos")
 
 
-def sample_std(n: str, s1: str, s2: str) -> str:
-    """Sample deviation from count, sum and sum of squares; NULL below two rows."""
-    return f"if({n} >= 2, sqrt(greatest({s2} - ({s1}) * ({s1}) / greatest({n}, 1), 0D) / greatest({n} - 1, 1)), null)"
-
-
 def add_rolling_z(df: DataFrame, inputs: dict[str, str], win: ChunkSql, n: int, min_rows: int, eps: float) -> DataFrame:
-    """``out -> z`` of each input against its own trailing ``n`` rows; 0 until ``min_rows`` are there.
-
-    Values are shifted by the chunk's first value before squaring, which keeps a constant series exactly at 0.
-    """
+    """``out -> z`` of each input against its own trailing ``n`` rows; 0 until ``min_rows`` are there or if all are equal."""
     d = add(df, {f"_x_{o}": c for o, c in inputs.items()})
-    d = add(d, {f"_d_{o}": f"_x_{o} - {win.running(f'first(_x_{o})')}" for o in inputs})
-    d = add(d, {f"_s_{o}": win.running(f"sum(_d_{o})") for o in inputs}
-            | {f"_q_{o}": win.running(f"sum(_d_{o} * _d_{o})") for o in inputs} | {"_at": win.position()})
-    d = add(d, {f"_{k}w_{o}": f"_{k}_{o} - {win.before(f'_{k}_{o}', n)}" for o in inputs for k in "sq"})
-    cnt = f"least(_at, {n})"
+    d = add(d, {f"_m_{o}": win.trailing(f"avg(_x_{o})", n) for o in inputs}
+            | {f"_s_{o}": win.trailing(f"stddev_samp(_x_{o})", n) for o in inputs} | {"_at": win.position()})
     d = add(
         d,
         {
-            o: f"if({cnt} >= {min_rows}, (_d_{o} - _sw_{o} / {cnt}) / "
-               f"({sample_std(cnt, f'_sw_{o}', f'_qw_{o}')} + {eps}D), 0D)"
+            o: f"if(least(_at, {n}) >= {min_rows} and _s_{o} > 0D, (_x_{o} - _m_{o}) / (_s_{o} + {eps}D), 0D)"
             for o in inputs
         },
     )
-    return d.drop("_at", *[f"_{k}_{o}" for o in inputs for k in ("x", "d", "s", "q", "sw", "qw")])
+    return d.drop("_at", *[f"_{k}_{o}" for o in inputs for k in "xms"])
 
 
 def add_rolling_median(df: DataFrame, column: str, n: int, out: str, keys: tuple[str, ...] = KEYS, idx: str = "event_idx") -> DataFrame:

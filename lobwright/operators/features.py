@@ -14,7 +14,6 @@ from lobwright.operators.chunks import (
     add_rolling_z,
     chunk_window,
     drop_halo,
-    sample_std,
     with_halo,
 )
 from lobwright.sources.stages import per_key
@@ -155,31 +154,31 @@ def return_features(
         cols[f"mid_return_{k}"] = f"coalesce((mid_price - _mid_{k}) / (_mid_{k} + {EPS}D), 0D)"
         cols[f"log_return_{k}"] = f"coalesce(ln((mid_price + {EPS}D) / (_mid_{k} + {EPS}D)), 0D)"
     d = add(add(d, cols), {"_r1": win.lag("one_step")})
-    d = add(d, {"_flip": "if(signum(one_step) = signum(_r1), 0D, 1D)", "_xy": "coalesce(one_step * _r1, 0D)"})
-    totals = {"c1": "one_step", "c2": "one_step * one_step", "ca": "abs(one_step)", "cf": "_flip", "cxy": "_xy"}
-    d = add(d, {f"_{k}": win.running(f"sum({x})") for k, x in totals.items()})
-    lagged = {f"_{k}_{n}": win.before(f"_{k}", n) for n in {1, *windows, *[w - 1 for w in windows]} for k in ("c1", "c2")}
+    d = add(d, {"_flip": "if(signum(one_step) = signum(_r1), 0D, 1D)"})
+    # Lag-1 pairs of the last n rows are the last n - 1 rows that have a predecessor: x before, y now.
+    d = add(d, {"_y": "if(_r1 is null, null, one_step)"})
+    frames: dict[str, str] = {}
     for n in windows:
-        lagged |= {f"_{k}_{n}": win.before(f"_{k}", n) for k in ("ca", "cf")}
-        lagged[f"_cxy_{n - 1}"] = win.before("_cxy", n - 1)
-    d = add(d, lagged)
+        frames |= {
+            f"_sd_{n}": win.trailing("stddev_samp(one_step)", n),
+            f"_abs_{n}": win.trailing("sum(abs(one_step))", n),
+            f"_flips_{n}": win.trailing("sum(_flip)", n),
+            f"_cov_{n}": win.trailing("covar_pop(_r1, _y)", n - 1),
+            f"_vx_{n}": win.trailing("var_pop(_r1)", n - 1),
+            f"_vy_{n}": win.trailing("var_pop(_y)", n - 1),
+        }
+    d = add(d, frames)
     out: dict[str, str] = {}
     for n in windows:
         need, cnt = max(2, n // 4), f"least(_pos, {n})"
         gate = f"{cnt} >= {need}"
-        out[f"realized_vol_{n}"] = f"if({gate}, {sample_std(cnt, f'(_c1 - _c1_{n})', f'(_c2 - _c2_{n})')}, 0D)"
-        out[f"abs_return_{n}"] = f"if({gate}, _ca - _ca_{n}, 0D)"
-        out[f"up_down_flip_rate_{n}"] = f"if({gate}, (_cf - _cf_{n}) / {cnt}, 0D)"
-        # Lag-1 pairs of the last n rows: x over [i-n+1, i-1], y over [i-n+2, i].
+        out[f"realized_vol_{n}"] = f"if({gate}, coalesce(_sd_{n}, 0D), 0D)"
+        out[f"abs_return_{n}"] = f"if({gate}, _abs_{n}, 0D)"
+        out[f"up_down_flip_rate_{n}"] = f"if({gate}, _flips_{n} / {cnt}, 0D)"
         pairs = f"least(_pos - 1, {n - 1})"
-        k = f"greatest({pairs}, 1)"
-        sy, syy = f"(_c1 - _c1_{n - 1})", f"(_c2 - _c2_{n - 1})"
-        sx, sxx = f"(_c1_1 - _c1_{n})", f"(_c2_1 - _c2_{n})"
-        cov = f"(_cxy - _cxy_{n - 1}) - {sx} * {sy} / {k}"
-        vx, vy = f"({sxx} - {sx} * {sx} / {k})", f"({syy} - {sy} * {sy} / {k})"
-        corr = f"if({vx} > 1e-24D and {vy} > 1e-24D, ({cov}) / sqrt({vx} * {vy}), 0D)"
+        corr = f"if(_vx_{n} * {pairs} > 1e-24D and _vy_{n} * {pairs} > 1e-24D, _cov_{n} / sqrt(_vx_{n} * _vy_{n}), 0D)"
         out[f"return_autocorr_{n}"] = f"if({pairs} >= {max(2, need - 1)}, {corr}, 0D)"
-    gone = [f"_mid_{k}" for k in (1, *horizons)] + [f"_{k}" for k in totals] + [*lagged, "_r1", "_flip", "_xy"]
+    gone = [f"_mid_{k}" for k in (1, *horizons)] + [*frames, "_r1", "_flip", "_y"]
     return add(d, out).drop(*gone)
 
 
@@ -248,16 +247,11 @@ def small_feature_set(df: DataFrame, chunk_rows: int = CHUNK_ROWS, keys: tuple[s
     d = with_halo(depth_features(price_features(df, eps), (1, 5, 10, 20), eps), back=200, chunk_rows=chunk_rows)
     d = add(d, {"_m1": win.lag("mid_price"), "_m10": win.lag("mid_price", 10), "_pos": win.position()})
     d = add(d, {f"ret_{k}": f"coalesce(try_divide(mid_price, _m{k}) - 1D, 0D)" for k in (1, 10)})
-    totals = {"c1": "ret_1", "c2": "ret_1 * ret_1", "cm": "ret_10"}
-    d = add(d, {f"_{k}": win.running(f"sum({x})") for k, x in totals.items()})
-    lagged = {f"_{k}_{n}": win.before(f"_{k}", n) for k in totals for n in (20, 100)}
-    d = add(d, lagged)
-    out = {
-        f"realized_vol_{n}": f"coalesce({sample_std(f'least(_pos, {n})', f'(_c1 - _c1_{n})', f'(_c2 - _c2_{n})')}, 0D)"
-        for n in (20, 100)
-    }
-    out["momentum_score"] = "if(_pos >= 2, (_cm - _cm_20) / least(_pos, 20), 0D)"
-    d = add(d, out).drop(*lagged, *[f"_{k}" for k in totals], "_m1", "_m10")
+    frames = {f"_sd_{n}": win.trailing("stddev_samp(ret_1)", n) for n in (20, 100)} | {"_mean": win.trailing("avg(ret_10)", 20)}
+    d = add(d, frames)
+    out = {f"realized_vol_{n}": f"coalesce(_sd_{n}, 0D)" for n in (20, 100)}
+    out["momentum_score"] = "if(_pos >= 2, _mean, 0D)"
+    d = add(d, out).drop(*frames, "_m1", "_m10")
     return drop_halo(
         add_rolling_z(d, {"spread_z_100": "rel_spread", "depth_z_100": "total_depth_10"}, win, 100, 5, eps)
     )

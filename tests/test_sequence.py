@@ -49,6 +49,22 @@ def test_rolling_statistics_equal_pandas(spark):
         assert got[f"return_autocorr_{n}"].to_numpy() == pytest.approx(corr.to_numpy(), abs=1e-6)
 
 
+def test_rolling_statistics_do_not_depend_on_chunks(spark):
+    """Violent moves, then moves of 1e-9: running sums would keep the error of the first in the second."""
+    rnd, mid = random.Random(8), [100.0]
+    for i in range(3000):
+        mid.append(mid[-1] * (1 + rnd.uniform(-1, 1) * (0.01 if i < 1500 else 1e-9)))
+    rows = mids(spark, mid)
+    r = np.array([0.0, *[b / a - 1 for a, b in zip(mid, mid[1:])]])
+    for chunk in (1_000, 2_000, 65_536):
+        got = returns(rows, chunk).orderBy("event_idx").toPandas()
+        for n in (20, 100, 500):
+            want = np.array([np.std(r[i - n + 1 : i + 1], ddof=1) for i in range(n, len(r))])
+            assert got[f"realized_vol_{n}"].to_numpy()[n:] == pytest.approx(want, rel=1e-9)
+        want = np.array([np.corrcoef(r[i - 99 : i], r[i - 98 : i + 1])[0, 1] for i in range(2000, 2100)])
+        assert got["return_autocorr_100"].to_numpy()[2000:2100] == pytest.approx(want, rel=1e-9)
+
+
 def test_constant_series_gives_zeros(spark):
     got = returns(mids(spark, [100.0] * 300)).toPandas()
     for c in ("realized_vol_100", "return_autocorr_100", "mid_return_50"):
