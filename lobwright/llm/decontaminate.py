@@ -30,9 +30,8 @@ MISMATCH = 3
 
 
 def seed_hashes(tokens: Column) -> Column:
-    """Array of (hash, pos) of every mask at every position."""
-    at = lambda i: F.array(*[
-        F.struct(F.xxhash64(F.lit(k), *[F.get(tokens, i + p) for p in mask]).alias("hash"), i.alias("pos")) for k, mask in enumerate(MASKS)])
+    """Array of the hashes of every mask at every position: number ``pos * len(MASKS) + k`` is mask k's at ``pos``."""
+    at = lambda i: F.array(*[F.xxhash64(F.lit(k), *[F.get(tokens, i + p) for p in mask]) for k, mask in enumerate(MASKS)])
     return F.when(F.size(tokens) >= SPAN, F.flatten(F.transform(F.sequence(F.lit(0), F.size(tokens) - SPAN), at)))
 
 
@@ -60,17 +59,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     then the texts of those with hits only.
     """
     items = bounded(benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).where(F.size("item") >= SPAN).distinct(), name="items")
-    marks = cut(items.select("item_id", "item", F.explode(seed_hashes(F.col("item"))).alias("s")).select(
-        "s.hash", "item_id", F.col("s.pos").alias("item_pos")), "seed_marks")
+    pos = F.floor(F.col("number") / len(MASKS)).cast("int")
+    marks = cut(items.select("item_id", F.posexplode(seed_hashes(F.col("item"))).alias("number", "hash")).select(
+        "hash", "item_id", pos.alias("item_pos")), "seed_marks")
     known = bounded(marks.select("hash").distinct(), name="seed_hashes")
     marks = bounded(marks.distinct(), name="seed_places")
-    seeds = docs.select(row_key().alias("key"), F.explode(let(token_hashes(F.col("text")), seed_hashes)).alias("s")).select(
-        "key", "s.hash", "s.pos")
+    seeds = docs.select(row_key().alias("key"), F.posexplode(let(token_hashes(F.col("text")), seed_hashes)).alias("number", "hash"))
     hits = seeds.join(known, "hash", "left_semi").join(marks, "hash")
-    shifts = cut(hits.select("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "seed_hits")
+    shifts = cut(hits.select("key", "item_id", (pos - F.col("item_pos")).alias("shift")).distinct(), "seed_hits")
     wanted = bounded(shifts.select("key").distinct(), name="seed_documents")
-    texts = docs.select(row_key().alias("key"), "doc_id", "text").join(wanted, "key", "left_semi").groupBy("key", "doc_id", "text").agg(
-        F.lit(1).alias("one")).select("key", "doc_id", token_hashes(F.col("text")).alias("doc"))
+    texts = docs.select(row_key().alias("key"), "doc_id", "text").join(wanted, "key", "left_semi").select(
+        "key", "doc_id", token_hashes(F.col("text")).alias("doc"))
     aligned = texts.join(shifts, "key").join(items, "item_id").select(
         "key", "doc_id", "item_id", "shift", F.size("item").alias("n"), overlap(F.col("doc"), F.col("item"), F.col("shift")).alias("o"))
     length = F.col("o.last") - F.col("o.first") + 1
