@@ -86,8 +86,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
     candidates = cut(held.where(full).groupBy("key", "template", "stride", "width").agg(
         F.collect_set("window").alias("windows")), "license_windows")
     wanted = bounded(candidates.select("key").distinct(), name="license_documents")
-    texts = docs.select(row_key().alias("key"), "doc_id", "text").join(wanted, "key", "left_semi").groupBy("key", "doc_id", "text").agg(
-        F.lit(1).alias("one")).select("key", "doc_id", let(token_hashes(F.col("text")), shingles).alias("own"))
+    texts = docs.select(row_key().alias("key"), "doc_id", "text").join(wanted, "key", "left_semi").select(
+        "key", "doc_id", let(token_hashes(F.col("text")), shingles).alias("own"))
     tested = texts.join(candidates, "key").join(known.select("template", "wanted", "n"), "template").select(
         "doc_id", "template", "n", F.array_max(F.transform("windows", lambda w: F.struct(
             F.size(F.array_intersect(F.slice("own", w * F.col("stride") + 1, F.col("width")), F.col("wanted"))).alias("found"),
