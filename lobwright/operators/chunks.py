@@ -56,19 +56,29 @@ def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter("_chunk = _home").drop("_chunk", "_home", "_pos")
 
 
+def sample_std(n: str, s1: str, s2: str) -> str:
+    """Sample deviation from count, sum and sum of squares; NULL below two rows."""
+    return f"if({n} >= 2, sqrt(greatest({s2} - ({s1}) * ({s1}) / greatest({n}, 1), 0D) / greatest({n} - 1, 1)), null)"
+
+
 def add_rolling_z(df: DataFrame, inputs: dict[str, str], win: ChunkSql, n: int, min_rows: int, eps: float) -> DataFrame:
-    """``out -> z`` of each input against its own trailing ``n`` rows; 0 until ``min_rows`` are there or if all are equal."""
+    """``out -> z`` of each input against its own trailing ``n`` rows; 0 until ``min_rows`` are there.
+
+    Values are shifted by the chunk's first value before squaring, which keeps a constant series exactly at 0.
+    """
     d = add(df, {f"_x_{o}": c for o, c in inputs.items()})
-    d = add(d, {f"_m_{o}": win.trailing(f"avg(_x_{o})", n) for o in inputs}
-            | {f"_s_{o}": win.trailing(f"stddev_samp(_x_{o})", n) for o in inputs} | {"_at": win.position()})
+    d = add(d, {f"_d_{o}": f"_x_{o} - first(_x_{o}) over ({win.w})" for o in inputs})
+    d = add(d, {f"_s_{o}": win.trailing(f"sum(_d_{o})", n) for o in inputs}
+            | {f"_q_{o}": win.trailing(f"sum(_d_{o} * _d_{o})", n) for o in inputs} | {"_at": win.position()})
+    cnt = f"least(_at, {n})"
     d = add(
         d,
         {
-            o: f"if(least(_at, {n}) >= {min_rows} and _s_{o} > 0D, (_x_{o} - _m_{o}) / (_s_{o} + {eps}D), 0D)"
+            o: f"if({cnt} >= {min_rows}, (_d_{o} - _s_{o} / {cnt}) / ({sample_std(cnt, f'_s_{o}', f'_q_{o}')} + {eps}D), 0D)"
             for o in inputs
         },
     )
-    return d.drop("_at", *[f"_{k}_{o}" for o in inputs for k in "xms"])
+    return d.drop("_at", *[f"_{k}_{o}" for o in inputs for k in "xdsq"])
 
 
 def add_rolling_median(df: DataFrame, column: str, n: int, out: str, keys: tuple[str, ...] = KEYS, idx: str = "event_idx") -> DataFrame:
