@@ -36,19 +36,30 @@ def seed_hashes(tokens: Column) -> Column:
 
 
 def overlap(doc: Column, item: Column, shift: Column) -> Column:
-    """Struct (score, first, last) of the best stretch of ``item`` along the shift; positions are the item's."""
+    """Struct (matched, less, at) of the best stretch of ``item`` along the shift: ``less`` is minus its length, ``at`` minus its first position.
+
+    Of the stretches whose score is not negative, the one with most equal tokens, then the shortest, then the first.  A best one
+    begins and ends with an equal token.  For an end, the earliest start whose prefix score is not above the end's has most; it
+    is always one at which the prefix score was lower than at all starts before, so only those are kept in ``starts``.
+    """
     def step(state: Column, i: Column) -> Column:
-        point = F.when(F.get(doc, i + shift) == F.get(item, i), 1).otherwise(-MISMATCH)
-        grown = F.greatest(state["run"], F.lit(0)) + point
-        first = F.when(state["run"] > 0, state["from"]).otherwise(i)
-        better = grown > state["score"]
-        return F.struct(
-            F.when(better, grown).otherwise(state["score"]).alias("score"), F.when(better, first).otherwise(state["first"]).alias("first"),
-            F.when(better, i).otherwise(state["last"]).alias("last"), grown.alias("run"), first.alias("from"))
+        p, m, low = state["p"], state["m"], state["low"]
+
+        def ended(starts: Column) -> Column:
+            def grown(s: Column) -> Column:
+                here = F.struct((m + 1 - s["m"]).alias("matched"), (s["i"] - i - 1).alias("less"), (-s["i"]).alias("at"))
+                return F.struct((p + 1).alias("p"), (m + 1).alias("m"), F.least(low, p).alias("low"), starts.alias("starts"), F.greatest(state["best"], here).alias("best"))
+
+            return let(F.get(F.filter(starts, lambda s: s["p"] <= p + 1), F.lit(0)), grown)
+
+        opened = F.when(p < low, F.concat(state["starts"], F.array(F.struct(p.alias("p"), m.alias("m"), i.alias("i"))))).otherwise(state["starts"])
+        missed = F.struct((p - MISMATCH).alias("p"), m.alias("m"), low.alias("low"), state["starts"].alias("starts"), state["best"].alias("best"))
+        return F.when(F.get(doc, i + shift) == F.get(item, i), let(opened, ended)).otherwise(missed)
 
     zero = F.lit(0)
-    start = F.struct(zero.alias("score"), zero.alias("first"), zero.alias("last"), zero.alias("run"), zero.alias("from"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), start, step)
+    start = F.struct(zero.alias("p"), zero.alias("m"), F.lit(1).alias("low"), F.array().cast("array<struct<p:int,m:int,i:int>>").alias("starts"),
+                     F.struct(zero.alias("matched"), zero.alias("less"), zero.alias("at")).alias("best"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), start, step, lambda state: state["best"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -72,11 +83,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "key", "doc_id", token_hashes(F.col("text")).alias("doc"))
     aligned = texts.join(shifts, "key").join(items, "item_id").select(
         "key", "doc_id", "item_id", "shift", F.size("item").alias("n"), overlap(F.col("doc"), F.col("item"), F.col("shift")).alias("o"))
-    length = F.col("o.last") - F.col("o.first") + 1
-    # score = matched - MISMATCH * (length - matched)
-    matched = ((F.col("o.score") + MISMATCH * length) / (MISMATCH + 1)).cast("int")
-    found = aligned.select("key", "doc_id", "item_id", (F.col("o.first") + F.col("shift")).alias("start"), length.alias("length"),
-                           matched.alias("matched"), F.col("n").alias("item_tokens"))
+    found = aligned.select("key", "doc_id", "item_id", (F.col("shift") - F.col("o.at")).alias("start"), (-F.col("o.less")).alias("length"),
+                           F.col("o.matched").alias("matched"), F.col("n").alias("item_tokens"))
     least = F.least(F.lit(LEAST), F.ceil(SHARE * F.col("item_tokens")))
     leaks = found.where((F.col("matched") >= least) & (4 * F.col("matched") >= 3 * F.col("length")))
     best = F.struct("matched", -F.col("start"), "length", "item_tokens", "start")
