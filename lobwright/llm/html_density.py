@@ -32,26 +32,58 @@ RAW = frozenset("script style title textarea noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-#: Words in a class, id or role that mark a block as no part of the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsored|sponsors?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|"
-    r"newsletters?|subscribe|subscription|comments?|commentlist|disqus|respond|replies|sidebars?|side|menus?|nav|navbar|navigation|breadcrumbs?|footers?|"
-    r"headers?|masthead|share|sharing|social|related|recommended|widgets?|complementary|contentinfo|search|login|signup)(?:$|[\s_-])", re.I)
+#: Words in a class, id or role that mark a block as no part of the article: a whole name of them, or of them and ``NEUTRAL``.
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner banners sponsored sponsor sponsors promo promos promotion promotions cookie cookies "
+    "consent gdpr notice notices alert alerts popup popups modal modals newsletter newsletters subscribe subscription comment comments commentlist disqus respond "
+    "replies sidebar sidebars side menu menus nav navbar navigation breadcrumb breadcrumbs footer footers header headers masthead share sharing social related "
+    "recommended widget widgets complementary contentinfo search login signup".split())
+NEUTRAL = frozenset("area bar block body bottom box buttons container form icons inner left links list main page post posts primary right secondary section site slot thread top unit wrap wrapper".split())
+COMMENTS = frozenset("comment comments".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^<>]*)>?")
-_MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 
 #: A neighbour with the threshold's density needs this share of the best sum to belong to the article.
 SHARE = 0.2
 
 
+def attributes(tag: str) -> dict[str, str]:
+    """By lower-cased name; of repeated ones the first, as browsers do."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def says(names: str, words: frozenset[str] = BOILERPLATE) -> bool:
+    """True if one of the names consists of ``words``, with ``NEUTRAL`` ones or without."""
+    for name in names.lower().split():
+        parts = [p.rstrip("0123456789") for p in re.split("[_-]+", name)]
+        if any(p in words for p in parts) and all(not p or p in BOILERPLATE or p in NEUTRAL for p in parts):
+            return True
+    return False
+
+
+def marked(name: str, given: dict[str, str], inside: bool) -> bool:
+    """True if an element's class, id or role says that it is no part of the article; ``inside`` an article or main, ids of sections don't count."""
+    if name in HEADINGS or name == "main":
+        return False
+    names = f"{given.get('class', '')} {given.get('role', '')}"
+    if name not in INLINE and not (inside and (name == "section" or "section" in given.get("class", "").split())):
+        names += f" {given.get('id', '')}"
+    return says(names, COMMENTS if name == "article" else BOILERPLATE)
+
+
 class Node:
-    __slots__ = ("name", "parent", "out", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "out", "mark", "inside", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, name: str, parent: Node | None, out: bool):
-        self.name, self.parent, self.out = name, parent, out
+        self.name, self.parent, self.out, self.mark = name, parent, out, False
+        self.inside = parent is not None and (parent.inside or parent.name in ("article", "main"))
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -60,7 +92,7 @@ class Node:
 def parse(page: str) -> Node:
     """The page's tree; text is kept as decoded strings between the nodes."""
     root = here = Node("body", None, False)
-    at, strict, size, lower = 0, True, len(page), None
+    at, strict, size, lower, any_mark = 0, True, len(page), None, False
     while at < size:
         start = page.find("<", at)
         if start < 0:
@@ -105,10 +137,11 @@ def parse(page: str) -> Node:
                 up = up.parent
             if closed is not None:
                 here = closed.parent
-        marks = " ".join(next(filter(None, m.groups()), "") for m in _MARK.finditer(tag[3])) if tag[3] else ""
-        out = here.out or name in LEFT_OUT or bool(marks and name not in ("article", "main") and BOILERPLATE.search(marks)) or bool(
-            marks and name == "article" and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", marks, re.I)) or bool(tag[3] and _HIDDEN.search(tag[3]))
-        node = Node(name, here, out)
+        given = attributes(tag[3]) if tag[3] else {}
+        hidden = bool(given) and ("hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(_NONE.search(given.get("style", ""))))
+        node = Node(name, here, here.out or name in LEFT_OUT or hidden)
+        node.mark = bool(given) and marked(name, given, node.inside)
+        any_mark = any_mark or node.mark
         here.parts.append(node)
         if name in RAW:
             lower = page.lower() if lower is None else lower
@@ -122,9 +155,32 @@ def parse(page: str) -> Node:
             here = node
         elif name not in VOID:
             here = node if name in ("p", "div", "li", "article", "section", "span", "a", "b") else here
+    if any_mark:
+        strike(root)
     return root
 
 
+def strike(root: Node) -> None:
+    """Leaves marked elements out, but none around the largest article or main, or, on a page without, around most of the text outside links."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [p for p in node.parts if isinstance(p, Node) and not p.out]
+    plain: dict[Node, int] = {}
+    for node in reversed(order):
+        plain[node] = 0 if node.name == "a" else sum(plain[p] if isinstance(p, Node) else len("".join(p.split())) for p in node.parts if isinstance(p, str) or not p.out)
+    keep: set[Node] = set()
+    up = max((n for n in order if n.name in ("article", "main") and not n.mark), key=plain.__getitem__, default=None)
+    bare = up is None
+    while up is not None:
+        keep.add(up)
+        up = up.parent
+    for node in order:
+        if node.mark and node not in keep and not (bare and 2 * plain[node] > plain[root]):
+            node.out = True
+
+
 def measure(root: Node) -> list[Node]:
     """Fills in counts and densities; the nodes that can be part of an article, parents before children."""
     order, todo = [], [root]
