@@ -7,9 +7,9 @@ density: characters per tag, lowered by the share of link characters, by the com
     D = C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC + LCb / Cb * C + e))
 
 with C, T the characters and tags below the node, LC, LT those of links, and b the body.  The subtree with the largest sum
-of its children's densities holds the article.  The least density on the path from the body to it is the threshold: its
-neighbours that reach it and whose own children's densities sum up to a share of its sum belong to the article too (an
-article in sections), and so does an enclosing article or main element.
+of its children's densities holds the article.  An enclosing article or main element is all article.  Without one, the subtree
+grows to its parent as long as the rest of the parent is not mostly links (headings, short sections); where it is, the
+neighbours that are not mostly links belong to the article too.
 
 Text: character references decoded, white space inside a block turned into one space, blocks joined in page order.  Null and
 empty pages give empty text; repeated rows get the same text each; malformed markup is read as far as it makes sense; an
@@ -47,8 +47,8 @@ _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^<>]*)>?")
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 
-#: A neighbour with the threshold's density needs this share of the best sum to belong to the article.
-SHARE = 0.2
+#: A neighbour with more of its characters in links is no part of the article.
+LINKS = 0.5
 
 
 def attributes(tag: str) -> dict[str, str]:
@@ -211,8 +211,8 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def article_nodes(root: Node) -> list[Node]:
-    """The subtrees that hold the article, in page order."""
+def article_nodes(root: Node) -> list[Node | str]:
+    """The subtrees and texts that hold the article, in page order."""
     order = measure(root)
     filled = [n for n in order if n.chars]
     if not filled:
@@ -230,19 +230,15 @@ def article_nodes(root: Node) -> list[Node]:
     inner = [n for n in order if n.name == "article" and n.chars >= 0.5 * best.chars and best is not n]
     if inner and best is root:
         return inner
-    if best.parent is None:
-        return [best]
-    path, node = [], best
-    while node is not None:
-        path.append(node.density)
-        node = node.parent
-    threshold = min(path)
-    same = [p for p in best.parent.parts if isinstance(p, Node) and not p.out and p.chars]
-    return [n for n in same if n is best or n.density >= threshold and (
-        n.total >= SHARE * best.total or n.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "table"))]
-
-
-def node_text(nodes: list[Node]) -> str:
+    while best.parent is not None:
+        up = best.parent
+        if up.link_chars - best.link_chars > LINKS * (up.chars - best.chars):
+            return [p for p in up.parts if isinstance(p, str) or not p.out and p.chars and (p is best or p.name in HEADINGS or p.link_chars <= LINKS * p.chars)]
+        best = up
+    return [best]
+
+
+def node_text(nodes: list[Node | str]) -> str:
     """Blocks in page order, each with single spaces, joined by a space."""
     blocks: list[str] = []
     run: list[str] = []

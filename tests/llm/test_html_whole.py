@@ -26,3 +26,16 @@ def test_attribute_names(given):
 def test_blocks_still_left_out(given):
     assert main_text(page(f"<article>{ARTICLE}</article><div {given}><p>{LONG}</p></div>")) == TEXT
     assert main_text(page(f"<article>{ARTICLE}<div {given}><p>Not this.</p></div></article>")) == TEXT
+
+
+def test_unequal_sections():
+    first = "<h2>One</h2>" + f"<p>{LONG}</p>" * 6
+    text = " ".join(["One", *[LONG.strip()] * 6, "Two", LONG.strip()])
+    assert main_text(page(f"{NAV}<div><section>{first}</section><section><h2>Two</h2><p>{LONG}</p></section></div>")) == text
+
+
+def test_heading_beside_the_block():
+    links = "".join(f'<li><a href="/{k}">Link number {k} of a long list</a></li>' for k in range(30))
+    for title in ("<h1>Title</h1>", '<h1><a href="/">Title</a></h1>'):
+        assert main_text(page(f"<div>{title}<div>{ARTICLE}</div></div>")) == "Title " + TEXT
+        assert main_text(page(f"<div>{title}<ul>{links}</ul><div>{ARTICLE}</div></div>")) == "Title " + TEXT
