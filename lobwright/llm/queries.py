@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lobwright.llm.bpe import round_trip
+from lobwright.llm.collocations import collocations
 from lobwright.llm.common import table
 from lobwright.llm.decontaminate import contaminated_pairs
 from lobwright.llm.html_density import extract_main_text
@@ -17,7 +19,9 @@ from lobwright.llm.quality_rules import quality_table
 from lobwright.llm.sharding import shard_documents
 from lobwright.llm.simhash import simhash_groups
 from lobwright.llm.token_store import token_digest, write_tokens
+from lobwright.llm.twins import COLLOCATIONS, vector_codes_sql
 from lobwright.llm.url_rules import judge_urls
+from lobwright.llm.vector_codes import vector_codes
 from lobwright.sources.stages import new_path
 
 #: The filter list of op9 as (host, path, verdict).
@@ -73,6 +77,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_license_scan": op2_license_scan,
@@ -84,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_rules": op9_url_rules,
     "op10_sharding": op10_sharding,
+    "op11_collocations": op11_collocations,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_bpe": op13_bpe,
 }
 
 #: Op9's twin: host and path by patterns, each rule tested against each URL, the longest that fits wins.
@@ -116,4 +135,9 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
   failed_rules = 0 as kept, failed_rules from f
 """
 
-ORACLES: dict[str, str] = {"op7_quality_rules": _OP7, "op9_url_rules": _OP9}
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": _OP7,
+    "op9_url_rules": _OP9,
+    "op11_collocations": COLLOCATIONS,
+    "op12_vector_codes": vector_codes_sql(),
+}
