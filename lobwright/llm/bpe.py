@@ -24,20 +24,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 #: Runs and pieces of a generation that a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 #: Bytes of text whose pieces are indexed together.
-BLOCK = 8_000_000
+BLOCK = 2_000_000
 
 #: Runs that go to the pre-tokenizer in one call.
 TOGETHER = 1024
 
+#: A word of Latin letters and marks after it, which common pre-tokenizers cut apart.
+MARKED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?:;]+)")
+
 _BREAK, _GONE = -1, -2
 
 
@@ -97,6 +101,7 @@ class PairIndex:
             self.tokens[i] = token
         self.decoder = (spec.get("decoder") or {}).get("type")
         self.cuts = self._cut("a  b\t\nc\r d\x0b\x0ce") == self._cut("a b c d e")
+        self.cuts_marks = all(self._cut("ab" + m) == self._cut("ab") + self._cut(m) for m in (".", ",", "!", "?", ":", ";", ".,", ";!?:"))
         self.runs, self.pieces = Remembered(), Remembered()
 
     def _cut(self, text: str) -> list[str]:
@@ -116,7 +121,7 @@ class PairIndex:
         places = self._index(symbols)
         active = list(places)
         heapq.heapify(active)
-        ranks = self.ranks
+        rank_of = self.ranks.get
         while active:
             rank = heapq.heappop(active)
             a, b, made = self.merges[rank]
@@ -127,18 +132,21 @@ class PairIndex:
                 symbols[at], symbols[right] = made, _GONE
                 beyond = after[at] = after[right]
                 before[beyond] = at
-                pairs = [(made * size + symbols[beyond], at)]
+                met = rank_of(made * size + symbols[beyond])
+                if met is not None:
+                    if met in places:
+                        places[met].append(at)
+                    else:
+                        places[met] = [at]
+                        heapq.heappush(active, met)
                 left = before[at]
-                if left >= 0:
-                    pairs.append((symbols[left] * size + made, left))
-                for pair, place in pairs:
-                    if pair in ranks:
-                        met = ranks[pair]
-                        if met in places:
-                            places[met].append(place)
-                        else:
-                            places[met] = [place]
-                            heapq.heappush(active, met)
+                met = rank_of(symbols[left] * size + made) if left >= 0 else None
+                if met is not None:
+                    if met in places:
+                        places[met].append(left)
+                    else:
+                        places[met] = [left]
+                        heapq.heappush(active, met)
         ids = np.array(symbols, dtype=np.int64)
         ends = np.cumsum(ids >= 0)[ids == _BREAK].tolist()
         raw = ids[ids >= 0].astype("<u4").tobytes()
@@ -182,15 +190,18 @@ class PairIndex:
     def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
         """The ids of each of ``runs``."""
         texts = [run.decode() for run in runs]
-        plain = [t for t in texts if self.cuts and len(t.split()) == 1 and not (self.special_pattern is not None and self.special_pattern.search(t))]
+        marked = {t: hit.groups() for t in texts if (hit := MARKED.fullmatch(t))} if self.cuts and self.cuts_marks else {}
+        alone = list({*(t for t in texts if t not in marked), *(x for both in marked.values() for x in both)})
+        plain = [t for t in alone if self.cuts and len(t.split()) == 1 and not (self.special_pattern is not None and self.special_pattern.search(t))]
         parts: dict[str, list] = {}
         for at in range(0, len(plain), TOGETHER):
             parts.update(zip(plain[at : at + TOGETHER], self._cut_plain(plain[at : at + TOGETHER]), strict=True))
-        parts.update((t, self._parts(t)) for t in set(texts).difference(parts))
+        parts.update((t, self._parts(t)) for t in set(alone).difference(parts))
         new = self.pieces.missing({p for found in parts.values() for p in found if isinstance(p, str) and p})
         known = self.pieces.young
         known.update(zip(new, self.merged(new), strict=True))
-        return {run: b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in parts[t] if p != ""]) for run, t in zip(runs, texts, strict=True)}
+        found = {t: b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in found if p != ""]) for t, found in parts.items()}
+        return {run: found[marked[t][0]] + found[marked[t][1]] if t in marked else found[t] for run, t in zip(runs, texts, strict=True)}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
@@ -238,19 +249,23 @@ def _others(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != column]).alias("row"), F.col(f"`{column}`").alias("value"))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches of about ``BLOCK`` bytes, or of one value that is longer, and their values."""
+    for batch in batches:
+        sizes = pc.coalesce(pc.binary_length(batch.column("value")), 0).to_numpy(zero_copy_only=False)
+        block = np.cumsum(sizes) // BLOCK
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+        for x, y in zip(cuts, cuts[1:]):
+            part = batch.slice(x, y - x)
+            yield part, [v or b"" for v in part.column("value").to_pylist()]
+
+
 def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(row, ids): ``ids`` are the bytes of each whole text's token ids, ``row`` the other columns of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = pair_index(path)
-        for batch in batches:
-            texts = batch.column("value").to_pylist()
-            size, at, out = 0, 0, []
-            for k, t in enumerate(texts, 1):
-                size += len(t)
-                if size > BLOCK or k == len(texts):
-                    out += index.encode(texts[at:k])
-                    size, at = 0, k
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], names=["row", "ids"])
+        for batch, texts in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(index.encode(texts), pa.binary())], names=["row", "ids"])
 
     rows = _others(docs, text).select("row", F.coalesce("value", F.lit("")).cast("binary").alias("value"))
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("ids", T.BinaryType())]))
@@ -260,8 +275,8 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """(row, ids, decoded): ``decoded`` is the text of ``ids``; null ids are those of an empty text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = pair_index(path)
-        for batch in batches:
-            decoded = pa.array([index.decode(x or b"") for x in batch.column("value").to_pylist()], pa.string())
+        for batch, ids in _blocks(batches):
+            decoded = pa.array(map(index.decode, ids), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("value"), decoded], names=["row", "ids", "decoded"])
 
     rows = _others(encoded, ids)
