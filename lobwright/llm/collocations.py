@@ -42,6 +42,9 @@ BLOCK = 4_000_000
 #: Different words that a task counts before it passes the counts on.
 HELD = 300_000
 
+#: Different pairs or windows that a task holds before it passes their counts on.
+COMBINED = 1_500_000
+
 #: Groups of phrases that are ranked apart before the best of each are ranked together.
 RANK_BLOCKS = 64
 
@@ -104,13 +107,38 @@ def _numbered(batches: Iterator[pa.RecordBatch], numbers: dict[str, dict[bytes,
         yield found[found >= 0]
 
 
+def _combined(tables: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``tables`` (keys) counted as (keys, n), over as many tables as fit."""
+    held: list[pa.Table] = []
+    rows = 0
+
+    def merge() -> pa.Table:
+        summed = pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+        return summed.rename_columns({"n_sum": "n"}).select([*keys, "n"])
+
+    for table in tables:
+        counted = table.group_by(keys, use_threads=False).aggregate([([], "count_all")])
+        held.append(counted.rename_columns({"count_all": "n"}).select([*keys, "n"]))
+        rows += held[-1].num_rows
+        if rows > 2 * COMBINED:
+            held = [merge()]
+            rows = held[0].num_rows
+            if rows > COMBINED:
+                yield from held.pop().to_batches(max_chunksize=100_000)
+                rows = 0
+    if held:
+        yield from merge().to_batches(max_chunksize=100_000)
+
+
 def _array_pairs(texts: DataFrame, numbers) -> DataFrame:
     """(pair, n) of neighbours, two word numbers in one integer, not yet summed up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids in _numbered(batches, numbers.value):
-            both = (ids[:-1] != 0) & (ids[1:] != 0)
-            counted = pa.table({"pair": (ids[:-1][both] << 32) | ids[1:][both]}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
-            yield from counted.rename_columns({"count_all": "n"}).select(["pair", "n"]).to_batches()
+        def found() -> Iterator[pa.Table]:
+            for ids in _numbered(batches, numbers.value):
+                both = (ids[:-1] != 0) & (ids[1:] != 0)
+                yield pa.table({"pair": (ids[:-1][both] << 32) | ids[1:][both]})
+
+        yield from _combined(found(), ["pair"])
 
     return texts.mapInArrow(run, "pair long, n long")
 
@@ -118,21 +146,23 @@ def _array_pairs(texts: DataFrame, numbers) -> DataFrame:
 def _array_windows(texts: DataFrame, numbers, pairs) -> DataFrame:
     """(w1 .. w5, n): padded windows, counted per block of text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids in _numbered(batches, numbers.value):
-            ids = np.append(ids, 0)
-            goes_on = (ids[:-1] != 0) & (ids[1:] != 0)
-            if pairs is not None:
-                known, at = pairs.value, np.flatnonzero(goes_on)
-                pair = (ids[at] << 32) | ids[at + 1]
-                place = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-                goes_on[at] = known[place] == pair if len(known) else False
-            columns, running = [ids[:-1]], np.ones(len(ids) - 1, dtype=bool)
-            for k in range(1, LONGEST):
-                running = running & np.append(goes_on, np.zeros(k - 1, dtype=bool))[k - 1 :]
-                columns.append(np.where(running, np.append(ids, np.zeros(k, dtype=ids.dtype))[k : k + len(running)], 0))
-            opens = columns[0] != 0
-            counted = pa.table({w: pa.array(c[opens].astype(np.int32)) for w, c in zip(LEADS, columns)}).group_by(LEADS, use_threads=False).aggregate([([], "count_all")])
-            yield from counted.rename_columns({"count_all": "n"}).select([*LEADS, "n"]).to_batches()
+        def found() -> Iterator[pa.Table]:
+            for ids in _numbered(batches, numbers.value):
+                ids = np.append(ids, 0)
+                goes_on = (ids[:-1] != 0) & (ids[1:] != 0)
+                if pairs is not None:
+                    known, at = pairs.value, np.flatnonzero(goes_on)
+                    pair = (ids[at] << 32) | ids[at + 1]
+                    place = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+                    goes_on[at] = known[place] == pair if len(known) else False
+                columns, running = [ids[:-1]], np.ones(len(ids) - 1, dtype=bool)
+                for k in range(1, LONGEST):
+                    running = running & np.append(goes_on, np.zeros(k - 1, dtype=bool))[k - 1 :]
+                    columns.append(np.where(running, np.append(ids, np.zeros(k, dtype=ids.dtype))[k : k + len(running)], 0))
+                opens = columns[0] != 0
+                yield pa.table({w: pa.array(c[opens].astype(np.int32)) for w, c in zip(LEADS, columns)})
+
+        yield from _combined(found(), LEADS)
 
     return texts.mapInArrow(run, ", ".join(f"{w} int" for w in LEADS) + ", n long")
 
