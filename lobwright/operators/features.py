@@ -12,6 +12,7 @@ from lobwright.operators.chunks import (
     ChunkSql,
     add_rolling_median,
     add_rolling_z,
+    add_trailing,
     chunk_window,
     drop_halo,
     sample_std,
@@ -157,30 +158,24 @@ def return_features(
     d = add(add(d, cols), {"_r1": win.lag("one_step")})
     d = add(d, {"_flip": "if(signum(one_step) = signum(_r1), 0D, 1D)"})
     # Lag-1 pairs of the last n rows are the last n - 1 rows that have a predecessor: x before, y now.
-    d = add(d, {"_x": "coalesce(_r1, 0D)", "_y": "if(_r1 is null, 0D, one_step)", "_square": "one_step * one_step", "_size": "abs(one_step)"})
+    d = add(d, {"_x": "coalesce(_r1, 0D)", "_y": "if(_r1 is null, 0D, one_step)", "_size": "abs(one_step)"})
     d = add(d, {"_xx": "_x * _x", "_yy": "_y * _y", "_xy": "_x * _y"})
-    frames: dict[str, str] = {}
-    for n in windows:
-        frames |= {
-            f"_s_{n}": win.trailing("sum(one_step)", n),
-            f"_q_{n}": win.trailing("sum(_square)", n),
-            f"_abs_{n}": win.trailing("sum(_size)", n),
-            f"_flips_{n}": win.trailing("sum(_flip)", n),
-        } | {f"_{k}_{n}": win.trailing(f"sum(_{k})", n - 1) for k in ("x", "y", "xx", "yy", "xy")}
-    d = add(d, frames)
+    pairs_of = ("_x", "_y", "_xx", "_yy", "_xy")
+    d = add_trailing(d, win, {"_size": set(windows), "_flip": set(windows), **{c: {n - 1 for n in windows} for c in pairs_of}}, {"one_step": set(windows)})
     out: dict[str, str] = {}
     for n in windows:
         need, cnt = max(2, n // 4), f"least(_pos, {n})"
         gate = f"{cnt} >= {need}"
-        out[f"realized_vol_{n}"] = f"if({gate}, {sample_std(cnt, f'_s_{n}', f'_q_{n}')}, 0D)"
-        out[f"abs_return_{n}"] = f"if({gate}, _abs_{n}, 0D)"
-        out[f"up_down_flip_rate_{n}"] = f"if({gate}, _flips_{n} / {cnt}, 0D)"
+        out[f"realized_vol_{n}"] = f"if({gate}, {sample_std(cnt, f'_m2_one_step_{n}')}, 0D)"
+        out[f"abs_return_{n}"] = f"if({gate}, _sum__size_{n}, 0D)"
+        out[f"up_down_flip_rate_{n}"] = f"if({gate}, _sum__flip_{n} / {cnt}, 0D)"
         pairs = f"least(_pos - 1, {n - 1})"
         k = f"greatest({pairs}, 1)"
-        vx, vy = (f"(_{c}{c}_{n} - _{c}_{n} * _{c}_{n} / {k})" for c in "xy")
-        corr = f"if({vx} > 1e-24D and {vy} > 1e-24D, (_xy_{n} - _x_{n} * _y_{n} / {k}) / sqrt({vx} * {vy}), 0D)"
+        x, y, xx, yy, xy = (f"_sum_{c}_{n - 1}" for c in pairs_of)
+        vx, vy = f"({xx} - {x} * {x} / {k})", f"({yy} - {y} * {y} / {k})"
+        corr = f"if({vx} > 1e-24D and {vy} > 1e-24D, ({xy} - {x} * {y} / {k}) / sqrt({vx} * {vy}), 0D)"
         out[f"return_autocorr_{n}"] = f"if({pairs} >= {max(2, need - 1)}, {corr}, 0D)"
-    gone = [f"_mid_{k}" for k in (1, *horizons)] + [*frames, "_r1", "_flip", "_x", "_y", "_square", "_size", "_xx", "_yy", "_xy"]
+    gone = [f"_mid_{k}" for k in (1, *horizons)] + [c for c in d.columns if c.startswith(("_sum_", "_mean_", "_m2_"))] + [*pairs_of, "_r1", "_flip", "_size"]
     return add(d, out).drop(*gone)
 
 
@@ -249,12 +244,10 @@ def small_feature_set(df: DataFrame, chunk_rows: int = CHUNK_ROWS, keys: tuple[s
     d = with_halo(depth_features(price_features(df, eps), (1, 5, 10, 20), eps), back=200, chunk_rows=chunk_rows)
     d = add(d, {"_m1": win.lag("mid_price"), "_m10": win.lag("mid_price", 10), "_pos": win.position()})
     d = add(d, {f"ret_{k}": f"coalesce(try_divide(mid_price, _m{k}) - 1D, 0D)" for k in (1, 10)})
-    frames = {f"_{k}_{n}": win.trailing(f"sum({x})", n) for n in (20, 100) for k, x in (("s", "ret_1"), ("q", "ret_1 * ret_1"))}
-    frames["_mean"] = win.trailing("avg(ret_10)", 20)
-    d = add(d, frames)
-    out = {f"realized_vol_{n}": f"coalesce({sample_std(f'least(_pos, {n})', f'_s_{n}', f'_q_{n}')}, 0D)" for n in (20, 100)}
-    out["momentum_score"] = "if(_pos >= 2, _mean, 0D)"
-    d = add(d, out).drop(*frames, "_m1", "_m10")
+    d = add_trailing(d, win, moments={"ret_1": {20, 100}, "ret_10": {20}})
+    out = {f"realized_vol_{n}": f"coalesce({sample_std(f'least(_pos, {n})', f'_m2_ret_1_{n}')}, 0D)" for n in (20, 100)}
+    out["momentum_score"] = "if(_pos >= 2, _mean_ret_10_20, 0D)"
+    d = add(d, out).drop(*[c for c in d.columns if c.startswith(("_mean_", "_m2_"))], "_m1", "_m10")
     return drop_halo(
         add_rolling_z(d, {"spread_z_100": "rel_spread", "depth_z_100": "total_depth_10"}, win, 100, 5, eps)
     )

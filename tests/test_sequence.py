@@ -8,7 +8,7 @@ from helpers import mids
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lobwright.operators.chunks import ChunkSql, drop_halo, with_halo
+from lobwright.operators.chunks import ChunkSql, add_rolling_z, drop_halo, with_halo
 from lobwright.operators.features import (
     LOOK_BACK,
     depth_features,
@@ -205,3 +205,30 @@ def test_hash_sample_is_stable(spark):
     df = spark.range(20_000)
     a = hash_sample(df, F.col("id"), 0.1).count()
     assert a == hash_sample(df.repartition(13), F.col("id"), 0.1).count() and 1700 < a < 2300
+
+
+def test_pieces_cover_a_window_once():
+    from lobwright.operators.chunks import pieces
+
+    for n in range(1, 1200):
+        covered = sorted(k for rows, offset in pieces(n) for k in range(offset, offset + rows))
+        assert covered == list(range(n)) and pieces(n)[0][1] == 0
+
+
+@pytest.mark.parametrize("n", [7, 40, 100, 300, 499])
+def test_rolling_z_after_a_level_shift(spark, n):
+    """A window right after a jump of seven orders of magnitude, the same for every chunk size."""
+    rng = np.random.default_rng(5)
+    values = np.concatenate([np.full(1000, 1.0), 1e7 + 0.01 * rng.standard_normal(4000), np.full(700, 3.7)])
+    df = spark.createDataFrame([("X", "s", i, float(v)) for i, v in enumerate(values)], "exchange string, symbol string, event_idx long, v double")
+    x = pd.Series(values)
+    windows = np.lib.stride_tricks.sliding_window_view(values, n)
+    std = pd.Series(np.concatenate([np.full(n - 1, np.nan), windows.std(axis=1, ddof=1)]))
+    mean = pd.Series(np.concatenate([np.full(n - 1, np.nan), windows.mean(axis=1)]))
+    want = ((x - mean) / (std + 1e-9)).to_numpy()
+    for c in (2000, 65_536):
+        d = add_rolling_z(with_halo(df, back=501, chunk_rows=c), {"z": "v"}, ChunkSql(), n, n, 1e-9)
+        got = drop_halo(d).orderBy("event_idx").toPandas()["z"].to_numpy()
+        # A window across the jump, or of noise on 1e7, is known to about nine digits in doubles at best.
+        assert np.nanmax(np.abs(got - want)[n - 1 :]) < 1e-5, c
+        assert (got[5000 + n : 5700] == 0).all() and (got[n:1000] == 0).all()
