@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from lobwright.llm.memory import Remembered
+
 #: Runs and pieces of a generation that a worker remembers.
 REMEMBERED = 150_000
 
@@ -45,25 +47,6 @@ MARKED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02
 _BREAK, _GONE = -1, -2
 
 
-class Remembered:
-    """A memory of two generations: what was asked for since the last change survives the next."""
-
-    def __init__(self, limit: int = REMEMBERED):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def missing(self, keys: set) -> list:
-        """Those of ``keys`` that are not known.  The others, and what is then added, can be read from ``young``."""
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        absent = []
-        for key in keys.difference(self.young):
-            if key in self.old:
-                self.young[key] = self.old[key]
-            else:
-                absent.append(key)
-        return absent
-
-
 class PairIndex:
     """Encodes and decodes with the vocabulary and merges of a tokenizer file."""
 
@@ -102,7 +85,7 @@ class PairIndex:
         self.decoder = (spec.get("decoder") or {}).get("type")
         self.cuts = self._cut("a  b\t\nc\r d\x0b\x0ce") == self._cut("a b c d e")
         self.cuts_marks = all(self._cut("ab" + m) == self._cut("ab") + self._cut(m) for m in (".", ",", "!", "?", ":", ";", ".,", ";!?:"))
-        self.runs, self.pieces = Remembered(), Remembered()
+        self.runs, self.pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
 
     def _cut(self, text: str) -> list[str]:
         if self.normalizer is not None:

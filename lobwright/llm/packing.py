@@ -2,8 +2,8 @@
 
 The ids of all documents of a range of ids form one stream.  A dynamic program chooses where to cut it: the price of a
 sequence is its padding plus a penalty for where it ends (nothing at the end of a document, little at the end of a
-sentence, more elsewhere) and a constant that keeps sequences few.  Padding is linear in the length, so the best start of a
-window is the minimum of a sliding window, kept in a monotone queue: constant time per possible cut.  A sequence whose
+sentence, more elsewhere, where a cut is possible only if a whole window has neither) and a constant that keeps
+sequences few.  Repeated rows are documents of their own.  Padding is linear in the length, so the best start of a window is the minimum of a sliding window, kept in a monotone queue: constant time per possible cut.  A sequence whose
 length is a power of two needs no padding and is a transition of its own.
 
 A partition is a contiguous range of document ids and streams through a task: the program runs over a chunk of the stream
@@ -29,12 +29,12 @@ from lobwright.llm.tokens import encoder
 CHUNK = 1 << 19
 
 #: Documents encoded together.
-SLICE = 64
+SLICE = 512
 
 #: Prices, in ids of padding: of a sequence, of a cut after a sentence, and of a cut inside one.
 SEQUENCE, SENTENCE, INSIDE = 16, 4, 32
 
-#: Where no sentence ends for so many ids, a cut inside is possible at every such step.
+#: Where no document or sentence ends within a whole window, a cut inside is possible at every such step.
 STEP = 32
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -46,14 +46,14 @@ def sentence_ends(vocabulary: str) -> np.ndarray:
     return np.array(sorted(i for t, i in tokens.items() if re.fullmatch(r"\W*[.!?]\W*(</w>)?", t)), dtype=np.uint32)
 
 
-def possible_cuts(ids: np.ndarray, doc_ends: np.ndarray, enders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def possible_cuts(ids: np.ndarray, doc_ends: np.ndarray, enders: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending positions after which the stream can be cut, the end included, and the price of each."""
     price = np.zeros(len(ids) + 1, dtype=np.int32)
     price[1:][np.isin(ids, enders)] = SENTENCE + 1
     price[doc_ends] = 1
     kept = np.flatnonzero(price)
     gaps = np.diff(kept, prepend=0)
-    wide = np.flatnonzero(gaps > STEP)
+    wide = np.flatnonzero(gaps > window)
     inside = [np.arange(kept[k] - gaps[k] + STEP, kept[k], STEP) for k in wide]
     if inside:
         price[np.concatenate(inside)] = INSIDE + 1
@@ -131,7 +131,7 @@ def _pack(vocabulary: str, end_id: int, window: int, with_ids: bool):
             nonlocal docs, parts, held, sequence
             raw = b"".join(parts)
             ends = np.cumsum([d[3] for d in docs])
-            cuts = best_cuts(*possible_cuts(np.frombuffer(raw, dtype="<u4"), ends, enders), window, last)
+            cuts = best_cuts(*possible_cuts(np.frombuffer(raw, dtype="<u4"), ends, enders, window), window, last)
             batch, docs = emit(docs, raw, cuts, sequence)
             sequence += len(cuts)
             parts = [raw[4 * cuts[-1] :]]

@@ -23,7 +23,7 @@ from lobwright.llm.common import bounded
 from lobwright.llm.tokens import encoder
 
 #: Documents encoded together inside an Arrow batch.
-SLICE = 64
+SLICE = 512
 
 #: Format settings: small stripes and row groups, since a row is a whole document.
 ORC_OPTIONS = {

@@ -3,7 +3,8 @@
 A byte-pair tokenizer never merges across the pieces that its pre-tokenizer cuts, and both kinds used here cut at a single
 space between two other characters.  So a text is split there, the library encodes each distinct piece once, and the ids of
 a text are the joined ids of its pieces: the same ids as for the whole text, at a fraction of the time, since words recur.
-Texts with neighbouring white space, where the cut depends on what follows, go to the library whole.
+Texts with neighbouring white space, where the cut depends on what follows, go to the library whole.  So do pieces that hold the
+string of a special token, which by the library's default becomes that token; with ``special_as_text`` it is ordinary text.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from lobwright.llm.memory import Remembered
+
 # One thread per Spark task; Spark runs the tasks side by side.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -24,8 +27,8 @@ _NEIGHBOURS = re.compile(r"\s\s|\A\s|\s\Z")
 #: Marks after a word; the pre-tokenizers cut before them.
 _MARKS = ".,!?:;#*$%&"
 
-#: Pieces that a worker remembers before it forgets them all.
-CACHE_PIECES = 600_000
+#: Pieces of a generation that a worker remembers.
+CACHE_PIECES = 250_000
 
 #: Words that go to the library as one text.
 RUN = 64
@@ -34,16 +37,16 @@ RUN = 64
 class Encoder:
     """Encodes texts as bytes: little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their names in a text are ordinary text
+        self.library.encode_special_tokens = special_as_text
         ids = lambda t: self.library.encode(t, add_special_tokens=False).ids
         self.drops_space = ids("a  b") == ids("a b")
         # Each word of letters has one token that starts with the space before it, or one that ends a word.
         tokens = self.library.get_vocab()
         self.edge = np.zeros(max(tokens.values()) + 1, dtype=bool)
         self.edge[[i for t, i in tokens.items() if (t.endswith("</w>") if self.drops_space else t.startswith("\u0120"))]] = True
-        self.inner: dict[str, bytes] = {}  # pieces after a space; those that begin with a line feed stand for themselves
+        self.inner = Remembered(CACHE_PIECES)  # pieces after a space; those that begin with a line feed stand for themselves
         self.opening: dict[str, bytes] = {}  # pieces with nothing before them
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -75,11 +78,12 @@ class Encoder:
                 words.append(p)
             else:
                 marked.append((p, base))
-        words = list({*words, *(b for _, b in marked if b not in self.inner)})
-        self.inner.update(zip(words, self._words(words), strict=True))
-        self.inner.update(zip(others, self._whole([p if p[:1] == "\n" or not p else " " + p for p in others]), strict=True))
+        words = list({*words, *self.inner.missing({b for _, b in marked})})
+        known = self.inner.young
+        known.update(zip(words, self._words(words), strict=True))
+        known.update(zip(others, self._whole([p if p[:1] == "\n" or not p else " " + p for p in others]), strict=True))
         for p, base in marked:
-            self.inner[p] = self.inner[base] + self._open(p[len(base) :])
+            known[p] = known[base] + self._open(p[len(base) :])
 
     def _open(self, piece: str) -> bytes:
         if piece not in self.opening:
@@ -93,16 +97,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(t) for t in texts]
-        if len(self.inner) + len(self.opening) > CACHE_PIECES:
-            self.inner.clear()
+        if len(self.opening) > CACHE_PIECES:
             self.opening.clear()
-        if new := set().union(*[p[1:] for p in cut if p is not None]).difference(self.inner):
-            self._learn(list(new))
-        get = self.inner.__getitem__
+        pieces = set().union(*[p[1:] for p in cut if p is not None])
+        if new := self.inner.missing(pieces):
+            self._learn(new)
+        get = self.inner.young.__getitem__
         return [self._whole([t])[0] if p is None else self._open(p[0]) + b"".join(map(get, p[1:])) for t, p in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One per worker process and vocabulary."""
-    return Encoder(path)
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """One per worker process, vocabulary and reading of special tokens."""
+    return Encoder(path, special_as_text)

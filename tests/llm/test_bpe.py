@@ -6,7 +6,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lobwright.llm.bpe import PairIndex, Remembered, decode_ids, encode_texts, round_trip
+from lobwright.llm.bpe import PairIndex, decode_ids, encode_texts, round_trip
+from lobwright.llm.memory import Remembered
 from odd_tables import documents, odd_rows
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")

@@ -21,13 +21,13 @@ BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pa
 
 def library_ids(path, texts):
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     return [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_pieces_give_the_library_ids(path):
-    rng, signs = random.Random(1), "ab'sé İß19.,!?#\n\t\r   ́ﬁ😀<|endoftext|>中\x1c -"
+    rng, signs = random.Random(1), "ab'sé İß19.,!?#\n\t\r   ́ﬁ😀中\x1c -"
+    signs = [*signs, "<|endoftext|>", "<|startoftext|>"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(5000)] + [t or "" for _, t in odd_rows()]
     assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path).encode(texts)] == library_ids(path, texts)
 
@@ -88,8 +88,10 @@ def test_cuts_are_the_best(monkeypatch):
     for _ in range(30):
         ids = np.array([rng.randint(0, 20) for _ in range(rng.randint(1, 400))], dtype=np.uint32)
         ends = np.array(sorted({len(ids), *[rng.randint(1, len(ids)) for _ in range(4)]}))
-        places, prices = possible_cuts(ids, ends, np.array([3], dtype=np.uint32))
-        assert places[-1] == len(ids) and max(np.diff(places, prepend=0)) <= 8
+        places, prices = possible_cuts(ids, ends, np.array([3], dtype=np.uint32), window)
+        assert places[-1] == len(ids) and max(np.diff(places, prepend=0)) <= window
+        inside = set(places.tolist()) - set(ends.tolist()) - set((np.flatnonzero(ids == 3) + 1).tolist())
+        assert not inside or max(np.diff(sorted({0, *ends.tolist(), *(np.flatnonzero(ids == 3) + 1).tolist()}))) > window
         cost = {0: 0}
         for p, q in zip(places.tolist(), prices.tolist(), strict=True):
             short = lambda n: padding(n, window) if n >= 8 else window - n
