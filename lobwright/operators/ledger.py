@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lobwright.operators import provenance
+
 # Model families by name, in order of precedence.
 FAMILIES = (
     ("starts", "asset_", "asset_heldout_streaming_sgd"),
@@ -90,12 +92,16 @@ def model_family(model: Column) -> Column:
 
 
 def selection_source(df: DataFrame) -> Column:
-    """The split a threshold was chosen on: ``tuning_split`` where given, else ``split``."""
+    """The split a threshold was chosen on: what ``tuned_bits`` say was read, else ``tuning_split``, else ``split``."""
+    if "tuned_bits" in df.columns:
+        return provenance.split_names(F.col("tuned_bits"))
     split = F.coalesce(F.nullif(F.col("split"), F.lit("")), F.lit("unknown"))
     return F.coalesce(F.nullif(F.col("tuning_split"), F.lit("")), split) if "tuning_split" in df.columns else split
 
 
 def selection_status(df: DataFrame) -> Column:
+    if "read_bits" in df.columns:
+        return provenance.selection_status(F.col("read_bits"))
     uses_test = F.lower(selection_source(df)).contains("test") | (F.lower(F.coalesce("split", F.lit(""))) == "test")
     return F.when(uses_test, "FAIL_TEST_SELECTION").otherwise("PASS_VALIDATION_ONLY")
 
@@ -130,12 +136,15 @@ def candidate_counts(tuning: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def overfitting_readiness(counts: DataFrame, daily_returns_kept: bool) -> DataFrame:
-    """Whether per-candidate daily returns exist for an overfitting test, and how many candidates there are."""
-    status = "READY" if daily_returns_kept else "INFEASIBLE_FROM_CURRENT_SAVED_ARTIFACTS"
-    return counts.agg(
-        F.count("*").alias("n_candidate_groups"), F.coalesce(F.sum("n_candidates"), F.lit(0)).alias("n_threshold_candidates")
-    ).withColumn("status", F.lit(status))
+def overfitting_readiness(candidates: DataFrame, daily: DataFrame, least_days: int = 2) -> DataFrame:
+    """Whether an overfitting test is possible: ``daily`` (symbol, policy, theta, day) must hold returns of every candidate
+    (symbol, policy, theta) on at least ``least_days`` days."""
+    by = ["symbol", "policy", "theta"]
+    covered = daily.groupBy(*by).agg(F.count_distinct("day").alias("_days")).filter(F.col("_days") >= least_days)
+    counts = candidates.join(covered, by, "left").agg(
+        F.count_distinct("symbol", "policy").alias("n_candidate_groups"), F.count("*").alias("n_threshold_candidates"), F.count("_days").alias("n_with_daily_returns"))
+    ready = (F.col("n_with_daily_returns") == F.col("n_threshold_candidates")) & (F.col("n_threshold_candidates") > 0)
+    return counts.withColumn("status", F.when(ready, "READY").otherwise("INFEASIBLE_FROM_CURRENT_SAVED_ARTIFACTS"))
 
 
 def final_selection(validation: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lobwright.functions.levels import add
+from lobwright.functions.scalars import KEYS
 from lobwright.operators import decide
 from lobwright.operators.chunks import CHUNK_ROWS, ChunkSql, drop_halo, with_halo
 from lobwright.operators.clean import clean_book
@@ -22,6 +23,7 @@ from lobwright.operators.features import (
 from lobwright.operators.fills import Execution
 from lobwright.operators.index import event_index
 from lobwright.operators.labels import class_return_means, label_columns
+from lobwright.operators.provenance import own_reads
 from lobwright.operators.regimes import apply_regimes, fit_thresholds
 from lobwright.operators.score import score_linear
 from lobwright.operators.splits import chronological_split
@@ -33,7 +35,7 @@ from lobwright.operators.tune import (
     winner_trades,
 )
 from lobwright.sources.book import events_book
-from lobwright.sources.stages import cut, stage
+from lobwright.sources.stages import cut, per_key, stage
 
 HORIZON = 50
 
@@ -128,11 +130,15 @@ EXECUTION = Execution()
 
 
 def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage: every threshold tried on the validation split, the winner marked."""
+    """Stage: every threshold tried on the validation split, the winner marked, with what the choice and its fits have read."""
 
     def build():
         valid = split_rows(spark, sf_dir, "valid")
-        return select_threshold(evaluate_grid(valid, cut(policy_grid(valid), "grid"), EXECUTION), valid)
+        chosen = select_threshold(evaluate_grid(valid, cut(policy_grid(valid), "grid"), EXECUTION), valid)
+        fitted = scored(spark, sf_dir).filter("split = 'train'")
+        for name, frames in (("tuned_bits", [valid]), ("read_bits", [valid, fitted])):
+            chosen = chosen.join(per_key(own_reads(frames, list(KEYS), name)), list(KEYS))
+        return chosen
 
     return stage(spark, sf_dir, "tuned", build)
 

@@ -210,6 +210,55 @@ def softmax(source: str) -> str:
                   from (select *, {logit(0)} as l0, {logit(1)} as l1, {logit(2)} as l2 from {source})))"""
 
 
+def _cells(features, row: str = "", model: str = "") -> str:
+    """A row's standardised features and 1, as a list."""
+    return "[" + ", ".join([f"coalesce(({row}{f} - {model}mu[{j}]) / {model}sd[{j}], 0e0)" for j, f in enumerate(features, 1)] + ["1e0"]) + "]"
+
+
+def _probabilities(weights: str, cells: str, size: int) -> str:
+    """A list of three, from weights in class order."""
+    logits = [f"list_dot_product({weights}[{c * size + 1}:{(c + 1) * size}], {cells})" for c in range(3)]
+    top = f"greatest({', '.join(logits)})"
+    parts = [f"exp({x} - {top})" for x in logits]
+    return "[" + ", ".join(f"{p} / ({' + '.join(parts)})" for p in parts) + "]"
+
+
+def trained(prefix: str, source: str, features, steps: int = 20, rate: float = 0.125, reg: float = 1e-4) -> dict[str, str]:
+    """CTEs ending in ``<prefix>_model`` (K, mu, sd, w): one multinomial model per key, by the same steps."""
+    size = len(features) + 1
+    sd = ", ".join(f"case when coalesce(stddev_samp({f}), 0) = 0 then 1e0 else stddev_samp({f}) end" for f in features)
+    out = {
+        f"{prefix}_fit": f"select {K}, [{', '.join(f'avg({f})' for f in features)}] as mu, [{sd}] as sd from {source} where split = 'train' group by {K}",
+        f"{prefix}_rows": f"""
+          select {K}, {_cells(features)} as z, [(label = 'DOWN')::int, (label = 'FLAT')::int, (label = 'UP')::int] as y,
+                 count(*) over (partition by {K}) / (3e0 * count(*) over (partition by {K}, label)) as cw
+          from {source} join {prefix}_fit using ({K}) where split = 'train'""",
+        f"{prefix}_w0": f"select {K}, list_transform(range({3 * size}), lambda x: 0e0) as w, list_transform(range({3 * size}), lambda x: 0e0) as b from {prefix}_fit",
+    }
+    for t in range(steps):
+        out[f"{prefix}_v{t}"] = f"select {K}, w, list_transform(range(1, {3 * size + 1}), lambda i: w[i] + {t / (t + 3)!r}::double * (w[i] - b[i])) as v from {prefix}_w{t}"
+        out[f"{prefix}_p{t}"] = f"select {K}, z, y, cw, {_probabilities('v', 'z', size)} as p from {prefix}_rows join {prefix}_v{t} using ({K})"
+        out[f"{prefix}_g{t}"] = f"""
+          select {K}, list(g order by i) as g from (
+            select {K}, i, avg(cw * (p[(i - 1) // {size} + 1] - y[(i - 1) // {size} + 1]) * z[(i - 1) % {size} + 1]) as g
+            from {prefix}_p{t}, (select unnest(range(1, {3 * size + 1})) as i) group by {K}, i) group by {K}"""
+        out[f"{prefix}_w{t + 1}"] = f"""
+          select {K}, list_transform(range(1, {3 * size + 1}), lambda i: v[i] - {rate!r}::double * (g[i] + {reg!r}::double * v[i])) as w, w as b
+          from {prefix}_v{t} join {prefix}_g{t} using ({K})"""
+    out[f"{prefix}_model"] = f"select {K}, mu, sd, list_transform(w, lambda x: round(x, 9)) as w from {prefix}_fit join {prefix}_w{steps} using ({K})"
+    return out
+
+
+def scored_by(source: str, model: str, features) -> str:
+    """The rows of ``source`` with the probabilities of their key's model."""
+    return f"""
+      select * exclude (p, mu, sd, w), p[1] as prob_down, p[2] as prob_flat, p[3] as prob_up,
+             case when p[1] >= p[2] and p[1] >= p[3] then 'DOWN' when p[2] >= p[3] then 'FLAT' else 'UP' end as pred_label
+      from (select r.* exclude (prob_down, prob_flat, prob_up, pred_label), m.mu, m.sd, m.w,
+                   {_probabilities('m.w', _cells(features, 'r.', 'm.'), len(features) + 1)} as p
+            from {source} r join {model} m on m.exchange = r.exchange and m.symbol = r.symbol)"""
+
+
 PENALTY = (
     "case regime when 'LIQUIDITY_DROUGHT' then 1e0 when 'VOLATILE_ILLIQUID' then 75e-2 when 'MOMENTUM_TOXIC' then 5e-1 "
     "when 'CHOPPY_MEAN_REVERTING' then 25e-2 else 0e0 end"

@@ -63,6 +63,18 @@ _TRANSFER = {
 }
 
 
+def _moved(df, pairs, side):
+    """Rows of ``df`` under the key of every direction in which their symbol is the ``side``."""
+    named = pairs.select(F.col(side).alias("symbol"), F.concat("train_symbol", F.lit(">"), "test_symbol").alias("_pair"))
+    return df.join(named, "symbol").drop("symbol").withColumnRenamed("_pair", "symbol")
+
+
+def _directions(df):
+    """The two symbols of each direction, and zeros where nothing was traded."""
+    return df.na.fill(0, ["n_trades"]).na.fill(0.0, ["gross_pnl", "net_pnl"]).withColumns(
+        {"train_symbol": F.split_part("symbol", F.lit(">"), F.lit(1)), "test_symbol": F.split_part("symbol", F.lit(">"), F.lit(2))})
+
+
 @query("m6b_transfer_all_pairs", "train_symbol:s test_symbol:s policy:s theta:r11 n_trades:i gross_pnl:r5 net_pnl:r5",
        """select split_part(w.symbol, '>', 1) as train_symbol, split_part(w.symbol, '>', 2) as test_symbol, w.policy, w.theta,
                  coalesce(n_trades, 0) as n_trades, coalesce(gross_pnl, 0e0) as gross_pnl, coalesce(net_pnl, 0e0) as net_pnl
@@ -79,45 +91,69 @@ def _(spark, sf):
     rows = scored(spark, sf)
     pairs = per_key(asset_pairs(rows))
 
-    def moved(df, side):
-        named = pairs.select(F.col(side).alias("symbol"), F.concat("train_symbol", F.lit(">"), "test_symbol").alias("_pair"))
-        return df.join(named, "symbol").drop("symbol").withColumnRenamed("_pair", "symbol")
-
-    winners = per_key(moved(winner_grid(tuned(spark, sf)), "train_symbol"))
-    means = per_key(moved(class_return_means(rows), "train_symbol"))
-    target = moved(rows.filter("split = 'test'"), "test_symbol")
+    winners = per_key(_moved(winner_grid(tuned(spark, sf)), pairs, "train_symbol"))
+    means = per_key(_moved(class_return_means(rows), pairs, "train_symbol"))
+    target = _moved(rows.filter("split = 'test'"), pairs, "test_symbol")
     test = cut(D.gate_diagnostics(D.with_expected_edge(target, means)), "moved_test")
     trades = summarize(winner_trades(test, winners, Execution()), ["symbol", "policy"])
-    return winners.select("symbol", "policy", "theta").join(trades, ["symbol", "policy"], "left").na.fill(0, ["n_trades"]).na.fill(
-        0.0, ["gross_pnl", "net_pnl"]).withColumns({"train_symbol": F.split_part("symbol", F.lit(">"), F.lit(1)),
-                                                    "test_symbol": F.split_part("symbol", F.lit(">"), F.lit(2))})
+    return _directions(winners.select("symbol", "policy", "theta").join(trades, ["symbol", "policy"], "left"))
+
+
+def _renamed(blocks: dict[str, str], names: dict[str, str]) -> dict[str, str]:
+    """``blocks`` under new names, with their references to each other."""
+    import re
+
+    pattern = re.compile(r"\b(" + "|".join(map(re.escape, names)) + r")\b(?!\.)")
+    return {names[k]: pattern.sub(lambda m: names[m.group()], text) for k, text in blocks.items()}
 
 
-@query("m6_transfer", "train_symbol:s test_symbol:s policy:s theta:r9 n_trades:i net_pnl:r5 accuracy:r6")
+_TUNING = ("valid_grid", "valid_signals", "v_sig", "v_need", "v_legs", "v_fill", "v_leg", "v_trips", "valid_thin", "valid_trades", "valid_summary", "tried", "tuned", "winners")
+_TRAINED = {
+    **O.trained("src", "scored", M.MODEL_FEATURES),
+    "own_scored": O.scored_by("(select * from scored where split = 'valid')", "src_model", M.MODEL_FEATURES),
+    "own_valid": O.DECIDED.replace("from scored s join", "from own_scored s join"),
+    **_renamed({k: O.BLOCKS[k] for k in _TUNING}, {"valid": "own_valid", **{k: f"own_{k}" for k in _TUNING}}),
+    "moved": f"select b.* exclude (symbol), {_PAIR} from scored b join {_ASSETS} a on a.symbol <> b.symbol where b.split = 'test'",
+    "moved_means": _TRANSFER["moved_means"],
+    "moved_model": f"select a.* exclude (symbol), {_PAIR} from src_model a join {_ASSETS} b on a.symbol <> b.symbol",
+    "moved_winners": f"select a.* exclude (symbol), {_PAIR} from own_winners a join {_ASSETS} b on a.symbol <> b.symbol",
+    "moved_scored": O.scored_by("moved", "moved_model", M.MODEL_FEATURES),
+    "moved_test": O.DECIDED.replace("from scored s join means", "from moved_scored s join moved_means"),
+    **{k: v for k, v in _TRANSFER.items() if k.startswith(("mv_", "moved_signals", "moved_thin", "moved_trades"))},
+    "moved_quality": """
+      select symbol, sum(n) as n_rows, sum(h) / sum(n) as accuracy, sum(b) / sum(n) as brier_score, sum(abs(h - c)) / sum(n) as ece
+      from (select symbol, least(floor(round(greatest(prob_down, prob_flat, prob_up) * 10, 9)), 9) as bin, count(*) as n,
+                   sum(greatest(prob_down, prob_flat, prob_up)) as c, sum((label = pred_label)::int) as h,
+                   sum((prob_down - (label = 'DOWN')::int) ** 2 + (prob_flat - (label = 'FLAT')::int) ** 2 + (prob_up - (label = 'UP')::int) ** 2) as b
+            from moved_scored group by 1, 2) group by 1""",
+}
+
+
+@query("m6_transfer", "train_symbol:s test_symbol:s policy:s theta:r9 n_trades:i gross_pnl:r5 net_pnl:r5 n_rows:i accuracy:r6 brier_score:r6 ece:r6",
+       """select split_part(w.symbol, '>', 1) as train_symbol, split_part(w.symbol, '>', 2) as test_symbol, w.policy, w.theta,
+                 coalesce(n_trades, 0) as n_trades, coalesce(gross_pnl, 0e0) as gross_pnl, coalesce(net_pnl, 0e0) as net_pnl,
+                 q.n_rows, q.accuracy, q.brier_score, q.ece
+          from moved_winners w join moved_quality q using (symbol)
+          left join (select symbol, policy, count(*) as n_trades, sum(gross_pnl) as gross_pnl, sum(net_pnl) as net_pnl
+                     from moved_trades group by 1, 2) using (symbol, policy)""", extra=_TRAINED)
 def _(spark, sf):
-    """Model, class means and thresholds from the source; the target is met on its test rows only."""
+    """Trained models, class means and thresholds of every source; a target is met on its test rows only, in every direction."""
     from lobwright.operators.fills import summarize
 
-    rows = scored(spark, sf).drop("prob_down", "prob_flat", "prob_up", "pred_label")
-    source, target = "click", "view"
-    model = M.train_linear(rows.filter(F.col("symbol") == source))
-    src = cut(M.score_model(rows.filter(F.col("symbol") == source), model), "source")
-    means = class_return_means(src)
-    valid = cut(D.gate_diagnostics(D.with_expected_edge(src.filter("split = 'valid'"), means)), "source_valid")
-    tuned = select_threshold(evaluate_grid(valid, cut(policy_grid(valid), "grid"), Execution()), valid)
-    winners = cut(winner_grid(tuned), "winners")
-    test = M.score_model(rows.filter((F.col("symbol") == target) & (F.col("split") == "test")), model)
-    on_target = means.withColumn("symbol", F.lit(target))
-    test = cut(D.gate_diagnostics(D.with_expected_edge(test, on_target)), "target_test")
-    trades = winner_trades(test, winners.withColumn("symbol", F.lit(target)), Execution())
-    quality = K.metrics_from_counts(K.confusion_counts(test, ["symbol"]), ["symbol"]).select("accuracy", F.lit(target).alias("symbol"))
-    return (
-        winners.select("policy", "theta", F.lit(source).alias("train_symbol"), F.lit(target).alias("symbol"))
-        .join(summarize(trades, ["symbol", "policy"]), ["symbol", "policy"], "left")
-        .join(quality, "symbol", "left")
-        .na.fill(0, ["n_trades"]).na.fill(0.0, ["net_pnl"])
-        .withColumnRenamed("symbol", "test_symbol")
-    )
+    rows = scored(spark, sf)
+    plain = rows.drop("prob_down", "prob_flat", "prob_up", "pred_label")
+    models, means = M.train_grouped(plain), class_return_means(rows)
+    own = M.score_grouped(plain.filter("split = 'valid'"), models)
+    valid = cut(D.gate_diagnostics(D.with_expected_edge(own, means)), "own_valid")
+    winners = winner_grid(select_threshold(evaluate_grid(valid, cut(policy_grid(valid), "grid"), Execution()), valid))
+    pairs = per_key(asset_pairs(rows))
+    moved_winners = per_key(_moved(winners, pairs, "train_symbol"))
+    target = M.score_grouped(_moved(plain.filter("split = 'test'"), pairs, "test_symbol"), per_key(_moved(models, pairs, "train_symbol")))
+    test = cut(D.gate_diagnostics(D.with_expected_edge(target, per_key(_moved(means, pairs, "train_symbol")))), "target_test")
+    trades = summarize(winner_trades(test, moved_winners, Execution()), ["symbol", "policy"])
+    quality = K.calibration(test, ["symbol"]).select("symbol", "n_rows", "accuracy", "brier_score", "ece")
+    out = moved_winners.select("symbol", "policy", "theta").join(quality, "symbol").join(trades, ["symbol", "policy"], "left")
+    return _directions(out)
 
 
 @query("r10_residual_clusters", "algorithm:s regime:s cluster:i n_rows:i share_within_regime:r6 share_within_cluster:r6")

@@ -8,12 +8,13 @@ from lobwright.operators import evaluate as K
 from lobwright.operators import fills as B
 from lobwright.operators import ledger as J
 from lobwright.operators import resample as H
+from lobwright.operators.provenance import reads, split_names, transfer_protocol, with_origin
 from lobwright.operators.splits import asset_pairs
 from lobwright.operators.tune import POLICIES
 from lobwright.plans.chain import scored, test_trades, tuned
 from lobwright.plans.queries_execution import _EASY, _STRESS, curves, easy_trades
 from lobwright.plans.registry import query
-from lobwright.sources.stages import stage
+from lobwright.sources.stages import cut, per_key, stage
 
 # ---------------------------------------------------------------- daily PnL and bootstrap
 
@@ -248,24 +249,56 @@ def _(spark, sf):
     )
 
 
-@query("k8_source_only_protocol", "train_symbol:s test_symbol:s policy:s theta:r11 valid_rows:i target_test_rows:i status:s",
-       """select a.symbol as train_symbol, b.symbol as test_symbol, a.policy, a.theta, v.n as valid_rows, b.n as target_test_rows, 'PASS' as status
-          from winners a join (select symbol, count(*) as n from valid group by 1) v using (symbol)
-          join (select symbol, count(*) as n from test group by 1) b on b.symbol <> a.symbol""")
+#: Bits of the rows that the tuning and the class means of each symbol read, computed from the rows themselves.
+_BIT = "case split when 'train' then 1 when 'valid' then 2 when 'test' then 4 else 8 end"
+_READS = {
+    "tuning_reads": f"select symbol, bit_or({_BIT}) as tuned_bits from valid group by 1",
+    "means_rows": "select * from scored where split = 'train'",
+    "all_reads": f"select symbol, bit_or(bits) as read_bits from (select symbol, tuned_bits as bits from tuning_reads union all select symbol, {_BIT} from means_rows) group by 1",
+}
+
+
+@query("k8_source_only_protocol", "train_symbol:s test_symbol:s policy:s theta:r11 valid_rows:i target_test_rows:i source_reads:i target_reads:i status:s",
+       """select a.symbol as train_symbol, b.symbol as test_symbol, a.policy, a.theta, v.n as valid_rows, b.n as target_test_rows,
+                 r.read_bits as source_reads, 0 as target_reads, case when r.read_bits & 12 = 0 then 'PASS' else 'FAIL' end as status
+          from winners a join (select symbol, count(*) as n from valid group by 1) v using (symbol) join all_reads r using (symbol)
+          join (select symbol, count(*) as n from test group by 1) b on b.symbol <> a.symbol""", extra=_READS)
 def _(spark, sf):
-    """Thresholds come from the source's validation rows; the target's test rows are only counted."""
+    """Thresholds come from the source's validation rows; the target's test rows are only counted.  The status is computed
+    from the bits that tuning and fits carried along."""
     rows = scored(spark, sf)
     n = rows.groupBy("symbol").agg(F.expr("count_if(split = 'valid') as v"), F.expr("count_if(split = 'test') as t"))
-    picked = tuned(spark, sf).filter("selected").selectExpr("symbol as train_symbol", "policy", "theta")
+    picked = tuned(spark, sf).filter("selected").selectExpr("symbol as train_symbol", "policy", "theta", "read_bits")
+    chosen = cut(asset_pairs(rows).join(picked, "train_symbol"), "directions")
+    read = chosen.selectExpr("train_symbol", "test_symbol", "train_symbol as _from", "read_bits as bits")
+    status = transfer_protocol(read, chosen.select("train_symbol", "test_symbol").distinct())
     return (
-        asset_pairs(rows)
-        .join(picked, "train_symbol")
+        chosen.join(status, ["train_symbol", "test_symbol"])
         .join(n.selectExpr("symbol as train_symbol", "v as valid_rows"), "train_symbol")
         .join(n.selectExpr("symbol as test_symbol", "t as target_test_rows"), "test_symbol")
-        .withColumn("status", F.lit("PASS"))
     )
 
 
+@query("k8b_leaking_transfer", "train_symbol:s test_symbol:s mean_up:r11 source_reads:i target_reads:i other_reads:i status:s",
+       f"""select t as train_symbol, u as test_symbol, coalesce(avg(future_ret_h) filter (where label = 'UP'), 0e0) as mean_up,
+                  coalesce(bit_or({_BIT}) filter (where symbol = t), 0) as source_reads, coalesce(bit_or({_BIT}) filter (where symbol = u), 0) as target_reads,
+                  0 as other_reads, case when max((symbol = u or split = 'test')::int) = 1 then 'FAIL' else 'PASS' end as status
+           from (select a.symbol as t, b.symbol as u, s.* from (select distinct symbol from scored) a join (select distinct symbol from scored) b
+                   on a.symbol <> b.symbol join scored s on s.symbol = a.symbol and s.split = 'train'
+                 union all select 'click', 'view', s.* from scored s where symbol = 'view' and split = 'test')
+           group by 1, 2""")
+def _(spark, sf):
+    """The class mean of every direction, where one direction's fit is deliberately given the target's test rows as well."""
+    rows = with_origin(scored(spark, sf)).select("exchange", "symbol", "split", "label", "future_ret_h", "_from", "_bit")
+    pairs = per_key(asset_pairs(rows))
+    honest = rows.filter("split = 'train'").join(pairs, F.col("symbol") == F.col("train_symbol"))
+    leak = rows.filter("symbol = 'view' and split = 'test'").join(
+        pairs.filter("train_symbol = 'click' and test_symbol = 'view'"), F.col("symbol") == F.col("test_symbol")).withColumn("symbol", F.col("train_symbol"))
+    used = cut(honest.unionByName(leak), "fitted_rows")
+    means = used.groupBy("train_symbol", "test_symbol").agg(F.coalesce(F.avg(F.when(F.col("label") == "UP", F.col("future_ret_h"))), F.lit(0.0)).alias("mean_up"))
+    return transfer_protocol(reads([used], ["train_symbol", "test_symbol"]), means)
+
+
 # ---------------------------------------------------------------- ledgers
 
 _MODEL = "case symbol when 'click' then 'sgd_' when 'view' then 'xgboost_' when 'error' then 'tcn_' when 'signup' then 'asset_sgd_' else 'plain_' end || symbol"
@@ -381,31 +414,40 @@ def _(spark, sf):
 
 @query("j7_selection_ledger",
        "symbol:s policy:s theta:r11 selection_source:s selection_audit_status:s validation_result:s test_n_trades:i test_net_pnl:r5",
-       """select t.symbol, t.policy, t.theta, 'valid' as selection_source, 'PASS_VALIDATION_ONLY' as selection_audit_status,
+       """select t.symbol, t.policy, t.theta, case tuned_bits when 2 then 'valid' else 'other' end as selection_source,
+                 case when read_bits & 12 = 0 then 'PASS_VALIDATION_ONLY' else 'FAIL_TEST_SELECTION' end as selection_audit_status,
                  '{"net_pnl":' || round(net_pnl, 6)::decimal(20,6)::varchar || ',"n_trades":' || n_trades::varchar || ',"n_trade_days":'
                    || n_trade_days::varchar || ',"split":"valid"}' as validation_result, test_n_trades, test_net_pnl
           from tuned t left join (select symbol, policy, count(*) as test_n_trades, sum(net_pnl) as test_net_pnl from test_trades group by 1, 2) r
-               using (symbol, policy) where selected""")
+               using (symbol, policy) join tuning_reads using (symbol) join all_reads using (symbol) where selected""", extra=_READS)
 def _(spark, sf):
-    tuning = tuned(spark, sf).withColumn("split", F.lit("valid"))
+    tuning = tuned(spark, sf).withColumn("split", split_names(F.col("tuned_bits")))
     results = B.summarize(test_trades(spark, sf), ["symbol", "policy"]).select("symbol", "policy", "n_trades", "net_pnl")
     return J.selection_ledger(tuning, results, ["symbol", "policy"])
 
 
 @query("j8_candidate_counts", "symbol:s policy:s n_candidates:i n_selected:i selection_sources:s selected_thresholds:s selection_audit_status:s",
-       """select symbol, policy, count(*) as n_candidates, count(*) filter (where selected) as n_selected, 'valid' as selection_sources,
+       """select symbol, policy, count(*) as n_candidates, count(*) filter (where selected) as n_selected,
+                 case any_value(tuned_bits) when 2 then 'valid' else 'other' end as selection_sources,
                  string_agg(printf('%.9f', round(theta, 9)), ',') filter (where selected) as selected_thresholds,
-                 'PASS_VALIDATION_ONLY' as selection_audit_status from tuned group by 1, 2""")
+                 case when any_value(read_bits) & 12 = 0 then 'PASS_VALIDATION_ONLY' else 'FAIL_TEST_SELECTION' end as selection_audit_status
+          from tuned join tuning_reads using (symbol) join all_reads using (symbol) group by 1, 2""", extra=_READS)
 def _(spark, sf):
-    return J.candidate_counts(tuned(spark, sf).withColumn("split", F.lit("valid")), ["symbol", "policy"])
+    return J.candidate_counts(tuned(spark, sf), ["symbol", "policy"])
 
 
-@query("j9_overfitting_readiness", "status:s n_candidate_groups:i n_threshold_candidates:i",
-       """select 'INFEASIBLE_FROM_CURRENT_SAVED_ARTIFACTS' as status, count(*) as n_candidate_groups, coalesce(sum(n), 0) as n_threshold_candidates
-          from (select symbol, policy, count(*) as n from tuned group by 1, 2)""")
+@query("j9_overfitting_readiness", "status:s n_candidate_groups:i n_threshold_candidates:i n_with_daily_returns:i",
+       """select case when n_threshold_candidates = n_with_daily_returns and n_threshold_candidates > 0 then 'READY'
+                      else 'INFEASIBLE_FROM_CURRENT_SAVED_ARTIFACTS' end as status, *
+          from (select count(distinct symbol || '/' || policy) as n_candidate_groups, count(*) as n_threshold_candidates, count(days) as n_with_daily_returns
+                from tuned t left join (select symbol, policy, theta, count(distinct event_us // 86400000000) as days from test_trades
+                                        join winners using (symbol, policy) group by 1, 2, 3 having days >= 2) d using (symbol, policy, theta))""")
 def _(spark, sf):
-    counts = J.candidate_counts(tuned(spark, sf).withColumn("split", F.lit("valid")), ["symbol", "policy"])
-    return J.overfitting_readiness(counts, False)
+    """Only the selected thresholds have trades that were kept; whether that suffices is counted."""
+    tuning = tuned(spark, sf)
+    chosen = tuning.filter("selected").select("symbol", "policy", "theta")
+    daily = test_trades(spark, sf).select("symbol", "policy", F.expr("event_us div 86400000000 as day")).join(chosen, ["symbol", "policy"])
+    return J.overfitting_readiness(tuning.select("symbol", "policy", "theta"), daily)
 
 
 @query("j10_model_family", "model:s family:s n_rows:i",
