@@ -21,17 +21,21 @@ from __future__ import annotations
 import html as references
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Elements by their role.
-LEFT_OUT = frozenset("script style noscript template head title nav header footer aside form button select textarea iframe object svg canvas menu dialog".split())
+LEFT_OUT = frozenset("script style noscript template head title nav header footer aside select textarea iframe object svg canvas".split())
+#: Left out like marked blocks: not where they are wrapped around the article.
+WRAPPERS = frozenset("form button menu dialog".split())
 RAW = frozenset("script style title textarea noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+SCOPES = frozenset("ul ol menu table td th article section div main button".split())
 #: Words in a class, id or role that mark a block as no part of the article: a whole name of them, or of them and ``NEUTRAL``.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner banners sponsored sponsor sponsors promo promos promotion promotions cookie cookies "
@@ -79,11 +83,15 @@ def marked(name: str, given: dict[str, str], inside: bool) -> bool:
 
 
 class Node:
-    __slots__ = ("name", "parent", "out", "mark", "inside", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "out", "mark", "inside", "outer_p", "outer_item", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, name: str, parent: Node | None, out: bool):
         self.name, self.parent, self.out, self.mark = name, parent, out, False
         self.inside = parent is not None and (parent.inside or parent.name in ("article", "main"))
+        # The outermost open paragraph, and paragraph or item, that a block or an item that begins here would end.
+        scoped = parent is not None and name not in SCOPES
+        self.outer_p = (parent.outer_p or (self if name == "p" else None)) if scoped else None
+        self.outer_item = (parent.outer_item or (self if name in ("p", "li") else None)) if scoped else None
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -93,6 +101,16 @@ def parse(page: str) -> Node:
     """The page's tree; text is kept as decoded strings between the nodes."""
     root = here = Node("body", None, False)
     at, strict, size, lower, any_mark = 0, True, len(page), None, False
+    opened: Counter[str] = Counter()
+
+    def rise(to: Node) -> Node:
+        """Closes what is open below ``to``; each element once, so the work is in proportion to the tags."""
+        up = here
+        while up is not to:
+            opened[up.name] -= 1
+            up = up.parent
+        return to
+
     while at < size:
         start = page.find("<", at)
         if start < 0:
@@ -119,28 +137,22 @@ def parse(page: str) -> Node:
             continue
         at, name = tag.end(), tag[2].lower()
         if tag[1]:
-            up = here
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up is not root:
-                here = up.parent
+            if opened[name] > 0:
+                up = here
+                while up.name != name:
+                    up = up.parent
+                here = rise(up.parent)
             continue
         if name in ("html", "body"):
             continue
         if name in CLOSES_P or name == "li":  # a paragraph ends where a block begins; an item where the next begins
-            up, ends = here, ("p",) if name in CLOSES_P else ("p", "li")
-            stop = ("ul", "ol", "menu", "table", "td", "th", "article", "section", "div", "main", "button")
-            closed = None
-            while up is not root and up.name not in stop:
-                if up.name in ends:
-                    closed = up
-                up = up.parent
+            closed = here.outer_p if name in CLOSES_P else here.outer_item
             if closed is not None:
-                here = closed.parent
+                here = rise(closed.parent)
         given = attributes(tag[3]) if tag[3] else {}
         hidden = bool(given) and ("hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(_NONE.search(given.get("style", ""))))
         node = Node(name, here, here.out or name in LEFT_OUT or hidden)
-        node.mark = bool(given) and marked(name, given, node.inside)
+        node.mark = name in WRAPPERS or (bool(given) and marked(name, given, node.inside))
         any_mark = any_mark or node.mark
         here.parts.append(node)
         if name in RAW:
@@ -151,10 +163,9 @@ def parse(page: str) -> Node:
                 break
             close = page.find(">", at)
             at = size if close < 0 else close + 1
-        elif name not in VOID and not tag[3].endswith("/"):
+        elif name not in VOID and (not tag[3].endswith("/") or name in ("p", "div", "li", "article", "section", "span", "a", "b")):
             here = node
-        elif name not in VOID:
-            here = node if name in ("p", "div", "li", "article", "section", "span", "a", "b") else here
+            opened[name] += 1
     if any_mark:
         strike(root)
     return root

@@ -39,3 +39,25 @@ def test_heading_beside_the_block():
     for title in ("<h1>Title</h1>", '<h1><a href="/">Title</a></h1>'):
         assert main_text(page(f"<div>{title}<div>{ARTICLE}</div></div>")) == "Title " + TEXT
         assert main_text(page(f"<div>{title}<ul>{links}</ul><div>{ARTICLE}</div></div>")) == "Title " + TEXT
+
+
+def test_forms_around_the_article():
+    """Server-side frameworks wrap whole pages in a form; a form, button, menu or dialog beside the article stays out."""
+    prose = "".join(f"<p>Paragraph {i} of the article with enough words to count as text.</p>" for i in range(5))
+    text = " ".join(f"Paragraph {i} of the article with enough words to count as text." for i in range(5))
+    for page in (f'<form id="aspnetForm"><div>{prose}</div></form>', f"<form><article>{prose}</article><button>Send</button></form>",
+                 f"<dialog><div>{prose}</div></dialog>", f"<div>{prose}</div><form><label>Your name</label><input></form>",
+                 f'<form><div>{prose}</div><select><option>One</option></select><textarea>Say</textarea></form>'):
+        assert main_text(page) == text, page
+
+
+def test_long_pages_of_nested_and_unclosed_tags():
+    """A tag costs the same however deep it stands."""
+    import time
+
+    n = 60_000
+    pages = ["<i>" * n + "<p>x" * n, "<b>" * n + "</x>" * n + "<p>y", "<div>" * n + "z" + "</div>" * n, "<ul>" + "<li>a<p>b" * n, "<b><p>" * n + "q", "</p>" * n + "r"]
+    for page in pages:
+        began = time.process_time()
+        assert main_text(page)
+        assert time.process_time() - began < 20, page[:20]
