@@ -9,9 +9,12 @@ class Remembered:
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
 
-    def missing(self, keys: set) -> list:
-        """Those of ``keys`` that are not known.  The others, and what is then added, can be read from ``young``."""
-        if len(self.young) > self.limit:
+    def missing(self, keys: set, turn: bool = True) -> list:
+        """Those of ``keys`` that are not known.  The others, and what is then added, can be read from ``young``.
+
+        Only the first call for a batch may ``turn`` to a new generation: what an earlier call found must stay readable.
+        """
+        if turn and len(self.young) > self.limit:
             self.young, self.old = {}, self.young
         absent = []
         for key in keys.difference(self.young):

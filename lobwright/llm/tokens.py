@@ -78,7 +78,7 @@ class Encoder:
                 words.append(p)
             else:
                 marked.append((p, base))
-        words = list({*words, *self.inner.missing({b for _, b in marked})})
+        words = list({*words, *self.inner.missing({b for _, b in marked}, turn=False)})
         known = self.inner.young
         known.update(zip(words, self._words(words), strict=True))
         known.update(zip(others, self._whole([p if p[:1] == "\n" or not p else " " + p for p in others]), strict=True))

@@ -40,6 +40,17 @@ def test_a_full_memory_changes_nothing(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == library_ids(BYTES, texts)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_generations_turn_between_batches_only(path, monkeypatch):
+    """A batch that finds the memory full still reads what it asked for, words with marks among it."""
+    monkeypatch.setattr("lobwright.llm.tokens.CACHE_PIECES", 40)
+    e, rng = Encoder(path), random.Random(6)
+    names = ["".join(rng.choice("abcdeno") for _ in range(rng.randint(1, 5))) for _ in range(120)]
+    for _ in range(60):
+        texts = [" ".join(rng.choice(names) + rng.choice(["", "", ".", ",", "!?"]) for _ in range(rng.randint(0, 30))) for _ in range(8)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == library_ids(path, texts)
+
+
 @pytest.fixture(scope="module")
 def stored(spark):
     path = new_path(spark, "tokens")
