@@ -13,7 +13,7 @@ from check_queries import TABLES, canon  # noqa: E402
 import __spark_entry__ as entry  # noqa: E402
 from lobwright.plans import catalog  # noqa: E402
 
-SLOW = ("x1", "x2", "x3", "x4", "m3", "m4", "m4b", "m6", "r10")
+SLOW = ("x1", "x2", "x3", "x4", "m3", "m4", "m4b", "r10")
 # The smallest tables leave no validation rows after the purge; what needs trades runs one size up.
 LARGER = ("b", "t", "g", "h", "j", "f13", "k7", "k8", "e8", "f9", "f10", "m5b", "m6")
 LARGER_SF = "/root/testdata/sf0.01"
