@@ -333,6 +333,12 @@ def _(spark, sf):
     return R.fit_thresholds(labelled(spark, sf))
 
 
+@query("r2b_counted_thresholds", "symbol:s " + " ".join(f"{n}:r6" for n in R.THRESHOLDS), "select * from thr")
+def _(spark, sf):
+    """The same thresholds by counting prefixes, the way of groups too large for one task."""
+    return R.fit_thresholds(labelled(spark, sf), exact_rows=0)
+
+
 @query("r3_regimes", ID + "regime:s", "select * from reg")
 def _(spark, sf):
     return regimed(spark, sf)

@@ -144,14 +144,31 @@ def test_labels_goldens(spark):
     assert len(out) == 3 and out.future_ret_h[0] == 0 and out.future_ret_h[1] > 0
 
 
-def test_bracketed_quantiles_are_exact(spark):
+def test_counted_quantiles_are_exact(spark):
     rnd = random.Random(5)
     rows = [(k, 7.0 if rnd.random() < 0.35 else rnd.gauss(0, 3)) for k in "ab" for _ in range(3000)] + [("c", 1.5)]
     df = spark.createDataFrame(rows, "k string, v double")
     wanted = {f"q{int(q * 1000)}": (F.col("v"), q) for q in (0.0, 0.05, 0.5, 0.7, 0.999, 1.0)}
     a = group_quantiles(df, ["k"], wanted).orderBy("k").toPandas()
-    b = group_quantiles(df, ["k"], wanted, exact_rows=0, accuracy=200).orderBy("k").toPandas()
-    assert np.allclose(a[list(wanted)].to_numpy(), b[list(wanted)].to_numpy(), atol=1e-12)
+    b = group_quantiles(df, ["k"], wanted, exact_rows=0).orderBy("k").toPandas()
+    assert np.array_equal(a[list(wanted)].to_numpy(), b[list(wanted)].to_numpy())
+
+
+def test_counted_quantiles_of_odd_values(spark):
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), float("nan"), 1.0, 1.0 + 2**-52, -1.0]
+    rows = [("a", 1, x, float(i)) for i, x in enumerate(odd)] + [("a", 1, None, 3.0), ("b", 1, None, 2.0), (None, 1, 4.0, None), (None, None, 4.5, 1.0)]
+    df = spark.createDataFrame(rows, "_all string, w int, v double, u double")
+    wanted = {f"{c}{int(q * 100)}": (F.col(c), q) for c in "vu" for q in (0.0, 0.1, 0.5, 0.9, 1.0)}
+    for keys in (["w"], ["k", "w"], []):
+        given = df.withColumnRenamed("_all", "k")
+        a = group_quantiles(given, keys, wanted).orderBy(*keys, *wanted).toPandas()
+        for bits in (16, 11):
+            b = group_quantiles(given, keys, wanted, exact_rows=0, bits=bits).orderBy(*keys, *wanted).toPandas()
+            assert a[keys].astype(str).equals(b[keys].astype(str))
+            assert np.array_equal(a[list(wanted)].to_numpy(float), b[list(wanted)].to_numpy(float), equal_nan=True)
+    empty = df.where("false")
+    assert group_quantiles(empty, ["w"], wanted, exact_rows=-1).count() == 0
+    assert group_quantiles(empty, [], wanted, exact_rows=-1).first() == group_quantiles(empty, [], wanted).first()
 
 
 def test_runs_over_chunk_seams(spark):
