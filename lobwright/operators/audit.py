@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lobwright.functions.levels import any_level, depth, price
 from lobwright.functions.scalars import KEYS, utc_day
 from lobwright.operators.chunks import CHUNK_ROWS, chunk_window, drop_halo, with_halo
+from lobwright.operators.clean import with_event_time
+from lobwright.operators.index import event_index
 from lobwright.operators.quantiles import group_quantiles
 from lobwright.sources.stages import cut, per_key
 
@@ -27,12 +29,12 @@ def _null_count_columns() -> dict[str, str]:
     return {**plain, **levels}
 
 
-def audit_rows(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Per-row audit inputs.  ``event_idx`` must follow (event time, sequence); gaps do not cross a day.
+def audit_rows(df: DataFrame, chunk_rows: int = CHUNK_ROWS, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Per-row audit inputs.  ``event_idx`` must follow (event time, sequence) per ``keys``; gaps do not cross a day.
 
     Rows without a time belong to the day ``NO_DAY``.
     """
-    w = chunk_window()
+    w = chunk_window(keys)
     day = F.coalesce(utc_day(F.col("event_us")), F.lit(NO_DAY))
     flags = df.withColumns(
         {
@@ -59,11 +61,11 @@ def audit_rows(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     )
 
 
-def audit_daily(df: DataFrame, chunk_rows: int = CHUNK_ROWS, group: tuple[str, ...] = (*KEYS, "trade_date")) -> DataFrame:
-    """One row per symbol and UTC day.  Add a source-file column to ``group`` to audit file by file."""
+def audit_daily(df: DataFrame, chunk_rows: int = CHUNK_ROWS, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """One row per ``keys``, those of the index, and UTC day."""
     # Counts, distinct counts and quantiles all read these narrow rows, so they are written once.
-    rows = cut(audit_rows(df, chunk_rows), "audit_rows")
-    group = list(group)
+    rows = cut(audit_rows(df, chunk_rows, keys), "audit_rows")
+    group = [*keys, "trade_date"]
     names = list(_null_count_columns())
     # Duplicates: distinct values are counted in two steps, so a day's values never meet in one task's set.
     uniq = None
@@ -116,6 +118,17 @@ def audit_daily(df: DataFrame, chunk_rows: int = CHUNK_ROWS, group: tuple[str, .
     )
 
 
+def audit_files(files: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """One row per source file, symbol and UTC day, with the file's size; ``files`` comes from ``read_with_origin``.
+
+    Intervals, duplicates and sequence steps are those within a file.  Equal times and sequences follow the order of the file.
+    """
+    keys = (*KEYS, "source_file")
+    indexed = event_index(with_event_time(files), keys, missing_time=True)
+    sizes = per_key(files.groupBy("source_file").agg(F.max("source_file_size_mb").alias("file_size_mb")))
+    return audit_daily(indexed, chunk_rows, keys).join(sizes, "source_file")
+
+
 def first_priority(audits: DataFrame) -> DataFrame:
     """Of the audits of a (symbol, day) keep those from the best source; needs ``source_priority``."""
     best = audits.groupBy("symbol", "trade_date").agg(F.min("source_priority").alias("source_priority"))

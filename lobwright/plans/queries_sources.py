@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lobwright.operators.audit import audit_daily, dataset_stats, histogram
+from lobwright.operators.audit import audit_daily, audit_files, dataset_stats, histogram
 from lobwright.operators.clean import clean_book, strict_checks, with_event_time
 from lobwright.operators.index import event_index, event_stride
 from lobwright.operators.quantiles import group_quantiles
@@ -61,6 +61,35 @@ def _(spark, sf):
     return in_range(events_wide(spark, sf, defects=True), "2024-01-05", "2024-01-20 12:00:00")
 
 
+@query("s4b_month_files", "arrival:i bid_0_price:r4 ask_0_price:r4 source_file:s has_size:b",
+       """select arrival, bids[1].price as bid_0_price, asks[1].price as ask_0_price, 'BOOK_SIM_CLICK_MAR-2024.parquet' as source_file, true as has_size
+          from raw where symbol = 'click' and arrival % 2 = 1 and try_cast('2024-03' || substr(origin_time, 8) as timestamp)
+                between timestamp '2024-03-05' and timestamp '2024-03-20 12:00:00'""")
+def _(spark, sf):
+    """Two months of every symbol as provider files; the loader prunes files by name, then columns and times in the file source."""
+    from lobwright.sources.book import wide_schema
+    from lobwright.sources.scan import load_snapshots
+    from lobwright.sources.stages import new_path
+
+    root = new_path(spark, "month_files")
+    moved = [F.when(F.col("arrival") % 2 == 1, F.concat(F.lit("2024-03"), F.substring(c, 8, 19))).otherwise(F.col(c)).alias(c)
+             for c in ("origin_time", "received_time")]
+    wide = events_wide(spark, sf)
+    rows = wide.select(*moved, *[c for c in wide.columns if c not in ("origin_time", "received_time")])
+    stamped = rows.withColumns({c: F.try_to_timestamp(F.col(c)) for c in ("origin_time", "received_time")}).select(
+        *[F.col(f.name).cast(f.dataType) for f in wide_schema().fields],
+        F.concat(F.lit("BOOK_SIM_"), F.upper("symbol"), F.when(F.col("arrival") % 2 == 1, "_MAR").otherwise("_JAN"), F.lit("-2024.parquet")).alias("name"))
+    stamped.repartition("name").write.partitionBy("name").parquet(f"{root}/parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{root}/raw"))
+    for part in fs.globStatus(path(f"{root}/parts/name=*/part-*")):
+        fs.rename(part.getPath(), path(f"{root}/raw/" + part.getPath().getParent().getName().split("=")[1]))
+    got = load_snapshots(spark, f"{root}/raw", "SIM", "CLICK", "2024-03-05", "2024-03-20 12:00:00",
+                         ["sequence_number", "bid_0_price", "ask_0_price"], source_file=True)
+    return got.selectExpr("sequence_number as arrival", "bid_0_price", "ask_0_price", "source_file", "source_file_size_mb > 0 as has_size")
+
+
 @query("s5_multi_file_read", "symbol:s n_rows:i size_sum:r4",
        "select symbol, count(*) as n_rows, sum(asks[1].size) as size_sum from raw group by symbol")
 def _(spark, sf):
@@ -165,6 +194,59 @@ def _(spark, sf):
     return conversion_summary(compare_tables(rows, cut(rows, "copy"), ["exchange", "symbol", "month"]))
 
 
+_CSV_MONTHS = ("2024-01", "2024-03", "2024-05", "2024-07", "2024-08")
+_MONTHS_SQL = f"""
+  select [{", ".join(f"'{m}'" for m in _CSV_MONTHS)}][arrival % 5 + 1] as month, count(*) as n, count(*) filter (where arrival % 50 = 3) as n_bad
+  from raw group by 1"""
+_JOB_SQL = f"""
+  select month, case month when '2024-01' then 'skipped' when '2024-05' then 'failed' when '2024-07' then case when n_bad > 0 then 'failed' else 'converted' end
+              else 'converted' end as status,
+         case when month = '2024-05' then 'header' when month = '2024-07' and n_bad > 0 then 'unreadable lines' else '' end as reason,
+         case when month = '2024-05' then 0 else n end as n_source,
+         case when month = '2024-05' or (month = '2024-07' and n_bad > 0) then 0 else n end as n_written,
+         month <> '2024-05' and not (month = '2024-07' and n_bad > 0) as published
+  from ({_MONTHS_SQL})"""
+
+
+def _conversion(spark, sf):
+    """Every event as a line of one of five months: one converted before, one under another header, one with lines that can't be read."""
+    import os
+
+    from lobwright.sources.convert import convert_months
+    from lobwright.sources.sink import csv_schema
+    from lobwright.sources.stages import new_path
+
+    root = new_path(spark, "csv_job")
+    month = F.element_at(F.array(*map(F.lit, _CSV_MONTHS)), F.col("arrival").cast("int") % 5 + 1)
+    wide = events_wide(spark, sf).withColumn("month", month)
+    rows = wide.withColumns({
+        **{c: F.concat("month", F.substring(c, 8, 19)) for c in ("origin_time", "received_time")},
+        "ask_7_size": F.when((F.col("month") == "2024-07") & (F.col("arrival") % 50 == 3), "n/a").otherwise(F.col("ask_7_size").cast("string")),
+    }).select(*csv_schema().names, "month")
+    even, odd = os.path.join(root, "csv", "a"), os.path.join(root, "csv", "b")
+    rows.filter("month <> '2024-05'").write.option("header", True).partitionBy("month").csv(even)
+    renamed = rows.filter("month = '2024-05'").withColumnRenamed("bid_3_size", "bid_3_amount")
+    renamed.write.option("header", True).partitionBy("month").csv(odd)
+    convert_months(spark, os.path.join(root, "csv"), os.path.join(root, "out"), months=["2024-01"])
+    return convert_months(spark, os.path.join(root, "csv"), os.path.join(root, "out")), os.path.join(root, "out")
+
+
+@query("s10b_conversion_job", "month:s status:s reason:s n_source:i n_written:i published:b", _JOB_SQL)
+def _(spark, sf):
+    """The records of the second run, and whether the target holds the month with just the rows recorded."""
+    records, target = _conversion(spark, sf)
+    stored = spark.read.parquet(target).groupBy("month").agg(F.count("*").alias("n_stored"))
+    return records.join(stored, "month", "left").withColumn("published", F.coalesce(F.col("n_stored") == F.col("n_written"), F.lit(False)))
+
+
+@query("s12b_conversion_job_summary", "n_converted:i n_failed:i n_skipped:i n_rows:i has_bytes:b decision:s",
+       f"""select count(*) filter (where status = 'converted') as n_converted, count(*) filter (where status = 'failed') as n_failed,
+                  count(*) filter (where status = 'skipped') as n_skipped, sum(n_source) as n_rows, true as has_bytes,
+                  case when count(*) filter (where status = 'failed') = 0 then 'PASS' else 'FAIL' end as decision from ({_JOB_SQL})""")
+def _(spark, sf):
+    return conversion_summary(_conversion(spark, sf)[0]).withColumn("has_bytes", F.col("n_bytes") > 0)
+
+
 @query("s13_time_windows", "symbol:s token:s start_us:i end_us:i n_rows:i",
        """select symbol, 'D' || lpad((i + 1)::varchar, 3, '0') || '_' || strftime(make_timestamp(lo + i * 864000000000), '%Y%m%d')
                  || '_' || strftime(make_timestamp(lo + (i + 1) * 864000000000 - 1), '%Y%m%d') as token,
@@ -315,6 +397,27 @@ def _(spark, sf):
     return _audit(spark, sf)
 
 
+_FILE_BLOCKS = {
+    "aud_rows": _AUDIT_BLOCKS["aud_rows"].replace("from bad_t", "from (select *, arrival % 3 as piece from bad_t)").replace(
+        "partition by exchange, symbol, trade_date", "partition by exchange, symbol, piece, trade_date"),
+    "aud": _AUDIT_BLOCKS["aud"].replace("select exchange, symbol, trade_date", "select exchange, symbol, piece, trade_date").replace(
+        "group by 1, 2, 3", "group by 1, 2, 3, 4"),
+}
+
+
+@query("c4b_file_audit", "piece:i has_size:b " + _AUDIT_COLS, "select *, true as has_size from aud", extra=_FILE_BLOCKS)
+def _(spark, sf):
+    """The faulty book in three files, audited file by file."""
+    from lobwright.sources.scan import read_with_origin
+    from lobwright.sources.stages import new_path
+
+    path = new_path(spark, "audited_files")
+    rows = events_book(spark, sf, defects=True).withColumn("piece", F.col("arrival") % 3)
+    rows.repartition("piece").write.partitionBy("piece").parquet(path)
+    audit = audit_files(read_with_origin(spark, path))
+    return audit.withColumns({"piece": F.regexp_extract("source_file", "piece=([0-9]+)/", 1), "has_size": F.col("file_size_mb") > 0})
+
+
 @query("c5_dataset_stats",
        "exchange:s symbol:s rows:i days:i median_snapshot_interval_ms:r6 mean_spread:r6 mean_depth_top10:r6 "
        "first_us:i last_us:i source_audit_artifact:s",

@@ -35,6 +35,14 @@ def read_many(spark: SparkSession, pattern: str, schema=None) -> DataFrame:
     return reader.parquet(pattern)
 
 
+def read_with_origin(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Parquet files with where each row stood: ``source_file``, ``source_file_size_mb`` and ``row_index``, from the file source."""
+    df = read_many(spark, path, schema)
+    return df.select(
+        "*", F.col("_metadata.file_path").alias("source_file"), (F.col("_metadata.file_size") / (1024.0 * 1024.0)).alias("source_file_size_mb"),
+        F.col("_metadata.row_index").alias("row_index"))
+
+
 def in_range(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
     """Rows whose event time (origin, else received) lies in [start, end]; the fallback comes before the filter.
 

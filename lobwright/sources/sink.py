@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,15 +119,19 @@ def row_digest(df: DataFrame, digits: int = 5):
     return F.sum(F.xxhash64(*cells).cast("decimal(20,0)"))
 
 
-def compare_tables(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """Row counts and whole-table digests of two tables per group; both tables are read once, nothing is joined row by row."""
-    cols = a.columns
-    left = a.groupBy(*by).agg(F.count("*").alias("n_source"), row_digest(a).alias("d_source"))
+def compare_tables(a: DataFrame, b: DataFrame, by: list[str], also: tuple[Column, ...] = ()) -> DataFrame:
+    """Row counts and whole-table digests of two tables per group; both tables are read once, nothing is joined row by row.
+
+    ``also`` are further aggregates of ``a``, taken in the same pass.  Columns that ``b`` does not have are not compared.
+    """
+    cols = [c for c in a.columns if c in b.columns]
+    left = a.groupBy(*by).agg(F.count("*").alias("n_source"), row_digest(a.select(*cols)).alias("d_source"), *also)
     right = b.select(*cols).groupBy(*by).agg(F.count("*").alias("n_written"), row_digest(b.select(*cols)).alias("d_written"))
     same = (F.col("n_source") == F.col("n_written")) & (F.col("d_source") == F.col("d_written"))
     return left.join(right, by, "full").select(
         *by, F.coalesce("n_source", F.lit(0)).alias("n_source"), F.coalesce("n_written", F.lit(0)).alias("n_written"),
         F.when(F.coalesce(same, F.lit(False)), "converted").otherwise("failed").alias("status"),
+        *[c for c in left.columns if c not in (*by, "n_source", "d_source")],
     )
 
 
@@ -138,6 +142,7 @@ def conversion_summary(records: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "failed").alias("n_failed"),
         F.count_if(F.col("status") == "skipped").alias("n_skipped"),
         F.sum("n_source").alias("n_rows"),
+        *[F.sum("n_bytes").alias("n_bytes")] * ("n_bytes" in records.columns),
     )
     ok = (F.col("n_failed") == 0) & (F.col("n_converted") + F.col("n_skipped") > 0)
     return out.withColumn("decision", F.when(ok, "PASS").otherwise("FAIL"))

@@ -180,3 +180,70 @@ def test_time_range_reaches_the_file_source(spark, sf, tmp_path):
     assert "PushedFilters: [Or(And(GreaterThanOrEqual(origin_time" in plan
     ts = F.coalesce("origin_time", "received_time")
     assert got.count() == rows.filter((ts >= "2024-01-05") & (ts <= "2024-01-20 12:00:00")).count() > 0
+
+
+def csv_tree(root, months, rows=3, header=None, cell="100.5"):
+    names = header or [f.name for f in sink.csv_schema().fields]
+    for m in months:
+        os.makedirs(root / f"month={m}", exist_ok=True)
+        lines = [",".join([f"{m}-01 00:00:{9 - i:02d}.123456789", "", str(i), "S", "X", cell] + ["100.0"] * 79) for i in range(rows)]
+        (root / f"month={m}" / f"book_{m}.csv").write_text("\n".join([",".join(names), *lines]) + "\n")
+
+
+def outcome(records):
+    return {r.month: (r.status, r.reason, r.n_source, r.n_written) for r in records.collect()}
+
+
+def test_months_are_converted_skipped_and_failed(spark, tmp_path):
+    from lobwright.sources.convert import convert_months
+
+    source, target = tmp_path / "csv", str(tmp_path / "out")
+    csv_tree(source, ["2024-01", "2024-02"])
+    csv_tree(source, ["2024-03"], cell="x")
+    csv_tree(source, ["2024-04"], header=[f.name for f in sink.csv_schema().fields][::-1])
+    csv_tree(source, ["2024-05"], rows=0)
+    ok = ("converted", "", 3, 3)
+    assert outcome(convert_months(spark, str(source), target, ["2024-01"])) == {"2024-01": ok}
+    assert outcome(convert_months(spark, str(source), target)) == {
+        "2024-01": ("skipped", "", 3, 3), "2024-02": ok, "2024-03": ("failed", "unreadable lines", 3, 0),
+        "2024-04": ("failed", "header", 0, 0), "2024-05": ("failed", "empty", 0, 0)}
+    got = spark.read.parquet(target)
+    assert got.groupBy("month").count().count() == 2 and got.count() == 6 and got.filter("origin_time is null").count() == 0
+    assert sorted(os.listdir(target)) == ["_conversions", "exchange=X"]
+    with pytest.raises(FileNotFoundError):
+        convert_months(spark, str(source), target, ["2024-01", "2025-01"])
+
+
+def test_a_changed_month_replaces_what_was_published_and_a_failed_one_does_not(spark, tmp_path):
+    import shutil
+
+    from lobwright.sources.convert import convert_months
+
+    source, target = tmp_path / "csv", str(tmp_path / "out")
+    csv_tree(source, ["2024-01", "2024-02"])
+    convert_months(spark, str(source), target)
+    csv_tree(source, ["2024-01"], rows=5)
+    csv_tree(source, ["2024-02"], rows=5, cell="x")
+    assert outcome(convert_months(spark, str(source), target)) == {
+        "2024-01": ("converted", "", 5, 5), "2024-02": ("failed", "unreadable lines", 5, 0)}
+    count = lambda m: spark.read.parquet(target).filter(F.col("month") == m).count()
+    assert (count("2024-01"), count("2024-02")) == (5, 3)
+    shutil.rmtree(os.path.join(target, "exchange=X", "symbol=S", "month=2024-01"))  # rows lost: recorded is not enough
+    assert outcome(convert_months(spark, str(source), target, ["2024-01"])) == {"2024-01": ("converted", "", 5, 5)}
+    assert outcome(convert_months(spark, str(source), target, ["2024-01"], again=True)) == {"2024-01": ("converted", "", 5, 5)}
+    assert outcome(convert_months(spark, str(source), target, ["2024-01"])) == {"2024-01": ("skipped", "", 5, 5)}
+
+
+def test_audit_by_file_knows_sizes_and_file_order(spark, sf, tmp_path):
+    from lobwright.operators.audit import audit_files
+    from lobwright.sources.book import events_book
+    from lobwright.sources.scan import read_with_origin
+
+    rows = events_book(spark, sf, defects=True).drop("arrival")
+    for name, day in (("a", "2024-01-03"), ("b", "2024-01-03"), ("c", "2024-01-04")):
+        rows.filter(F.col("origin_time").startswith(day)).coalesce(1).write.parquet(str(tmp_path / f"f={name}"))
+    got = audit_files(read_with_origin(spark, str(tmp_path))).withColumn("f", F.regexp_extract("source_file", "f=(.)/", 1))
+    twice = got.filter("f = 'a'").drop("f", "source_file").exceptAll(got.filter("f = 'b'").drop("f", "source_file"))
+    assert twice.count() == 0 and got.select("f", "trade_date").distinct().count() == 3
+    size = os.path.getsize(next(p for p in (tmp_path / "f=a").glob("part-*.parquet"))) / 2**20
+    assert {round(r.file_size_mb, 9) for r in got.filter("f = 'a'").collect()} == {round(size, 9)}
