@@ -173,6 +173,15 @@ def balance(df: DataFrame, value: str, scope: str = "within_asset") -> DataFrame
     return share_within(counts, ["symbol", "split"], share="share").withColumn("scope", F.lit(scope))
 
 
+def balance_by_direction(df: DataFrame, value: str, pairs: DataFrame, scope: str = "asset_heldout_target_test", split: str = "test") -> DataFrame:
+    """The balance of what each direction is judged on: the target's rows of ``split``, with the direction it stands for.
+
+    ``pairs`` (train_symbol, test_symbol) are joined to the counts, never to the rows.
+    """
+    target = balance(df.filter(F.col("split") == split), value, scope).join(pairs.withColumnRenamed("test_symbol", "symbol"), "symbol")
+    return target.withColumn("direction", F.concat_ws(">", "train_symbol", "symbol")).drop("train_symbol")
+
+
 def transfer_table(labels: DataFrame, regimes: DataFrame, calib: DataFrame, pnl: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row per direction: label mix, UNKNOWN share and top regime of source train and target test, the target's
     calibration and both policies' PnL on it."""

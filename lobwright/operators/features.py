@@ -101,8 +101,11 @@ def tensor_columns(df: DataFrame) -> DataFrame:
     return add(df, out)
 
 
-def level_vector(levels: int = 10, scaler: dict[int, tuple[float, float]] | None = None) -> Column:
-    """The model input of one row: ask price, ask size, bid price, bid size per level, as ``array<float>``."""
+def level_vector(levels: int = 10, scaler: dict[int, tuple[float, float]] | str | None = None) -> Column:
+    """The model input of one row: ask price, ask size, bid price, bid size per level, as ``array<float>``.
+
+    ``scaler`` holds a mean and a deviation for some cells, or names a column of ``fit_vector_scaler``, which covers all cells.
+    """
     mid = f"(({px('bid', 0)} + {px('ask', 0)}) / 2D)"
 
     def finite(x: str) -> str:
@@ -114,6 +117,9 @@ def level_vector(levels: int = 10, scaler: dict[int, tuple[float, float]] | None
         for s in ("ask", "bid"):
             cells.append(finite(f"if(abs({mid}) < 1e-12D, 0D, try_divide({px(s, i)} - {mid}, {mid}))"))
             cells.append(finite(f"log1p(greatest({sz(s, i)}, 0D))"))
+    if isinstance(scaler, str):
+        cells = [finite(f"try_divide(double(float({c})) - {scaler}.mean[{k}], {scaler}.std[{k}])") for k, c in enumerate(cells)]
+        scaler = None
     for k, (mean, std) in (scaler or {}).items():
         cells[k] = f"({cells[k]} - {mean}D) / {std or 1.0}D"
     return F.expr("array(" + ", ".join(f"float({c})" for c in cells) + ")")

@@ -43,6 +43,27 @@ def apply_standardizer(df: DataFrame, stats: DataFrame, columns, keys: tuple[str
     return joined.withColumns(scaled).drop(*[c for c in stats.columns if c not in keys])
 
 
+#: Fixed value: the least variance of a cell, so that a cell that never changes is divided by a small number, not by zero.
+VARIANCE_FLOOR = 1e-12
+
+
+def fit_vector_scaler(df: DataFrame, vector: Column, cells: int, split: str = "train", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Mean and population deviation of each cell of a vector on one split, as ``scaler`` (mean, std): two arrays per key.
+
+    All cells are summed side by side in one aggregation of mergeable central moments, so partitions send one row per key and
+    nothing cancels.  All rows of the split take part; cells that are missing do not.  A split without rows is an error.
+    """
+    rows = df.filter(F.col("split") == split).select(*keys, vector.alias("_v"))
+    cell = [F.element_at("_v", i + 1).cast("double") for i in range(cells)]
+    moments = rows.groupBy(*keys).agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cell)], *[F.var_pop(c).alias(f"_s{i}") for i, c in enumerate(cell)])
+    std = [F.sqrt(F.greatest(F.coalesce(f"_s{i}", F.lit(0.0)), F.lit(VARIANCE_FLOOR))) for i in range(cells)]
+    mean = [F.coalesce(f"_m{i}", F.lit(0.0)) for i in range(cells)]
+    scaler = per_key(moments.select(*keys, F.struct(F.array(*mean).alias("mean"), F.array(*std).alias("std")).alias("scaler")))
+    if scaler.isEmpty():
+        raise ValueError(f"no rows in split {split!r} to fit a scaler on")
+    return scaler
+
+
 def class_weights(df: DataFrame, split: str = "train", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """n / (classes * max(count, 1)) for every class, seen or not."""
     counted = df.filter(F.col("split") == split).groupBy(*keys).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lobwright.functions.scalars import KEYS
@@ -47,6 +47,41 @@ def resplit(df: DataFrame, train: float = 0.6, valid: float = 0.2, purge: int =
     return chronological_split(df.drop(*stale), train, valid, purge, keys)
 
 
+def write_resplit(
+    df: DataFrame, path: str, train: float = 0.6, valid: float = 0.2, purge: int = 50, horizon: str = "label_horizon_events",
+    keys: tuple[str, ...] = KEYS,
+) -> DataFrame:
+    """``resplit`` written to ``path`` and read back; an error, and nothing at ``path``, if it isn't what it must be.
+
+    The pass that writes counts, as observed metrics, the rows and those whose label looks into the next split or beyond it.  The rows
+    must be as many as follow from each key's length; no label may reach over a boundary; no old prediction may be left.
+    """
+    if not 0 < train < 1 or not 0 <= valid < 1 or train + valid >= 1 or purge < 0:
+        raise ValueError(f"no split: train {train}, valid {valid}, purge {purge}")
+    bounds = split_bounds(df, train, valid, keys)
+    want = sequence_length(df, keys).join(bounds, list(keys)).agg(F.sum(
+        F.greatest(F.col("_t") - purge, F.lit(0)) + F.greatest(F.col("_v") - purge - F.col("_t"), F.lit(0)) + F.col("n_events") - F.col("_v"))).first()[0]
+    again = resplit(df, train, valid, purge, keys).join(bounds, list(keys))
+    limit = F.when(F.col("split") == "train", F.col("_t")).when(F.col("split") == "valid", F.col("_v"))
+    seen = Observation()
+    counted = again.observe(seen, F.count("*").alias("rows"), F.count_if(F.col("event_idx") + F.col(horizon) >= limit).alias("reaching"))
+    side = f"{path.rstrip('/')}_unchecked"
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    counted.drop("_t", "_v").write.mode("overwrite").parquet(side)
+    left = [c for c in PREDICTION_COLUMNS if c in again.columns]
+    wrong = [f"{seen.get['rows']} rows, not {want}"] * (seen.get["rows"] != (want or 0))
+    wrong += [f"{seen.get['reaching']} labels reach into the next split"] * (seen.get["reaching"] > 0) + [f"old predictions {left}"] * bool(left)
+    if wrong:
+        fs.delete(place(side), True)
+        raise ValueError("re-split: " + "; ".join(wrong))
+    fs.delete(place(path), True)
+    if not fs.rename(place(side), place(path)):
+        raise OSError(f"cannot rename {side} to {path}")
+    return spark.read.schema(again.drop("_t", "_v").schema).parquet(path)
+
+
 def regime_held_out(df: DataFrame, regime: str) -> DataFrame:
     return df.withColumn("split", F.when(F.col("regime") == regime, "test").otherwise("train"))
 

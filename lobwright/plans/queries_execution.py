@@ -14,7 +14,7 @@ from lobwright.operators import stress as G
 from lobwright.operators import tune as T
 from lobwright.plans import oracle as O
 from lobwright.plans.chain import EXECUTION, decided, scored, split_rows, test_trades, tuned
-from lobwright.plans.queries_features import _SEVEN, small_chain
+from lobwright.plans.queries_features import _SEVEN, _VECTOR_SQL, small_chain
 from lobwright.plans.registry import query
 from lobwright.sources.stages import stage
 
@@ -34,6 +34,30 @@ def _(spark, sf):
     return M.apply_standardizer(d, M.fit_standardizer(d, _STD), _STD)
 
 
+_CELLS_SQL = f"select *, {_VECTOR_SQL} as v from scored"
+_SCALER = {
+    "cell_rows": _CELLS_SQL,
+    "cell_fit": """select symbol, i, avg(v[i]::double) as m, sqrt(greatest(var_pop(v[i]::double), 1e-12)) as s
+                   from (select symbol, v, unnest(range(1, 41)) as i from cell_rows where split = 'train') group by 1, 2""",
+    "cell_scaled": """select symbol, event_idx, i, ((v[i]::double - m) / s)::float as z
+                      from (select symbol, event_idx, v, unnest(range(1, 41)) as i from cell_rows) join cell_fit using (symbol, i)""",
+}
+
+
+@query("m1b_vector_scaler", ID + "n_cells:i first:r4 second:r4 last:r4 total:r2",
+       """select symbol, event_idx, count(*) as n_cells, max(z) filter (where i = 1) as first, max(z) filter (where i = 2) as second,
+                 max(z) filter (where i = 40) as last, sum(z::double) as total from cell_scaled group by 1, 2""", extra=_SCALER)
+def _(spark, sf):
+    """The 40 cells of every row's vector, scaled by what the train rows of its symbol say."""
+    from lobwright.operators.features import level_vector
+
+    d = scored(spark, sf)
+    scaler = M.fit_vector_scaler(d, level_vector(10), 40)
+    d = d.join(scaler, ["exchange", "symbol"]).withColumn("v", level_vector(10, "scaler"))
+    return d.selectExpr("symbol", "event_idx", "size(v) as n_cells", "v[0] as first", "v[1] as second", "v[39] as last",
+                        "aggregate(v, 0D, (s, x) -> s + x) as total")
+
+
 @query("m2_class_weights", "symbol:s label:s n_rows:i class_weight:r8",
        """select symbol, label, count(*) as n_rows, sum(count(*)) over (partition by symbol) / (3e0 * count(*)) as class_weight
           from scored where split = 'train' group by 1, 2""")

@@ -506,6 +506,24 @@ def _(spark, sf):
     ).withColumn("n_prediction_columns", F.lit(n))
 
 
+@query("d2b_checked_resplit", "symbol:s split:s n_rows:i first_idx:i last_idx:i n_reaching:i",
+       """select symbol, split, count(*) as n_rows, min(event_idx) as first_idx, max(event_idx) as last_idx, 0 as n_reaching from again group by 1, 2""",
+       extra={"reindexed": f"select * exclude (event_idx, split), row_number() over ({O.W}) - 1 as event_idx from scored",
+              "again": O.split("reindexed", 0.5, 0.3, 60)})
+def _(spark, sf):
+    """Written with its checks; what was written is read back and looked at once more by the bounds it has itself."""
+    from lobwright.operators.index import event_index
+    from lobwright.sources.stages import new_path
+
+    d = S.write_resplit(event_index(scored(spark, sf).drop("event_idx")), new_path(spark, "resplit"), 0.5, 0.3, 60)
+    by = d.groupBy("symbol", "split").agg(
+        F.count("*").alias("n_rows"), F.min("event_idx").alias("first_idx"), F.max("event_idx").alias("last_idx"),
+        F.max(F.col("event_idx") + F.col("label_horizon_events")).alias("_reach"))
+    after = by.select("symbol", F.when(F.col("split") == "valid", "train").when(F.col("split") == "test", "valid").alias("split"),
+                      F.col("first_idx").alias("_next"))
+    return by.join(after, ["symbol", "split"], "left").withColumn("n_reaching", F.coalesce((F.col("_reach") >= F.col("_next")).cast("int"), F.lit(0)))
+
+
 @query("d3_split_manifest", "symbol:s split:s n_rows:i start_us:i end_us:i",
        "select symbol, split, count(*) as n_rows, min(event_us) as start_us, max(event_us) as end_us from seven group by 1, 2",
        extra=_SEVEN)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lobwright.operators import acceptance as A
 from lobwright.operators import evaluate as K
 from lobwright.operators import fills as B
 from lobwright.operators import ledger as J
 from lobwright.operators import resample as H
+from lobwright.operators import stress as G
 from lobwright.operators.provenance import reads, split_names, transfer_protocol, with_origin
 from lobwright.operators.splits import asset_pairs
 from lobwright.operators.tune import POLICIES
 from lobwright.plans.chain import scored, test_trades, tuned
-from lobwright.plans.queries_execution import _EASY, _STRESS, curves, easy_trades
+from lobwright.plans.queries_execution import _EASY, _SPREAD, _STRESS, _spread, curves, easy_trades
 from lobwright.plans.registry import query
 from lobwright.sources.stages import cut, per_key, stage
 
@@ -221,6 +223,26 @@ def _(spark, sf):
     return K.balance(scored(spark, sf), "regime")
 
 
+def _direction_sql(value: str) -> str:
+    return f"""
+      select 'asset_heldout_target_test' as scope, a.symbol || '>' || t.symbol as direction, t.symbol, split, {value}, n_rows, share
+      from (select symbol, split, {value}, count(*) as n_rows, count(*) / sum(count(*)) over (partition by symbol, split) as share
+            from scored where split = 'test' group by symbol, split, {value}) t
+      join (select distinct symbol from scored) a on a.symbol <> t.symbol"""
+
+
+@query("k6c_label_balance_by_direction", "scope:s direction:s symbol:s split:s label:s n_rows:i share:r8", _direction_sql("label"))
+def _(spark, sf):
+    d = scored(spark, sf)
+    return K.balance_by_direction(d, "label", asset_pairs(d))
+
+
+@query("k6d_regime_balance_by_direction", "scope:s direction:s symbol:s split:s regime:s n_rows:i share:r8", _direction_sql("regime"))
+def _(spark, sf):
+    d = scored(spark, sf)
+    return K.balance_by_direction(d, "regime", asset_pairs(d))
+
+
 def _side_sql(split: str, prefix: str) -> str:
     return f"""
       select symbol, {", ".join(f"avg((label = '{c}')::int) as {prefix}_{c.lower()}_share" for c in K.LABELS)},
@@ -471,3 +493,85 @@ def _(spark, sf):
 def _(spark, sf):
     test = B.summarize(test_trades(spark, sf), ["symbol", "policy"])
     return J.final_selection(tuned(spark, sf).filter("selected"), test, ["symbol"])
+
+
+# ---------------------------------------------------------------- acceptance bar
+
+#: Each bar as (least spread, least axes, least resamples): the fixed ones, and ones that nothing meets.
+_BARS = {"fixed": (A.LEAST_SPREAD, A.LEAST_AXES, A.LEAST_RESAMPLES), "beyond": (2.0, 99, 10**6)}
+_CLAIMS = {"regimes_matter": ("regime_variation", "worst_regime", "regime_gap"), "costs_matter": ("edge_lost_to_costs", "stress_degradation", "stress_axes"),
+           "gate_gains": ("interval_support",)}
+
+
+def _bar_sql(bar: str, spread: float, axes: int, resamples: int) -> str:
+    won = "case when count(*) filter (where comparable) = 0 then 'PARTIAL' when bool_or(comparable and {w}) then 'PASS' else '{e}' end"
+    parts = {
+        "regime_variation": f"""select symbol, case when count(*) >= 3 and round(max(macro_f1) - min(macro_f1), 9) >= {spread!r} then 'PASS' else 'PARTIAL' end as status,
+                                count(*) as n, round(max(macro_f1) - min(macro_f1), 9) as figure from ({_metrics_sql('symbol, regime', _TEST)}) group by symbol""",
+        "edge_lost_to_costs": """select symbol, case when bool_or(lost) then 'PASS' else 'PARTIAL' end as status, count(*) as n, count(*) filter (where lost)::double as figure
+              from (select symbol, round(net, 9) < 0 and (not tuned or round(gross, 9) > 0) as lost
+                    from (select symbol, policy, true as tuned, sum(gross_pnl) as gross, sum(net_pnl) as net from test_trades group by 1, 2
+                          union all select symbol, policy, false, sum(gross_pnl), sum(net_pnl) from easy_trades group by 1, 2)) group by 1""",
+        "stress_degradation": """select symbol, case when bool_or(degraded) then 'PASS' else 'PARTIAL' end as status, count(*) as n, count(*) filter (where degraded)::double as figure
+              from (select symbol, policy, count(*) >= 2 and arg_max(net_pnl, stress_level) < arg_min(net_pnl, stress_level) as degraded
+                    from curves where stress_axis = 'fee_bps' group by 1, 2) group by 1""",
+        **{name: f"""select symbol, {won.format(w=w, e=e)} as status, count(*) filter (where comparable) as n, count(*) filter (where comparable and {w})::double as figure
+                     from gate_compared group by 1""" for name, w, e in (("worst_regime", "better", "FAIL"), ("regime_gap", "closer", "PARTIAL"))},
+        "stress_axes": f"""select symbol, case when count(distinct stress_axis) >= {axes} then 'PASS' else 'PARTIAL' end as status, count(*) as n,
+                                  count(distinct stress_axis)::double as figure from curves group by 1""",
+        "interval_support": f"""select symbol, case when not bool_and(n_days > 1) or 1000 < {resamples} then 'FAIL' when bool_and(round(net_ci_low, 9) > 0) then 'PASS' else 'PARTIAL' end
+                                as status, count(*) as n, count(*) filter (where round(net_ci_low, 9) > 0)::double as figure from ({_CI_DIFF}) group by 1""",
+    }
+    found = " union all ".join(f"select '{k}' as criterion, symbol, status, n, figure from ({v})" for k, v in parts.items())
+    names = ", ".join(f"('C{i + 1:02d}', '{c}')" for i, c in enumerate(A.CRITERIA))
+    return f"""select '{bar}' as bar, g.symbol, c.criterion_id, c.criterion, coalesce(f.status, 'FAIL') as status, coalesce(f.n, 0) as n, coalesce(f.figure, 0) as figure
+               from (select distinct symbol from scored) g cross join (values {names}) c(criterion_id, criterion)
+               left join ({found}) f on f.symbol = g.symbol and f.criterion = c.criterion"""
+
+
+_BAR_BLOCKS = {
+    **_STRESS, **_DAILY,
+    "gate_compared": f"""
+      select symbol, gw is not null and bw is not null as comparable, coalesce(round(gw, 9) >= round(bw, 9), false) as better,
+             coalesce(round(gg, 9) <= round(bg, 9), false) as closer
+      from (select symbol, max(worst_regime_return) filter (where policy = 'risk_gate') as gw,
+                   max(worst_regime_return) filter (where policy <> 'risk_gate') as bw,
+                   min(regime_gap) filter (where policy = 'risk_gate') as gg, min(regime_gap) filter (where policy <> 'risk_gate') as bg
+            from ({_SPREAD}) group by 1)""",
+    "bars": " union all ".join(_bar_sql(name, *values) for name, values in _BARS.items()),
+}
+
+
+def _acceptance(spark, sf):
+    rows, by = scored(spark, sf), ["symbol"]
+    metrics = K.metrics_from_counts(K.confusion_counts(rows.filter("split = 'test'"), ["symbol", "regime"]), ["symbol", "regime"])
+    shared = {
+        "edge_lost_to_costs": A.edge_lost(B.summarize(test_trades(spark, sf), ["symbol", "policy"]), B.summarize(easy_trades(spark, sf), ["symbol", "policy"]), by),
+        "stress_degradation": A.stress_degradation(G.degradation(curves(spark, sf).filter("stress_axis = 'fee_bps'"), ["symbol", "policy"]), by),
+    }
+    wins = cut(G.gate_wins(_spread(spark, sf), by), "gate_wins")
+    shared["worst_regime"] = A.gate_status(wins, by, "wins_worst_regime", "FAIL")
+    shared["regime_gap"] = A.gate_status(wins, by, "wins_regime_gap", "PARTIAL")
+    differences = intervals(spark, sf).filter("row_type = 'difference'").selectExpr("symbol", "n_days", "1000 as n_resamples", "net_ci_low as low")
+    out = None
+    for name, (spread, axes, resamples) in _BARS.items():
+        bar = A.acceptance_bar(rows, {
+            **shared, "regime_variation": A.regime_variation(metrics, by, least_spread=spread), "stress_axes": A.stress_axes(curves(spark, sf), by, axes),
+            "interval_support": A.interval_support(differences, by, resamples)}, by).withColumn("bar", F.lit(name))
+        out = bar if out is None else out.unionByName(bar)
+    return out
+
+
+@query("g5c_acceptance_bar", "bar:s symbol:s criterion_id:s criterion:s status:s n:i figure:r6", "select * from bars", extra=_BAR_BLOCKS)
+def _(spark, sf):
+    """All criteria of every symbol against the fixed bars and against bars that nothing meets."""
+    return _acceptance(spark, sf)
+
+
+@query("j11b_claim_status", "bar:s symbol:s claim:s claim_status:s n_criteria:i n_passed:i",
+       f"""select bar, symbol, claim, case when bool_or(status = 'FAIL') then 'NOT_SUPPORTED' when bool_or(status = 'PARTIAL') then 'PARTIALLY_SUPPORTED'
+                  else 'SUPPORTED' end as claim_status, count(*) as n_criteria, count(*) filter (where status = 'PASS') as n_passed
+           from bars join (values {", ".join(f"('{k}', '{c}')" for k, v in _CLAIMS.items() for c in v)}) v(claim, criterion) using (criterion) group by 1, 2, 3""",
+       extra=_BAR_BLOCKS)
+def _(spark, sf):
+    return A.claim_status(_acceptance(spark, sf), _CLAIMS, ["bar", "symbol"])
