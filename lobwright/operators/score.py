@@ -7,9 +7,11 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lobwright.functions.scalars import KEYS
+from lobwright.functions.scalars import KEYS, no_nan
 from lobwright.operators.labels import LABELS
+from lobwright.operators.quantiles import group_quantiles
 from lobwright.sources.stages import cut, per_key
 
 # The features the forecasting models read.
@@ -166,31 +168,78 @@ def label_number() -> Column:
     return (F.array_position(F.array(*[F.lit(c) for c in LABELS]), F.col("label")) - 1).cast("double")
 
 
+def fit_medians(df: DataFrame, features=MODEL_FEATURES, split: str = "train") -> dict[str, float]:
+    """The exact median of each feature over a split, of the values that are there; 0 for a feature without any."""
+    rows = df.filter(F.col("split") == split).select(F.lit(1).alias("_all"), *[no_nan(F.col(c).cast("double")).alias(c) for c in features])
+    got = group_quantiles(rows, ["_all"], {c: (F.col(c), 0.5) for c in features}).first()
+    return {c: 0.0 if got is None or got[c] is None else got[c] for c in features}
+
+
+def imputer(medians: dict[str, float]):
+    """A pipeline stage that puts the training medians where a feature is missing, NaN or infinite; it is part of the fitted model."""
+    from pyspark.ml.feature import SQLTransformer
+
+    def cell(c: str, median: float) -> str:
+        value = f"double(`{c}`)"
+        return f"if(abs(nanvl({value}, double('Infinity'))) < double('Infinity'), {value}, double('{median!r}')) as `_f_{c}`"
+
+    return SQLTransformer(statement=f"select *, {', '.join(cell(*m) for m in medians.items())} from __THIS__")
+
+
+def label_counts(df: DataFrame, split: str = "train") -> dict[str, int]:
+    """Rows of each class in a split; a split without a labelled row is an error."""
+    counts = {r["label"]: r["count"] for r in df.filter((F.col("split") == split) & F.col("label").isin(*LABELS)).groupBy("label").count().collect()}
+    if not counts:
+        raise ValueError(f"no labelled rows in split {split!r} to train on")
+    return counts
+
+
+def balanced_weights(counts: dict[str, int]) -> dict[str, float]:
+    """Rows over classes times the rows of a class, as if a class that isn't there had one."""
+    return {c: sum(counts.values()) / (len(LABELS) * max(counts.get(c, 0), 1)) for c in LABELS}
+
+
+def _single_class(df: DataFrame, label: str, medians: dict[str, float]):
+    """A model that gives every row the one class there is to learn from."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer
+
+    sure = ", ".join("1D" if c == label else "0D" for c in LABELS)
+    return Pipeline(stages=[imputer(medians), SQLTransformer(statement=f"select *, array({sure}) as probability from __THIS__")]).fit(df)
+
+
 def train_linear(df: DataFrame, features=MODEL_FEATURES, split: str = "train", max_iter: int = 20, reg: float = 1e-4):
-    """Balanced multinomial regression on one split.  ``df`` holds one market or many; the model sees them as one."""
+    """Balanced multinomial regression on one split.  ``df`` holds one market or many; the model sees them as one.
+
+    Missing features take the median of the split.  A split of one class gives a model that always answers with it.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
 
-    train = _assembled(df.filter(F.col("split") == split), features).withColumn("_y", label_number())
-    counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    total = sum(counts.values())
+    counts, medians = label_counts(df, split), fit_medians(df, features, split)
+    if len(counts) == 1:
+        return _single_class(df, *counts, medians)
+    train = df.filter((F.col("split") == split) & F.col("label").isin(*LABELS)).withColumn("_y", label_number())
     weight = F.lit(1.0)
-    for c in LABELS:
-        weight = F.when(F.col("label") == c, total / (len(LABELS) * max(counts.get(c, 0), 1))).otherwise(weight)
+    for c, w in balanced_weights(counts).items():
+        weight = F.when(F.col("label") == c, w).otherwise(weight)
     lr = LogisticRegression(
         featuresCol="features", labelCol="_y", weightCol="_w", family="multinomial", maxIter=max_iter, regParam=reg
     )
-    return Pipeline(stages=[*_feature_stages(features), lr]).fit(train.withColumn("_w", weight))
+    return Pipeline(stages=[imputer(medians), *_feature_stages(features), lr]).fit(train.withColumn("_w", weight))
 
 
 def train_trees(df: DataFrame, features=MODEL_FEATURES, split: str = "train", trees: int = 20, depth: int = 5, seed: int = 7):
-    """Tree ensemble over the three classes."""
+    """Tree ensemble over the three classes; missing features and a split of one class as in ``train_linear``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
 
-    train = _assembled(df.filter(F.col("split") == split), features).withColumn("_y", label_number())
+    counts, medians = label_counts(df, split), fit_medians(df, features, split)
+    if len(counts) == 1:
+        return _single_class(df, *counts, medians)
+    train = df.filter((F.col("split") == split) & F.col("label").isin(*LABELS)).withColumn("_y", label_number())
     rf = RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[*_feature_stages(features), rf]).fit(train)
+    return Pipeline(stages=[imputer(medians), *_feature_stages(features), rf]).fit(train)
 
 
 def train_boosted(df: DataFrame, features=MODEL_FEATURES, split: str = "train", rounds: int = 150, depth: int = 5,
@@ -281,8 +330,9 @@ def score_model(df: DataFrame, model, features=MODEL_FEATURES) -> DataFrame:
     """Probabilities and predicted label of a fitted pipeline."""
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(_assembled(df, features))
-    p = vector_to_array(F.col("probability"))
+    out = model.transform(df)
+    p = F.col("probability")
+    p = p if isinstance(out.schema["probability"].dataType, T.ArrayType) else vector_to_array(p)
     n = {f"prob_{c.lower()}": F.coalesce(F.get(p, F.lit(k)), F.lit(0.0)) for k, c in enumerate(LABELS)}
     out = out.withColumns(n).withColumn("pred_label", predicted_label())
     return out.drop(*[f"_f_{c}" for c in features], "_raw", "features", "rawPrediction", "probability", "prediction")

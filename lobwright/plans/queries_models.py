@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lobwright.operators import decide as D
 from lobwright.operators import evaluate as K
 from lobwright.operators import score as M
-from lobwright.operators.cluster import alignment, residual_clusters
+from lobwright.operators.cluster import RESIDUAL, ROUNDS, alignment, residual_clusters, residual_mixture
 from lobwright.operators.fills import Execution
 from lobwright.operators.labels import class_return_means, label_columns
 from lobwright.operators.regimes import apply_regimes, fit_thresholds
@@ -36,6 +36,29 @@ def _(spark, sf):
     return _quality(M.score_model(rows, M.train_linear(rows)), "linear")
 
 
+_GAPS = "select label, " + ", ".join(f"case when event_idx % 11 = {i} then null else {c} end as {c}" for i, c in enumerate(M.MODEL_FEATURES[:10])) \
+    + ", " + ", ".join(M.MODEL_FEATURES[10:]) + " from scored where split = 'train'"
+
+
+@query("m3b_training_preparation", "kind:s name:s value:r8",
+       "select 'weight' as kind, label as name, (select count(*) from gaps) / (3e0 * count(*)) as value from gaps group by label union all "
+       + " union all ".join(
+           f"select unnest(['median', 'mean', 'std']), '{c}', unnest([m, avg(coalesce({c}, m)), stddev_samp(coalesce({c}, m))]) "
+           f"from gaps cross join (select median({c}) as m from gaps) group by m" for c in M.MODEL_FEATURES),
+       extra={"gaps": _GAPS})
+def _(spark, sf):
+    """What the linear model and the trees are trained with: class weights, medians, and the scaler after them, on rows with gaps."""
+    rows = scored(spark, sf).withColumns({c: F.when(F.col("event_idx") % 11 != i, F.col(c)) for i, c in enumerate(M.MODEL_FEATURES[:10])})
+    medians = M.fit_medians(rows)
+    filled = M.imputer(medians).transform(rows.filter("split = 'train'"))
+    names = M.MODEL_FEATURES
+    fit = filled.agg(*[F.avg(f"_f_{c}").alias(f"m_{c}") for c in names], *[F.stddev_samp(f"_f_{c}").alias(f"s_{c}") for c in names]).first()
+    out = [("weight", k, v) for k, v in M.balanced_weights(M.label_counts(rows)).items()]
+    for c in names:
+        out += [("median", c, medians[c]), ("mean", c, fit[f"m_{c}"]), ("std", c, fit[f"s_{c}"])]
+    return spark.createDataFrame(out, "kind string, name string, value double")
+
+
 @query("m4_tree_training", _QUALITY)
 def _(spark, sf):
     rows = scored(spark, sf).drop("prob_down", "prob_flat", "prob_up", "pred_label")
@@ -162,6 +185,51 @@ def _(spark, sf):
     return alignment(cut(residual_clusters(regimed(spark, sf), columns).select("regime", "kmeans_cluster", "gmm_cluster"), "clusters"))
 
 
+_CLUSTERED = ("rel_spread", "total_depth_10", "vol_score", "liquidity_score", "stress_score", "directional_toxicity_score")
+
+
+def _mixture_blocks(d: int = len(_CLUSTERED), k: int = 3) -> dict[str, str]:
+    """The mixture in SQL: a one-row table of parameters for each round, made from the rows and the table before it."""
+    z = range(d)
+    blocks = {
+        "mix_raw": "select symbol, event_idx, regime, " + ", ".join(f"coalesce({c}, 0e0)::double as x{i}" for i, c in enumerate(_CLUSTERED))
+        + f" from reg where regime in ({', '.join(repr(r) for r in RESIDUAL)})",
+        "mix_fit": "select " + ", ".join(f"avg(x{i}) as m{i}, stddev_pop(x{i}) as s{i}" for i in z) + " from mix_raw",
+        "mix_z": "select symbol, event_idx, regime, " + ", ".join(f"(x{i} - m{i}) / case when s{i} = 0 then 1e0 else s{i} end as z{i}" for i in z) + " from mix_raw cross join mix_fit",
+        "mix_p0": "select " + ", ".join(f"{1 / k!r}::double as w{j}, " + ", ".join(f"{j - (k - 1) / 2!r}::double as m{j}_{i}, 1e0 as v{j}_{i}" for i in z) for j in range(k)),
+    }
+
+    def logs(p: str) -> str:
+        return "select symbol, event_idx, regime, " + ", ".join(f"z{i}" for i in z) + "".join(
+            f", ln(w{j}) - " + " - ".join(f"0.5e0 * (ln(2 * pi() * v{j}_{i}) + (z{i} - m{j}_{i}) ** 2 / v{j}_{i})" for i in z) + f" as l{j}" for j in range(k)
+        ) + f" from mix_z cross join {p}"
+
+    total = " + ".join(f"exp(l{j} - greatest(l0, l1, l2))" for j in range(k))
+    for r in range(1, ROUNDS + 1):
+        shares = f"select *, {', '.join(f'exp(l{j} - greatest(l0, l1, l2)) / ({total}) as r{j}' for j in range(k))} from ({logs(f'mix_p{r - 1}')})"
+        blocks[f"mix_p{r}"] = "select " + ", ".join(
+            f"sum(r{j}) / count(*) as w{j}, " + ", ".join(
+                f"sum(r{j} * z{i}) / sum(r{j}) as m{j}_{i}, greatest(sum(r{j} * z{i} * z{i}) / sum(r{j}) - (sum(r{j} * z{i}) / sum(r{j})) ** 2, 0e0) + 1e-6 as v{j}_{i}"
+                for i in z) for j in range(k)) + f" from ({shares})"
+    blocks["mix_best"] = f"""
+      select regime, case when round(l0, 9) >= round(l1, 9) and round(l0, 9) >= round(l2, 9) then 0 when round(l1, 9) >= round(l2, 9) then 1 else 2 end as cluster
+      from ({logs(f'mix_p{ROUNDS}')})"""
+    return blocks
+
+
+@query("r10b_residual_mixture", "regime:s cluster:i n_rows:i share_within_regime:r6 share_within_cluster:r6 weight:r6 first_mean:r5 last_variance:r5",
+       f"""select regime, cluster, n_rows, n_rows / sum(n_rows) over (partition by regime) as share_within_regime,
+                  n_rows / sum(n_rows) over (partition by cluster) as share_within_cluster, weight, first_mean, last_variance
+           from (select regime, cluster, count(*)::double as n_rows from mix_best group by 1, 2)
+           join (select 0 as cluster, w0 as weight, m0_0 as first_mean, v0_5 as last_variance from mix_p{ROUNDS} union all
+                 select 1, w1, m1_0, v1_5 from mix_p{ROUNDS} union all select 2, w2, m2_0, v2_5 from mix_p{ROUNDS}) using (cluster)""", extra=_mixture_blocks())
+def _(spark, sf):
+    """Diagonal mixture of all residual rows: how its clusters line up with the regimes, and its components."""
+    placed, mixture = residual_mixture(regimed(spark, sf), _CLUSTERED)
+    parts = spark.createDataFrame([(j, w, m[0], v[-1]) for j, (w, m, v) in enumerate(mixture)], "cluster long, weight double, first_mean double, last_variance double")
+    return alignment(placed, ("gmm_cluster",)).join(parts, "cluster")
+
+
 # ---------------------------------------------------------------- streaming
 
 SLICES = 4

@@ -79,3 +79,24 @@ def test_readiness_is_counted(spark):
         got = overfitting_readiness(tried, spark.createDataFrame(kept, kind)).first()
         assert got["status"].startswith("INFEASIBLE") and got["n_with_daily_returns"] == (1 if kept else 0)
     assert overfitting_readiness(tried.limit(0), spark.createDataFrame(days, kind)).first()["status"].startswith("INFEASIBLE")
+
+
+def test_one_class_gaps_and_no_rows(spark):
+    import pytest
+
+    from lobwright.operators import score as M
+
+    rows = [("train", "UP" if i % 3 else "DOWN", float(i % 7) if i % 5 else None, float("nan") if i % 4 == 0 else float(i)) for i in range(60)]
+    d = spark.createDataFrame(rows + [("test", "UP", None, None)], "split string, label string, a double, b double")
+    a, b = sorted(r[2] for r in rows if r[2] is not None), sorted(r[3] for r in rows if r[3] == r[3])
+    mid = lambda v: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+    assert M.fit_medians(d, ("a", "b")) == {"a": mid(a), "b": mid(b)}
+    filled = M.imputer(M.fit_medians(d, ("a", "b"))).transform(d.filter("split = 'test'")).first()
+    assert (filled._f_a, filled._f_b) == (mid(a), mid(b))
+    scored = M.score_model(d, M.train_linear(d, ("a", "b")), ("a", "b"))
+    assert scored.filter("prob_down is null").count() == 0 and scored.count() == 61
+    for train in (M.train_linear, M.train_trees):
+        one = M.score_model(d, train(d.filter("split = 'test' or label = 'UP'"), ("a", "b")), ("a", "b"))
+        assert one.select("pred_label", "prob_up", "prob_down").distinct().collect() == [("UP", 1.0, 0.0)] and one.columns == scored.columns
+        with pytest.raises(ValueError):
+            train(d.filter("split = 'test'"), ("a", "b"))
