@@ -137,19 +137,21 @@ def compact(df: DataFrame) -> DataFrame:
 def order_flow(df: DataFrame, win: ChunkSql, levels: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Order-flow imbalance, accumulated over levels.  The first row of a symbol has none."""
     top = max(levels)
-    d = add(df, {f"_prev_{s}s": win.lag(f"slice({s}s, 1, {top})") for s in SIDES})
+    lv = Levels(df.columns)
+    if lv.wide:
+        d = add(df, {f"_prev_{s}_{i}_{f}": win.lag(f"{s}_{i}_{f}") for s in SIDES for i in range(top) for f in ("price", "size")})
+    else:
+        d = add(df, {f"_prev_{s}s": win.lag(f"slice({s}s, 1, {top})") for s in SIDES})
 
     def change(side: str, i: int) -> str:
-        now, size, was = px(side, i), sz(side, i), f"_prev_{side}s[{i}]"
+        now, size = lv.px(side, i), lv.sz(side, i)
+        price, was = f"_prev_{now}", f"_prev_{size}"
         better = ">" if side == "bid" else "<"
-        return (
-            f"case when {now} {better} {was}.price then {size} "
-            f"when {now} = {was}.price then {size} - {was}.size else -{was}.size end"
-        )
+        return f"case when {now} {better} {price} then {size} when {now} = {price} then {size} - {was} else -{was} end"
 
     d = add(d, {f"ofi_level_{i + 1}": f"coalesce(({change('bid', i)}) - ({change('ask', i)}), 0D)" for i in range(top)})
     sums = {f"ofi_{k}": " + ".join(f"ofi_level_{i + 1}" for i in range(k)) for k in levels}
-    return add(d, sums).drop("_prev_bids", "_prev_asks")
+    return add(d, sums).drop(*[c for c in d.columns if c.startswith("_prev_")])
 
 
 def return_features(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +33,9 @@ class Execution:
     time_from: str = "entry"
     last_row: bool = False
     max_gap_us: int | None = None
+    # A book whose levels follow from a few columns: these columns, and what adds ``bids`` and ``asks`` to rows that hold them.
+    levels_from: tuple[str, ...] = ("bids", "asks")
+    levels: Callable[[DataFrame], DataFrame] | None = None
 
 
 def valid_top() -> str:
@@ -81,7 +85,8 @@ def round_trips(
     ``signals``: keys, ``by``, ``event_idx``, ``action`` (not 0), ``carry``; it may override ``latency``,
     ``spread_multiplier`` and ``depth_multiplier`` per row.  ``book``: the rows replayed, with ``event_idx``,
     ``event_us``, ``regime``, ``mid_price``, ``bids``, ``asks``.  The book is met once, on (symbol, row): each signal asks
-    for two rows, and when signals are few Spark broadcasts them and the book is not shuffled.
+    for two rows, and when signals are few Spark broadcasts them and the book is not shuffled.  With ``cfg.levels`` the book is
+    met without its levels, and only rows that are filled get them.
     """
     keys, by, carry = list(keys), list(by), list(carry)
 
@@ -99,15 +104,14 @@ def round_trips(
         *keys, *by, F.col("event_idx").alias("signal_index"), "action", *carry,
         setting("spread_multiplier").alias("_sm"), setting("depth_multiplier").alias("_dm"), leg.alias("_l"),
     ).select(*keys, *by, "signal_index", "action", *carry, "_sm", "_dm", "_l.leg", F.col("_l.at").alias("event_idx"), "_l._side")
-    rows = book.select(*keys, "event_idx", "event_us", "regime", "mid_price", "bids", "asks")
+    rows = book.select(*keys, "event_idx", "event_us", "regime", "mid_price", *cfg.levels_from)
     legs = cut(legs, "legs")  # its real size decides whether the book has to be shuffled
     last = per_key(book.groupBy(*keys).agg(F.max("event_idx").alias("_last")))
     fits = F.col("event_idx") <= F.col("_last") if cfg.last_row else F.col("event_idx") < F.col("_last")
     fill = sweep("_side", cfg.notional, "_sm", "_dm", cfg.partial_fill)
+    met = legs.join(rows, [*keys, "event_idx"]).join(last, keys).filter(fits)
     filled = (
-        legs.join(rows, [*keys, "event_idx"])
-        .join(last, keys)
-        .filter(fits)
+        (cfg.levels(met) if cfg.levels else met)
         .select(*keys, *by, "signal_index", "action", *carry, "leg", "event_idx", "event_us", "regime", fill.alias("_f"))
         .filter(F.col("_f.fill_ratio") >= cfg.min_fill_ratio)
     )

@@ -27,6 +27,7 @@ from lobwright.operators.labels import add_labels, class_return_means
 from lobwright.plans import oracle as O
 from lobwright.plans.chain import indexed_book, labelled, regimed, scored
 from lobwright.plans.registry import query
+from lobwright.sources.book import QUOTE_COLUMNS
 from lobwright.sources.stages import cut
 
 ID = "symbol:s event_idx:i "
@@ -365,10 +366,17 @@ _SEVEN = {
 }
 
 
+_SMALL_COLUMNS = (
+    "exchange", "symbol", "event_us", "event_idx", "split", "label", "mid_price", "rel_spread", "depth_imbalance_10", "total_depth_10",
+    "realized_vol_20", "realized_vol_100", "momentum_score", "spread_z_100", "depth_z_100", "future_ret_h", "cost_threshold_t",
+    "label_horizon_events", "label_fee_bps", *QUOTE_COLUMNS,
+)
+
+
 def small_chain(spark, sf):
     """Reduced features, labels, split and the seven regimes."""
     d = add_labels(small_feature_set(indexed_book(spark, sf)))
-    return R.seven_regimes(cut(S.chronological_split(d), "small"))
+    return R.seven_regimes(cut(S.chronological_split(d).select(*_SMALL_COLUMNS), "small"))
 
 
 @query("r4_seven_regimes", ID + "split:s regime:s", "select * from seven", extra=_SEVEN)
@@ -499,7 +507,7 @@ def _(spark, sf):
 def _(spark, sf):
     from lobwright.operators.index import event_index
 
-    d = S.resplit(event_index(scored(spark, sf).drop("event_idx")), 0.5, 0.3, 20)
+    d = S.resplit(event_index(scored(spark, sf).drop("event_idx", "bids", "asks")), 0.5, 0.3, 20)
     n = len([c for c in S.PREDICTION_COLUMNS if c in d.columns])
     return d.groupBy("symbol", "split").agg(
         F.count("*").alias("n_rows"), F.min("event_idx").alias("first_idx"), F.max("event_idx").alias("last_idx")
@@ -515,7 +523,7 @@ def _(spark, sf):
     from lobwright.operators.index import event_index
     from lobwright.sources.stages import new_path
 
-    d = S.write_resplit(event_index(scored(spark, sf).drop("event_idx")), new_path(spark, "resplit"), 0.5, 0.3, 60)
+    d = S.write_resplit(event_index(scored(spark, sf).drop("event_idx", "bids", "asks")), new_path(spark, "resplit"), 0.5, 0.3, 60)
     by = d.groupBy("symbol", "split").agg(
         F.count("*").alias("n_rows"), F.min("event_idx").alias("first_idx"), F.max("event_idx").alias("last_idx"),
         F.max(F.col("event_idx") + F.col("label_horizon_events")).alias("_reach"))

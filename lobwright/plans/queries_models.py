@@ -10,13 +10,12 @@ from lobwright.operators import decide as D
 from lobwright.operators import evaluate as K
 from lobwright.operators import score as M
 from lobwright.operators.cluster import RESIDUAL, ROUNDS, alignment, residual_clusters, residual_mixture
-from lobwright.operators.fills import Execution
 from lobwright.operators.labels import class_return_means, label_columns
 from lobwright.operators.regimes import apply_regimes, fit_thresholds
 from lobwright.operators.splits import asset_pairs
 from lobwright.operators.tune import evaluate_grid, policy_grid, select_threshold, winner_grid, winner_trades
 from lobwright.plans import oracle as O
-from lobwright.plans.chain import labelled, regimed, scored, tuned
+from lobwright.plans.chain import EXECUTION, labelled, regimed, scored, tuned
 from lobwright.plans.registry import query
 from lobwright.sources.book import events_book
 from lobwright.sources.stages import checkpoint_root, cut, per_key, stage
@@ -116,9 +115,9 @@ def _(spark, sf):
 
     winners = per_key(_moved(winner_grid(tuned(spark, sf)), pairs, "train_symbol"))
     means = per_key(_moved(class_return_means(rows), pairs, "train_symbol"))
-    target = _moved(rows.filter("split = 'test'"), pairs, "test_symbol")
+    target = _moved(rows.filter("split = 'test'").drop("bids", "asks"), pairs, "test_symbol")
     test = cut(D.gate_diagnostics(D.with_expected_edge(target, means)), "moved_test")
-    trades = summarize(winner_trades(test, winners, Execution()), ["symbol", "policy"])
+    trades = summarize(winner_trades(test, winners, EXECUTION), ["symbol", "policy"])
     return _directions(winners.select("symbol", "policy", "theta").join(trades, ["symbol", "policy"], "left"))
 
 
@@ -164,16 +163,16 @@ def _(spark, sf):
     from lobwright.operators.fills import summarize
 
     rows = scored(spark, sf)
-    plain = rows.drop("prob_down", "prob_flat", "prob_up", "pred_label")
+    plain = rows.drop("prob_down", "prob_flat", "prob_up", "pred_label", "bids", "asks")
     models, means = M.train_grouped(plain), class_return_means(rows)
     own = M.score_grouped(plain.filter("split = 'valid'"), models)
     valid = cut(D.gate_diagnostics(D.with_expected_edge(own, means)), "own_valid")
-    winners = winner_grid(select_threshold(evaluate_grid(valid, cut(policy_grid(valid), "grid"), Execution()), valid))
+    winners = winner_grid(select_threshold(evaluate_grid(valid, cut(policy_grid(valid), "grid"), EXECUTION), valid))
     pairs = per_key(asset_pairs(rows))
     moved_winners = per_key(_moved(winners, pairs, "train_symbol"))
     target = M.score_grouped(_moved(plain.filter("split = 'test'"), pairs, "test_symbol"), per_key(_moved(models, pairs, "train_symbol")))
     test = cut(D.gate_diagnostics(D.with_expected_edge(target, per_key(_moved(means, pairs, "train_symbol")))), "target_test")
-    trades = summarize(winner_trades(test, moved_winners, Execution()), ["symbol", "policy"])
+    trades = summarize(winner_trades(test, moved_winners, EXECUTION), ["symbol", "policy"])
     quality = K.calibration(test, ["symbol"]).select("symbol", "n_rows", "accuracy", "brier_score", "ece")
     out = moved_winners.select("symbol", "policy", "theta").join(quality, "symbol").join(trades, ["symbol", "policy"], "left")
     return _directions(out)

@@ -72,48 +72,66 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def events_book(spark: SparkSession, sf_dir: str, defects: bool = False, levels: int = BOOK_LEVELS) -> DataFrame:
-    """A snapshot table derived from every row of ``events`` by arithmetic any engine evaluates alike.
-
-    ``defects=True`` adds the faults the cleaning and audit operators look for, at fixed event-id residues.
-    """
+def events_quotes(spark: SparkSession, sf_dir: str, defects: bool = False) -> DataFrame:
+    """The narrow rows of ``events_book``: its columns but for the levels, and ``quote``, from which ``event_levels`` derives them."""
     ev = read_events(spark, sf_dir)
     cores = spark.sparkContext.defaultParallelism
     if len(ev.inputFiles()) < cores:
         # Fewer files than cores: spread the narrow rows before each becomes forty levels wide.
-        ev = ev.repartition(cores, "event_id")
-    ev = ev.selectExpr(
-        "*", "1000D + value / 100D as _mid", "0.05D + (event_id % 7) * 0.01D as _half",
-        "date_format(cast(ts as timestamp), 'yyyy-MM-dd HH:mm:ss.SSSSSS') as _text",
-    )
-    ids = f"sequence(0, {levels - 1})"
-    arrays = {
-        f"{side}s": f"transform({ids}, i -> struct(_mid {sign} (_half + 0.02D * i) as price, "
-                    f"((event_id * 31 + 17 * i + {7 * k}) % 97 + 10) / 10D as size))"
-        for k, (side, sign) in enumerate((("bid", "-"), ("ask", "+")))
-    }
+        ev = ev.select("event_id", "ts", "event_type", "value").repartition(cores, "event_id")
+    ev = ev.selectExpr("*", "date_format(cast(ts as timestamp), 'yyyy-MM-dd HH:mm:ss.SSSSSS') as _text")
     origin = received = "_text"
     seq = "event_id"
     if defects:
         origin = "if(event_id % 89 = 0, 'bad', _text)"
         received = "if(event_id % 979 = 0, 'bad', _text)"
         seq = "case when event_id % 107 = 0 then null when event_id % 127 = 0 then event_id - 300 else event_id end"
-        best = "_mid - _half"
-        arrays["asks"] = (
-            f"transform({arrays['asks']}, (l, i) -> struct("
-            f"case when i = 0 and event_id % 101 = 0 then {best} - 0.01D when i = 0 and event_id % 109 = 0 then {best} "
-            "else l.price end as price, if(i = 3 and event_id % 113 = 0, null, l.size) as size))"
-        )
-        arrays["bids"] = (
-            f"transform({arrays['bids']}, (l, i) -> struct(l.price as price, "
-            "if(i = 0 and event_id % 103 = 0, 0D, l.size) as size))"
-        )
     return ev.selectExpr(
         f"{origin} as origin_time", f"{received} as received_time", f"bigint({seq}) as sequence_number",
-        "event_type as symbol", "'SIM' as exchange", "event_id as arrival", *[f"{v} as {n}" for n, v in arrays.items()],
+        "event_type as symbol", "'SIM' as exchange", "event_id as arrival", "value as quote",
     )
 
 
+#: What ``event_levels`` reads.
+QUOTE_COLUMNS = ("arrival", "quote")
+
+
+def event_levels(df: DataFrame, defects: bool = False, levels: int = BOOK_LEVELS) -> DataFrame:
+    """Adds ``bids`` and ``asks``, derived from ``arrival`` and ``quote``.
+
+    Forty levels are fifty times as wide as what they follow from, so tables are sorted, shuffled and stored without them and get
+    them where they are read; levels that nothing reads are not computed.
+    """
+    mid, half = "(1000D + quote / 100D)", "(0.05D + (arrival % 7) * 0.01D)"
+
+    def level(k: int, sign: str, i: int) -> tuple[str, str]:
+        return f"{mid} {sign} ({half} + 0.02D * {i})", f"((arrival * 31 + {17 * i} + {7 * k}) % 97 + 10) / 10D"
+
+    sides = {}
+    for k, (side, sign) in enumerate((("bid", "-"), ("ask", "+"))):
+        cells = [level(k, sign, i) for i in range(levels)]
+        if defects and side == "ask":
+            best = f"{mid} - {half}"
+            price, size = cells[0]
+            cells[0] = (f"case when arrival % 101 = 0 then {best} - 0.01D when arrival % 109 = 0 then {best} else {price} end", size)
+            if levels > 3:
+                price, size = cells[3]
+                cells[3] = (price, f"if(arrival % 113 = 0, null, {size})")
+        elif defects:
+            price, size = cells[0]
+            cells[0] = (price, f"if(arrival % 103 = 0, 0D, {size})")
+        sides[f"{side}s"] = "array(" + ", ".join(f"struct({p} as price, {z} as size)" for p, z in cells) + ")"
+    return df.selectExpr("*", *[f"{sql} as {name}" for name, sql in sides.items()])
+
+
+def events_book(spark: SparkSession, sf_dir: str, defects: bool = False, levels: int = BOOK_LEVELS) -> DataFrame:
+    """A snapshot table derived from every row of ``events`` by arithmetic any engine evaluates alike.
+
+    ``defects=True`` adds the faults the cleaning and audit operators look for, at fixed event-id residues.
+    """
+    return event_levels(events_quotes(spark, sf_dir, defects), defects, levels).drop("quote")
+
+
 def events_wide(spark: SparkSession, sf_dir: str, defects: bool = False, levels: int = BOOK_LEVELS) -> DataFrame:
     """The same table in the wide form providers deliver."""
     return unpack_levels(events_book(spark, sf_dir, defects, levels), levels)
