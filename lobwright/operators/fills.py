@@ -53,11 +53,13 @@ def sweep(
     target = f"(double({float(notional)!r}) / greatest(mid_price, {EPS}D))"
     moved = f"(mid_price + (l.price - mid_price) * {spread_multiplier})"
     shown = f"(l.size * {depth_multiplier})"
-    usable = f"coalesce(s.left > {DUST}D and l.price > 0 and l.size > 0 and {moved} > 0 and {shown} > 0, false)"
-    take = f"least(s.left, {shown})"
-    start = f"named_struct('left', {target}, 'qty', 0D, 'value', 0D, 'best', double(null))"
+    # What is left follows from the sum of the sizes so far, not from one subtraction after another: the last bits decide ties in rounding.
+    left = f"({target} - s.seen)"
+    usable = f"coalesce({left} > {DUST}D and l.price > 0 and l.size > 0 and {moved} > 0 and {shown} > 0, false)"
+    take = f"least({shown}, {left})"
+    start = "named_struct('seen', 0D, 'qty', 0D, 'value', 0D, 'best', double(null))"
     step = (
-        f"if({usable}, named_struct('left', s.left - {take}, 'qty', s.qty + {take}, "
+        f"if({usable}, named_struct('seen', s.seen + {shown}, 'qty', s.qty + {take}, "
         f"'value', s.value + {take} * {moved}, 'best', coalesce(s.best, {moved})), s)"
     )
     vwap, ratio = f"(s.value / greatest(s.qty, {EPS}D))", f"(s.qty / greatest({target}, {EPS}D))"
