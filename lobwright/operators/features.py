@@ -106,23 +106,24 @@ def level_vector(levels: int = 10, scaler: dict[int, tuple[float, float]] | str
 
     ``scaler`` holds a mean and a deviation for some cells, or names a column of ``fit_vector_scaler``, which covers all cells.
     """
+    # Lambdas bind the mid and each cell, so the code of a row stays short however many levels there are.
     mid = f"(({px('bid', 0)} + {px('ask', 0)}) / 2D)"
+    raw = ", ".join(cell for i in range(levels) for s in ("ask", "bid") for cell in (px(s, i), sz(s, i)))
 
     def finite(x: str) -> str:
-        y = f"nanvl(coalesce({x}, 0D), 0D)"
-        return f"if(abs({y}) = double('Infinity'), 0D, {y})"
-
-    cells: list[str] = []
-    for i in range(levels):
-        for s in ("ask", "bid"):
-            cells.append(finite(f"if(abs({mid}) < 1e-12D, 0D, try_divide({px(s, i)} - {mid}, {mid}))"))
-            cells.append(finite(f"log1p(greatest({sz(s, i)}, 0D))"))
+        return f"if(abs(nanvl(coalesce({x}, 0D), 0D)) = double('Infinity'), 0D, nanvl(coalesce({x}, 0D), 0D))"
+
+    cell = "if(k % 2 = 0, if(abs(m) < 1e-12D, 0D, try_divide(x - m, m)), log1p(greatest(x, 0D)))"
+    cells = f"transform(array({mid}), m -> transform(array({raw}), (x, k) -> {cell}))[0]"
+    cells = f"transform({cells}, x -> {finite('x')})"
     if isinstance(scaler, str):
-        cells = [finite(f"try_divide(double(float({c})) - {scaler}.mean[{k}], {scaler}.std[{k}])") for k, c in enumerate(cells)]
-        scaler = None
-    for k, (mean, std) in (scaler or {}).items():
-        cells[k] = f"({cells[k]} - {mean}D) / {std or 1.0}D"
-    return F.expr("array(" + ", ".join(f"float({c})" for c in cells) + ")")
+        scaled = f"transform({cells}, (x, k) -> try_divide(double(float(x)) - {scaler}.mean[k], {scaler}.std[k]))"
+        cells = f"transform({scaled}, x -> {finite('x')})"
+    elif scaler:
+        by_cell = [scaler.get(k, (0.0, 1.0)) for k in range(4 * levels)]
+        means, stds = (", ".join(f"{float(v)!r}D" for v in c) for c in ([m for m, _ in by_cell], [s or 1.0 for _, s in by_cell]))
+        cells = f"transform({cells}, (x, k) -> (x - array({means})[k]) / array({stds})[k])"
+    return F.expr(f"transform({cells}, x -> float(x))")
 
 
 def compact(df: DataFrame) -> DataFrame:
