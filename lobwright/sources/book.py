@@ -63,8 +63,13 @@ def unpack_levels(df: DataFrame, levels: int = BOOK_LEVELS) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Event times are UTC wherever they are turned into text or days."""
+    """Event times are UTC wherever they are turned into text or days.
+
+    The JVM never compiles a method above 8000 bytes.  Rows of this many columns give longer ones, which Spark would let run
+    interpreted; with the limit it falls back to short methods for such a subtree.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
