@@ -37,13 +37,13 @@ WORDS = 1_000_000
 PAIRS = 4_000_000
 
 #: Characters of text that are cut into words together.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 
 #: Different words that a task counts before it passes the counts on.
-HELD = 300_000
+HELD = 150_000
 
 #: Different pairs or windows that a task holds before it passes their counts on.
-COMBINED = 1_500_000
+COMBINED = 400_000
 
 #: Groups of phrases that are ranked apart before the best of each are ranked together.
 RANK_BLOCKS = 64
@@ -128,6 +128,8 @@ def _combined(tables: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.Record
                 rows = 0
     if held:
         yield from merge().to_batches(max_chunksize=100_000)
+    held.clear()
+    pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
 
 def _array_pairs(texts: DataFrame, numbers) -> DataFrame:

@@ -78,3 +78,18 @@ def test_products_beyond_64_bits(spark):
     a, n, l, r = 10**12 + 7, 3 * 10**14 + 1, 10**12 + 9, 10**13 + 3
     got = spark.range(1).select(_score(*[F.lit(x).cast("long") for x in (a, n, l, r)])).first()[0]
     assert got == 1000 * a * n // (l * r)
+
+
+def test_combining_holds_little():
+    """Windows that hardly repeat: what a task holds is bounded by a few blocks, not by the text it has read."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lobwright.llm.collocations import _combined
+
+    read = []
+    tables = (read.append(k) or pa.table({"pair": np.arange(k * 250_000, k * 250_000 + 300_000)}) for k in range(16))
+    out = _combined(tables, ["pair"])
+    first = next(out)
+    assert len(read) <= 4
+    assert sum(first.column("n").to_pylist()) + sum(sum(b.column("n").to_pylist()) for b in out) == 16 * 300_000
