@@ -21,8 +21,8 @@ from lobwright.llm.memory import Remembered
 # One thread per Spark task; Spark runs the tasks side by side.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Two characters of white space side by side, or white space at either end.
-_NEIGHBOURS = re.compile(r"\s\s|\A\s|\s\Z")
+#: Two characters of white space side by side.
+_NEIGHBOURS = re.compile(r"\s\s")
 
 #: Marks after a word; the pre-tokenizers cut before them.
 _MARKS = ".,!?:;#*$%&"
@@ -71,6 +71,9 @@ class Encoder:
         """Remembers the ids of pieces; a word with marks at its end is put together from the two."""
         words, marked, others = [], [], []
         for p in pieces:
+            if p.isascii() and p.isalpha():
+                words.append(p)
+                continue
             base = p.rstrip(_MARKS)
             if not (base.isalpha() and (base.isascii() or base.lower().isalpha())):  # some letters are more when lower-cased
                 others.append(p)
@@ -90,22 +93,33 @@ class Encoder:
             self.opening[piece] = self._whole([piece])[0]
         return self.opening[piece]
 
-    def _pieces(self, text: str) -> list[str] | None:
+    def _pieces(self, text: str) -> list[str]:
         if self.drops_space:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return None if _NEIGHBOURS.search(text) else text.replace("\n", " \n").split(" ")
+        return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
+        cut: list[list[str] | None] = [self._pieces(t) for t in texts]
         if len(self.opening) > CACHE_PIECES:
             self.opening.clear()
-        pieces = set().union(*[p[1:] for p in cut if p is not None])
-        if new := self.inner.missing(pieces):
+        new = self.inner.missing(set().union(*[p[1:] for p in cut]))
+        if not self.drops_space:
+            # A text has neighbouring white space if one of its pieces shows it; these are never learned, so only new ones can.
+            beside = {p for p in (*new, *[p[0] for p in cut]) if not p.isalnum() and _beside(p)}
+            if beside:
+                cut = [p if beside.isdisjoint(p) else None for p in cut]
+                asked = set().union(*[p[1:] for p in cut if p is not None])
+                new = [p for p in new if p in asked]
+        if new:
             self._learn(new)
         get = self.inner.young.__getitem__
         return [self._whole([t])[0] if p is None else self._open(p[0]) + b"".join(map(get, p[1:])) for t, p in zip(texts, cut, strict=True)]
 
 
+def _beside(piece: str) -> bool:
+    return not piece or piece[-1].isspace() or (piece[0] != "\n" and piece[0].isspace()) or _NEIGHBOURS.search(piece) is not None
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One per worker process, vocabulary and reading of special tokens."""

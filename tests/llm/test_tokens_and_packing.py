@@ -149,3 +149,16 @@ def test_pieces_cover_every_id(spark, chunk, monkeypatch):
 
 def test_nothing_to_pack(spark):
     assert pack_documents(documents(spark, []), WORDS, 1).count() == 0
+
+
+def test_white_space_is_looked_at_once_a_piece(monkeypatch):
+    """Texts with neighbouring white space are told by their distinct pieces, not by reading every text again."""
+    from lobwright.llm import tokens
+
+    seen, beside = [], tokens._beside
+    monkeypatch.setattr(tokens, "_beside", lambda p: seen.append(p) or beside(p))
+    texts = ["a, b\nc, d"] * 50 + ["a,  b", "a,\n b", " a, b", "a, b\t", "a,\tb", "\x1c", ""]
+    for _ in range(2):
+        e = Encoder(BYTES) if not seen else e
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == library_ids(BYTES, texts)
+    assert len(seen) < 150 and seen.count("\nc,") == 1
