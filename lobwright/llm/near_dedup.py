@@ -6,11 +6,13 @@ twenty keys of five minima with probability 0.9996, unrelated texts share none.
 two of 64 bits in thirteen differ, so that a bound that keeps such pairs has no whole block to join on.
 
 Within a bucket every member is first verified against one hub; groups are the components of what holds.  Members that are then
-in another group than most of their bucket are verified against ``PIVOTS`` members of that group, ``REPEATS`` times over.  Jaccard
-distance is a metric, so of the pairs that are left only those need a look whose distances to the hub differ by at most the
-limit; these are all verified, so no link of a bucket goes unseen.  A large
-group that the pivots draw together costs a few pairs per member; where many members stay outside of it at like distances, the
-last step still grows with the square of their number.
+in another group than most of their bucket are verified against ``PIVOTS`` members of that group, ``REPEATS`` times over.  What is
+left is not compared pair by pair.  Two sets of ``n`` and ``m`` shingles are similar exactly if at most a ninth of ``n + m`` are in one of
+them alone.  Shingles that at most ``RARE`` of the texts in question hold are the text's own: texts that share none of those differ
+in all of them, and in their other shingles at least by the difference of the numbers.  So a pair is verified only if these numbers
+allow it (compared by classes of equal numbers, not by texts), or if it shares enough rare shingles (a join on them of at most
+``RARE`` rows for each).  Both are bounds, so no link of a bucket goes unseen; around a large group they leave the few pairs that are near the limit.
+Many texts of one bucket that differ by nothing but frequent shingles would still be compared pair by pair.
 
 Null and blank texts are copies of each other; fewer words than a shingle give one shingle of all.  Exact copies (after the same
 normalization, by a 128-bit digest) are one class before anything is compared.  Repeated rows and equal or null ids are rows of
@@ -45,6 +47,9 @@ SEED = 42
 PIVOTS = 4
 REPEATS = 2
 
+#: A shingle in at most so many of the texts that are left is rare.
+RARE = 64
+
 #: Shingles that are permuted together.
 SLICE = 1 << 12
 
@@ -147,16 +152,57 @@ def links(classes: DataFrame, rows: DataFrame) -> DataFrame:
             break
         tried = cut(tried.union(verified(new, texts)), "tried_pairs")
     outside, inside = _apart(placed, groups)
-    one, other = outside.alias("x"), outside.withColumn("out", F.lit(True)).union(inside.withColumn("out", F.lit(False))).alias("y")
-    near = F.abs(F.col("x.away") - F.col("y.away")) <= 1 - LEAST + 1e-9
-    rest = one.join(other, "key").where("x.root <> y.root and (not y.out or x.row < y.row)").where(near & sized(F.col("x.n"), F.col("y.n"))).select(
-        *ordered(F.col("x.row"), F.col("y.row"))).distinct()
+    rest = _possible(outside, inside, texts)
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "other_pairs")
     if rest.isEmpty():
         return groups
     return components(cut(tried.union(verified(rest, texts)).where(F.col("similarity") >= LEAST).select("a", "b"), "links"))
 
 
+def held_shingles(rows: DataFrame) -> DataFrame:
+    """(row, shingle) of all distinct shingles of ``rows`` (row, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+                found = shingles(text.as_py()).view(np.int64)
+                for at in range(0, len(found), SLICE):
+                    some = pa.array(found[at : at + SLICE])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), row)), some], names=["row", "shingle"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, shingle long")
+
+
+def _possible(outside: DataFrame, inside: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of the pairs of a bucket, one outside its main group, that the numbers of rare and other shingles allow."""
+    out = cut(outside.withColumn("out", F.lit(True)).union(inside.withColumn("out", F.lit(False))), "open_members")
+    rows = out.groupBy("row", "n", "root").agg(F.max("out").alias("out"))
+    held = cut(held_shingles(texts.join(rows.select("row"), "row", "left_semi")), "held_shingles")
+    counts = cut(held.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("row").alias("row")).where(F.col("holders") <= RARE), "rare_shingles")
+    several = bounded(counts.where("holders > 1").select("shingle"), name="shared_shingles")
+    shared = cut(held.join(several, "shingle"), "rare_holders")
+    own = counts.where("holders = 1").select("row").union(shared.select("row")).groupBy("row").agg(F.count("*").alias("own"))
+    known = cut(rows.join(own, "row", "left").select("row", "n", "root", "out", F.coalesce("own", F.lit(0)).alias("own")), "profiles")
+    size = lambda t: F.col(f"{t}.n") - F.col(f"{t}.own")  # noqa: E731  shingles that are not rare
+    # 9 times the least number of shingles in one of two sets alone, if they share no rare one, less what LEAST allows.
+    excess = 9 * (F.col("x.own") + F.col("y.own") + F.abs(size("x") - size("y"))) - F.col("x.n") - F.col("y.n")
+    ordered = [F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")]
+
+    members = cut(out.join(known.select("row", "own"), "row"), "profiled_members")
+    classes = members.groupBy("key", "n", "own").agg(F.max("out").alias("out"))
+    like = classes.where("out").alias("x").join(classes.alias("y"), F.col("x.key") == F.col("y.key")).where(excess <= 0).select(
+        F.col("x.key").alias("key"), F.col("x.n").alias("n"), F.col("x.own").alias("own"), F.col("y.n").alias("n_y"), F.col("y.own").alias("own_y"))
+    asked = members.where("out").join(like, ["key", "n", "own"]).alias("x")
+    near = F.abs(F.col("x.away") - F.col("y.away")) <= 1 - LEAST + 1e-9
+    alike = asked.join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.n_y") == F.col("y.n")) & (F.col("x.own_y") == F.col("y.own"))).where(
+        "x.root <> y.root and (not y.out or x.row < y.row)").where(near).select(*ordered)
+
+    holders = shared.join(known, "row").select("shingle", "row", "n", "root", "out", "own")
+    meet = holders.where("out").alias("x").join(holders.alias("y"), F.col("x.shingle") == F.col("y.shingle")).where(
+        "x.root <> y.root and (not y.out or x.row < y.row)")
+    sharing = meet.groupBy(*ordered).agg(F.count("*").alias("both"), F.first(excess).alias("excess")).where("excess <= 18 * both").select("a", "b")
+    return alike.union(sharing).distinct()
+
+
 def _apart(placed: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members (key, row, n, away, root) outside and inside the largest group of their bucket, of buckets with several."""
     rooted = placed.join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
