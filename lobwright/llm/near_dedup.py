@@ -1,9 +1,12 @@
 """One document of each group of near copies: word shingles of five, Jaccard similarity of at least 0.8.
 
 The similarity is that of the sets of shingles (lower-cased ASCII, words between white space), and every link is verified on
-the texts.  Candidates come from MinHash bands: ``BANDS`` keys of ``ROWS`` minima each.  A pair at exactly 0.8 shares one of
-twenty keys of five minima with probability 0.9996, unrelated texts share none.  Bits of a SimHash do not separate here: at 0.8
-two of 64 bits in thirteen differ, so that a bound that keeps such pairs has no whole block to join on.
+the texts.  Candidates come from SimHash by the pigeonhole principle.  One fingerprint of a whole text does not separate here: at
+0.8 one bit in seven differs, so that no block long enough to part unrelated texts stays whole.  So the blocks are made before
+the bits: shingles are dealt by hash into parts of three to six, and each part has its own 64-bit SimHash (bit k is set if over half of
+its hashes have it set).  Two texts that differ in few shingles have parts where they differ in none, and meet on the fingerprint of
+such a part.  Of ``KEYS`` parts a pair at exactly 0.8 shares one with probability 0.9996 or more; the number of parts follows
+from the size, and texts within a quarter above a step of it are dealt both ways, so that such pairs always have parts in common.
 
 Within a bucket every member is first verified against one hub; groups are the components of what holds.  Members that are then
 in another group than most of their bucket are verified against ``PIVOTS`` members of that group, ``REPEATS`` times over.  What is
@@ -39,10 +42,15 @@ from lobwright.sources.stages import cut
 #: Fixed values.
 SHINGLE = 5
 LEAST = 0.8
-BANDS = 20
-ROWS = 5
 SEED = 42
 
+#: Fingerprinted parts of a text; of these so many at most by one way of dealing.
+KEYS = 32
+PARTS = 16
+
+#: Shingles of a part on average: at least so many, and less than twice that.
+MEAN = 3
+
 #: Members of the main group of a bucket that those outside it are compared with, and how often.
 PIVOTS = 4
 REPEATS = 2
@@ -50,15 +58,15 @@ REPEATS = 2
 #: A shingle in at most so many of the texts that are left is rare.
 RARE = 64
 
-#: Shingles that are permuted together.
+#: Shingles that are dealt together.
 SLICE = 1 << 12
 
 #: Pairs of one text that a task verifies; the pairs of a hub with more are dealt over several tasks.
 DEALT = 500
 
 _random = np.random.default_rng(SEED)
-_TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_TIMES = _random.integers(0, 1 << 63, (KEYS // 2, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _random.integers(0, 1 << 63, (KEYS // 2, 1), dtype=np.uint64)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -68,13 +76,36 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """The keys of a set of shingles: equal in band k for two sets if their ``ROWS`` minima of the band are."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def part_prints(hashes: np.ndarray, log: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts, fingerprints) of a set of shingles that is dealt into ``2 ** log`` parts, several ways; parts too small to tell texts apart are left out."""
+    kept = min(1 << log, PARTS)
+    ways = KEYS // kept
+    found = []
     for at in range(0, len(hashes), SLICE):
-        mixed = hashes[at : at + SLICE, None] * _TIMES + _PLUS
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
-    return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+        some = hashes[at : at + SLICE]
+        dealt = (some * _TIMES[:ways] + _PLUS[:ways]) >> np.uint64(64 - log)
+        way, place = np.nonzero(dealt < kept)
+        found.append((way * kept + dealt[way, place].astype(np.int64), some[place]))
+    part, of = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(part):
+        return part, of
+    order = np.argsort(part, kind="stable")
+    part, starts, sizes = np.unique(part[order], return_index=True, return_counts=True)
+    bits = np.unpackbits(of[order].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    prints = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    large = sizes >= min(log, MEAN)
+    return part[large], prints[large]
+
+
+def print_keys(hashes: np.ndarray) -> list[int]:
+    """The keys of a set of shingles: equal for two sets where a part of both has the same fingerprint."""
+    log = max(1, (len(hashes) // MEAN).bit_length() - 1)
+    keys: list[int] = []
+    for k in (log, log - 1) if log > 1 and 4 * len(hashes) < 5 * (MEAN << log) else (log,):
+        parts, prints = part_prints(hashes, k)
+        keys += [xxhash.xxh64_intdigest(p, k * KEYS + at) - (1 << 63) for at, p in zip(parts.tolist(), map(bytes, prints.view(np.uint8).reshape(-1, 8)), strict=True)]
+    return keys
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -83,22 +114,22 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, digest, n, bands) of each of ``docs`` (id, text); ``n`` counts the distinct shingles."""
+    """(id, digest, n, keys) of each of ``docs`` (id, text); ``n`` counts the distinct shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, bands = [], [], []
+            digests, sizes, keys = [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
                 hashes = shingles(text)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split()) if text else b"", SEED))
                 sizes.append(len(hashes))
-                bands.append(band_keys(hashes))
+                keys.append(print_keys(hashes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "digest", "n", "bands"])
+                [batch.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "digest", "n", "keys"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, digest binary, n int, bands array<long>")
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, digest binary, n int, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -126,8 +157,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, root) of the classes (row, n, bands) that are linked to others; ``rows`` (row, text) holds their texts."""
-    keyed = classes.select("row", "n", F.explode("bands").alias("key"))
+    """(node, root) of the classes (row, n, keys) that are linked to others; ``rows`` (row, text) holds their texts."""
+    keyed = classes.select("row", "n", F.explode("keys").alias("key"))
     shared = bounded(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("row").alias("hub")).where("members > 1").select("key", "hub"), name="buckets")
     met = cut(keyed.join(shared, "key"), "bucket_members")
     texts = cut(rows.join(bounded(met.select("row").distinct(), name="met"), "row"), "met_texts")
@@ -219,10 +250,10 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """
     boxed = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "dedup_rows")
     signed = cut(signatures(boxed.select(F.struct(F.col("doc.doc_id").alias("doc_id"), F.col("row")).alias("id"), F.col("doc.text").alias("text"))), "signatures")
-    least = signed.groupBy("digest").agg(F.min(F.struct("id", "n", "bands")).alias("least"))
-    classes = cut(least.select("digest", "least.id", "least.n", "least.bands"), "classes")
+    least = signed.groupBy("digest").agg(F.min(F.struct("id", "n", "keys")).alias("least"))
+    classes = cut(least.select("digest", "least.id", "least.n", "least.keys"), "classes")
     rows = boxed.select("row", F.col("doc.text").cast("binary").alias("text"))
-    groups = cut(links(classes.select("id.row", "n", "bands"), rows), "groups")
+    groups = cut(links(classes.select("id.row", "n", "keys"), rows), "groups")
     grouped = classes.select("id").join(groups, groups.node == F.col("id.row")).select("id", "root")
     first = grouped.groupBy("root").agg(F.min("id").alias("first"))
     worse = grouped.join(first, "root").where("id <> first").select("id.row")
