@@ -13,8 +13,8 @@ in another group than most of their bucket are verified against ``PIVOTS`` membe
 left is not compared pair by pair.  Two sets of ``n`` and ``m`` shingles are similar exactly if at most a ninth of ``n + m`` are in one of
 them alone.  Shingles that at most ``RARE`` of the texts in question hold are the text's own: texts that share none of those differ
 in all of them, and in their other shingles at least by the difference of the numbers.  So a pair is verified only if these numbers
-allow it (compared by classes of equal numbers, not by texts), or if it shares enough rare shingles (a join on them of at most
-``RARE`` rows for each).  Both are bounds, so no link of a bucket goes unseen; around a large group they leave the few pairs that are near the limit.
+allow it (compared by classes of equal numbers, not by texts), or if it shares one of its rarest (a join of at most ``RARE`` rows for
+each; a text's rarest quarter and one are enough, since a similar text lacks no more than a quarter).  Both are bounds, so no link of a bucket goes unseen; around a large group they leave the few pairs that are near the limit.
 Many texts of one bucket that differ by nothing but frequent shingles would still be compared pair by pair.
 
 Null and blank texts are copies of each other; fewer words than a shingle give one shingle of all.  Exact copies (after the same
@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lobwright.llm.common import bounded
 from lobwright.llm.components import components
@@ -203,16 +204,26 @@ def held_shingles(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, shingle long")
 
 
+def _first_shingles(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """The rare shingles by which a text can meet another: the rarest first, its own alone before all, a quarter of its size and one.
+
+    A similar text lacks at most a quarter of a text's shingles, so two that are similar through rare ones have one of these in common.
+    """
+    place = F.col("alone") + F.row_number().over(Window.partitionBy("row").orderBy("holders", "shingle"))
+    return shared.join(known, "row").withColumn("place", place).where("4 * (place - 1) <= n").select("shingle", "row", "n", "root", "out", "own")
+
+
 def _possible(outside: DataFrame, inside: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) of the pairs of a bucket, one outside its main group, that the numbers of rare and other shingles allow."""
     out = cut(outside.withColumn("out", F.lit(True)).union(inside.withColumn("out", F.lit(False))), "open_members")
     rows = out.groupBy("row", "n", "root").agg(F.max("out").alias("out"))
     held = cut(held_shingles(texts.join(rows.select("row"), "row", "left_semi")), "held_shingles")
     counts = cut(held.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("row").alias("row")).where(F.col("holders") <= RARE), "rare_shingles")
-    several = bounded(counts.where("holders > 1").select("shingle"), name="shared_shingles")
+    several = bounded(counts.where("holders > 1").select("shingle", "holders"), name="shared_shingles")
     shared = cut(held.join(several, "shingle"), "rare_holders")
-    own = counts.where("holders = 1").select("row").union(shared.select("row")).groupBy("row").agg(F.count("*").alias("own"))
-    known = cut(rows.join(own, "row", "left").select("row", "n", "root", "out", F.coalesce("own", F.lit(0)).alias("own")), "profiles")
+    own = counts.where("holders = 1").select("row", F.lit(1).alias("alone")).union(shared.select("row", F.lit(0))).groupBy("row").agg(
+        F.count("*").alias("own"), F.sum("alone").alias("alone"))
+    known = cut(rows.join(own, "row", "left").select("row", "n", "root", "out", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("own", "alone")]), "profiles")
     size = lambda t: F.col(f"{t}.n") - F.col(f"{t}.own")  # noqa: E731  shingles that are not rare
     # 9 times the least number of shingles in one of two sets alone, if they share no rare one, less what LEAST allows.
     excess = 9 * (F.col("x.own") + F.col("y.own") + F.abs(size("x") - size("y"))) - F.col("x.n") - F.col("y.n")
@@ -227,10 +238,10 @@ def _possible(outside: DataFrame, inside: DataFrame, texts: DataFrame) -> DataFr
     alike = asked.join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.n_y") == F.col("y.n")) & (F.col("x.own_y") == F.col("y.own"))).where(
         "x.root <> y.root and (not y.out or x.row < y.row)").where(near).select(*ordered)
 
-    holders = shared.join(known, "row").select("shingle", "row", "n", "root", "out", "own")
-    meet = holders.where("out").alias("x").join(holders.alias("y"), F.col("x.shingle") == F.col("y.shingle")).where(
-        "x.root <> y.root and (not y.out or x.row < y.row)")
-    sharing = meet.groupBy(*ordered).agg(F.count("*").alias("both"), F.first(excess).alias("excess")).where("excess <= 18 * both").select("a", "b")
+    first = cut(_first_shingles(shared, known), "first_shingles")
+    able = 9 * (F.abs(F.col("x.own") - F.col("y.own")) + F.abs(size("x") - size("y"))) <= F.col("x.n") + F.col("y.n")  # if all rare ones of the lesser are shared
+    sharing = first.where("out").alias("x").join(first.alias("y"), F.col("x.shingle") == F.col("y.shingle")).where(
+        "x.root <> y.root and (not y.out or x.row < y.row)").where(able).select(*ordered)
     return alike.union(sharing).distinct()
 
 
