@@ -51,6 +51,30 @@ def test_generations_turn_between_batches_only(path, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == library_ids(path, texts)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_a_word_before_a_full_stop_is_learned_once(path):
+    e = Encoder(path)
+    texts = ["a mote. mote. Mote mote", "b mote. mote. x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == library_ids(path, texts)
+    assert "mote." not in e.inner.young
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_marks_after_anything(path):
+    before = ["", "a", "7", "\u00bd", "\u4e2d", "e\u0301", "\u0301", "_", ".", ",", "!", "%%", "'s", " ", "\n", "\t", "<|endoftext|>", "\u0130", "\u0958", "x\ufb2a", "\u03a3", "\u01c4", "\u0391\u03a3", "\u212b", "\U0001f600", "\x1c", "\u00a0"]
+    texts = [f"{x}{m}{y}" for x in before for m in (". ", ", ", ".", ",\n", " .\n") for y in ("", "b", ". c", ", \u00c9D", "\n")]
+    texts += ["o " + t + " p" for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path).encode(texts)] == library_ids(path, texts)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_of_many_letters(path):
+    rng = random.Random(3)
+    letters = [chr(i) for i in range(0x41, 0x600) if chr(i).isalpha()]
+    texts = [" ".join("".join(rng.choice(letters[: rng.choice([52, 114, len(letters)])]) for _ in range(rng.randint(1, 6))) for _ in range(300)) for _ in range(20)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path).encode(texts)] == library_ids(path, texts)
+
+
 @pytest.fixture(scope="module")
 def stored(spark):
     path = new_path(spark, "tokens")
