@@ -204,6 +204,14 @@ def held_shingles(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, shingle long")
 
 
+def rare_shingles(held: DataFrame) -> DataFrame:
+    """(row, shingle, holders) of the shingles that at most ``RARE`` of the rows hold.
+
+    One shuffle of the shingles at any size.  A count that is joined back is broadcast while it is small and a second shuffle later.
+    """
+    return held.select("row", "shingle", F.count("*").over(Window.partitionBy("shingle")).alias("holders")).where(F.col("holders") <= RARE)
+
+
 def _first_shingles(shared: DataFrame, known: DataFrame) -> DataFrame:
     """The rare shingles by which a text can meet another: the rarest first, its own alone before all, a quarter of its size and one.
 
@@ -217,12 +225,9 @@ def _possible(outside: DataFrame, inside: DataFrame, texts: DataFrame) -> DataFr
     """(a, b) of the pairs of a bucket, one outside its main group, that the numbers of rare and other shingles allow."""
     out = cut(outside.withColumn("out", F.lit(True)).union(inside.withColumn("out", F.lit(False))), "open_members")
     rows = out.groupBy("row", "n", "root").agg(F.max("out").alias("out"))
-    held = cut(held_shingles(texts.join(rows.select("row"), "row", "left_semi")), "held_shingles")
-    counts = cut(held.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("row").alias("row")).where(F.col("holders") <= RARE), "rare_shingles")
-    several = bounded(counts.where("holders > 1").select("shingle", "holders"), name="shared_shingles")
-    shared = cut(held.join(several, "shingle"), "rare_holders")
-    own = counts.where("holders = 1").select("row", F.lit(1).alias("alone")).union(shared.select("row", F.lit(0))).groupBy("row").agg(
-        F.count("*").alias("own"), F.sum("alone").alias("alone"))
+    rare = cut(rare_shingles(held_shingles(texts.join(rows.select("row"), "row", "left_semi"))), "rare_shingles")
+    shared = rare.where("holders > 1")
+    own = rare.groupBy("row").agg(F.count("*").alias("own"), F.sum((F.col("holders") == 1).cast("long")).alias("alone"))
     known = cut(rows.join(own, "row", "left").select("row", "n", "root", "out", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("own", "alone")]), "profiles")
     size = lambda t: F.col(f"{t}.n") - F.col(f"{t}.own")  # noqa: E731  shingles that are not rare
     # 9 times the least number of shingles in one of two sets alone, if they share no rare one, less what LEAST allows.

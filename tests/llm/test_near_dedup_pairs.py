@@ -40,3 +40,13 @@ def test_texts_that_share_only_rare_shingles(spark, monkeypatch):
     kept = near_dedup.keep_one_of_each_group(documents(spark, list(enumerate(texts))))
     want = brute(texts)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want) and len(want) > 20
+
+
+def test_rare_shingles_take_one_shuffle(spark, monkeypatch):
+    """Not a second one for a join as soon as they are too many to be broadcast."""
+    monkeypatch.setattr(near_dedup, "RARE", 2)
+    held = spark.createDataFrame([(1, 5), (1, 6), (2, 6), (1, 7), (2, 7), (3, 7)], "row long, shingle long")
+    found = near_dedup.rare_shingles(held)
+    assert sorted((r["row"], r["shingle"], r["holders"]) for r in found.collect()) == [(1, 5, 1), (1, 6, 2), (2, 6, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
