@@ -71,8 +71,8 @@ def turned(bits: Column) -> Column:
 
 
 def _counted(slim: DataFrame, keys: list[str], questions: dict[str, list[tuple[str, float]]], bits: int) -> DataFrame:
-    # Inside a struct null keys meet each other in joins.
-    group = F.struct(F.lit(0).alias("_all"), *keys).alias("_g")
+    # Inside a struct null keys meet each other in joins.  Its fields are named by place, so that a key may have any name.
+    group = F.struct(F.lit(0).alias("_all"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).alias("_g")
     raw = slim.select(group, *[bits_of(F.col(v)).alias(v) for v in questions])
     coded = cut(raw.select("_g", *[turned(F.col(v)).alias(v) for v in questions]), "quantile_codes")
     each = coded.select("_g", F.posexplode(F.array(*questions)).alias("_c", "_code"))
@@ -104,7 +104,7 @@ def _counted(slim: DataFrame, keys: list[str], questions: dict[str, list[tuple[s
         return answers.groupBy().agg(*one)
     names = [name for items in questions.values() for name, _ in items]
     found = start.select("_g").distinct().join(answers.groupBy("_g").agg(*one), "_g", "left")
-    return found.select(*[F.col("_g")[k].alias(k) for k in keys], *names)
+    return found.select(*[F.col("_g")[f"_k{i}"].alias(k) for i, k in enumerate(keys)], *names)
 
 
 def _narrowed(counts: DataFrame, open_: DataFrame) -> DataFrame:

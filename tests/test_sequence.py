@@ -171,6 +171,15 @@ def test_counted_quantiles_of_odd_values(spark):
     assert group_quantiles(empty, [], wanted, exact_rows=-1).first() == group_quantiles(empty, [], wanted).first()
 
 
+def test_counted_quantiles_by_keys_of_any_name(spark):
+    rows = [(1, "a", float(i)) for i in range(7)] + [(1, None, 2.0), (2, "a", None)]
+    df = spark.createDataFrame(rows, "_all int, _k0 string, v double")
+    for keys in (["_all"], ["_all", "_k0"], ["_k0", "_all"]):
+        a = group_quantiles(df, keys, {"q": (F.col("v"), 0.5)})
+        b = group_quantiles(df, keys, {"q": (F.col("v"), 0.5)}, exact_rows=0)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_runs_over_chunk_seams(spark):
     rnd = random.Random(9)
     values = []

@@ -100,3 +100,32 @@ def test_one_class_gaps_and_no_rows(spark):
         assert one.select("pred_label", "prob_up", "prob_down").distinct().collect() == [("UP", 1.0, 0.0)] and one.columns == scored.columns
         with pytest.raises(ValueError):
             train(d.filter("split = 'test'"), ("a", "b"))
+
+
+def counted_medians(monkeypatch):
+    """From now on medians are counted, as over more rows than ``EXACT_ROWS``."""
+    from functools import partial
+
+    from lobwright.operators import score as M
+
+    monkeypatch.setattr(M, "group_quantiles", partial(M.group_quantiles, exact_rows=0))
+
+
+def gapped(spark):
+    rows = [("train" if i % 4 else "test", LABELS[(i * i) % 3 % 2 * 2], float(i % 7) if i % 5 else None, float("nan") if i % 6 == 0 else i % 11 - i % 3 / 2) for i in range(80)]
+    return spark.createDataFrame(rows, "split string, label string, a double, b double")
+
+
+def scores(df, train):
+    from lobwright.operators import score as M
+
+    return sorted(map(str, M.score_model(df, train(df, ("a", "b")), ("a", "b")).select("split", "label", "a", "b", "pred_label", F.round("prob_down", 9), F.round("prob_up", 9)).collect()))
+
+
+def test_linear_model_where_medians_are_counted(spark, monkeypatch):
+    from lobwright.operators import score as M
+
+    df = gapped(spark)
+    want = scores(df, M.train_linear)
+    counted_medians(monkeypatch)
+    assert scores(df, M.train_linear) == want
