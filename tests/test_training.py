@@ -136,3 +136,12 @@ def test_medians_of_more_rows_than_a_task_should_hold(spark):
 
     df = spark.range(250_003).selectExpr("'train' as split", "if(id < 250001, double(id), null) as a", "if(id = 250002, double('NaN'), -0.5 * id) as b")
     assert M.fit_medians(df, ("a", "b")) == {"a": 125_000.0, "b": -62_500.25}
+
+
+def test_trees_where_medians_are_counted(spark, monkeypatch):
+    from lobwright.operators import score as M
+
+    df = gapped(spark)
+    want = scores(df, M.train_trees)
+    counted_medians(monkeypatch)
+    assert scores(df, M.train_trees) == want
