@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from lobwright.functions.scalars import KEYS, no_nan
 from lobwright.operators.labels import LABELS
 from lobwright.operators.quantiles import group_quantiles
-from lobwright.sources.stages import cut, per_key
+from lobwright.sources.stages import checkpoint_root, cut, per_key
 
 # The features the forecasting models read.
 MODEL_FEATURES = (
@@ -244,20 +244,32 @@ def train_trees(df: DataFrame, features=MODEL_FEATURES, split: str = "train", tr
 
 def train_boosted(df: DataFrame, features=MODEL_FEATURES, split: str = "train", rounds: int = 150, depth: int = 5,
                   step: float = 0.05, seed: int = 7):
-    """Gradient-boosted trees, one against the rest for each class."""
+    """Gradient-boosted trees, one against the rest for each class.
+
+    The classes train side by side: a round is some short jobs after each other, which leave cores idle.  The residuals of a round
+    follow from those of the round before, so their lineage is cut by checkpoints.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
 
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_root(df.sparkSession))
     train = _assembled(df.filter(F.col("split") == split), features)
     prep = Pipeline(stages=_feature_stages(features)).fit(train)
     ready = prep.transform(train)
-    models = []
-    for c in LABELS:
+
+    def fit(c: str):
         gbt = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=step,
                             subsamplingRate=0.9, seed=seed, predictionCol=f"_q_{c}")
         gbt.setProbabilityCol(f"_p_{c}").setRawPredictionCol(f"_r_{c}")
-        models.append(gbt.fit(ready.withColumn("_y", (F.col("label") == c).cast("double"))))
-    return prep, models
+        return gbt.fit(ready.withColumn("_y", (F.col("label") == c).cast("double")))
+
+    with ThreadPoolExecutor(len(LABELS)) as pool:
+        return prep, list(pool.map(inheritable_thread_target(df.sparkSession)(fit), LABELS))
 
 
 def score_boosted(df: DataFrame, trained, features=MODEL_FEATURES) -> DataFrame:
@@ -267,7 +279,9 @@ def score_boosted(df: DataFrame, trained, features=MODEL_FEATURES) -> DataFrame:
     out = prep.transform(_assembled(df, features))
     for m in models:
         out = m.transform(out)
-    raw = [vector_to_array(F.col(f"_p_{c}"))[1] for c in LABELS]
+    # Once a row: what reads the partition's number is not put into the filters and columns above it, where all trees would run again.
+    out = out.withColumn("_p_all", F.when(F.spark_partition_id() >= 0, F.array(*[vector_to_array(F.col(f"_p_{c}"))[1] for c in LABELS])))
+    raw = [F.col("_p_all")[k] for k in range(len(LABELS))]
     total = reduce(add, raw)
     out = out.withColumns({f"prob_{c.lower()}": F.coalesce(F.try_divide(r, total), F.lit(1 / 3)) for c, r in zip(LABELS, raw)})
     out = out.withColumn("pred_label", predicted_label())

@@ -145,3 +145,41 @@ def test_trees_where_medians_are_counted(spark, monkeypatch):
     want = scores(df, M.train_trees)
     counted_medians(monkeypatch)
     assert scores(df, M.train_trees) == want
+
+
+def test_boosted_query_trains_all_rounds(spark, sf, monkeypatch):
+    import inspect
+
+    import __spark_entry__ as entry
+    from lobwright.operators import score as M
+
+    asked, train = [], M.train_boosted
+
+    def short(*args, **named):
+        given = inspect.signature(train).bind(*args, **named)
+        given.apply_defaults()
+        asked.append((given.arguments["rounds"], given.arguments["depth"]))
+        given.arguments["rounds"] = 1
+        return train(*given.args, **given.kwargs)
+
+    monkeypatch.setattr(M, "train_boosted", short)
+    assert entry.queries()["m4b_boosted_training"](spark, sf).count() > 0
+    assert asked == [(150, 5)]
+
+
+def test_boosted_classes_are_trees_of_their_own_and_scored_once(spark):
+    from pyspark.ml.classification import GBTClassifier
+
+    from lobwright.operators import score as M
+
+    df = gapped(spark).na.fill(0.0)
+    prep, models = M.train_boosted(df, ("a", "b"), rounds=4, depth=2)
+    ready = prep.transform(df.filter("split = 'train'").withColumns({f"_f_{c}": F.col(c) for c in ("a", "b")}))
+    for label, model in zip(LABELS, models, strict=True):
+        alone = GBTClassifier(labelCol="_y", maxIter=4, maxDepth=2, stepSize=0.05, subsamplingRate=0.9, seed=7).fit(ready.withColumn("_y", (F.col("label") == label).cast("double")))
+        assert model.toDebugString.split("\n", 1)[1] == alone.toDebugString.split("\n", 1)[1] and model.getNumTrees == 4
+    scored = M.score_boosted(df, (prep, models), ("a", "b"))
+    assert scored.columns == [*df.columns, "prob_down", "prob_flat", "prob_up", "pred_label"]
+    assert scored.filter("abs(prob_down + prob_flat + prob_up - 1) > 1e-9").count() == 0 and scored.count() == 80
+    plan = scored.filter("pred_label <> 'FLAT'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and not any("Filter" in line and "UDF" in line for line in plan.splitlines())
